@@ -69,7 +69,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
 
 @dataclass
 class Source:
-    """One source of a mix: its share of the targets' sum, its tokens, and how often its documents are used."""
+    """One source of a mix: its target, its tokens, and how often its documents are used."""
 
     name: str
     target: float
@@ -78,21 +78,29 @@ class Source:
     rate: float = 0.0
 
 
+def feasible_total(sources: list[Source]) -> float:
+    """The most tokens a mix can have in which every source with documents has exactly its share."""
+    open_ = [s for s in sources if s.target > 0 and s.tokens > 0 and s.max_copies > 0]
+    weight = sum(s.target for s in open_)
+    return min((s.tokens * s.max_copies * weight / s.target for s in open_), default=0.0)
+
+
 def rates(sources: list[Source], total: float | None = None) -> list[Source]:
-    """Sets every source's rate so that the mix has ``total`` tokens (default: the sources' own sum).
+    """Sets every source's rate so that the mix has ``total`` tokens (default: ``feasible_total``).
 
-    Targets count relative to their sum.  A source that cannot give its share within ``max_copies`` gives all it can;
-    what it falls short of goes to the others in proportion to their targets, again and again until all fit.
+    Targets count relative to the sum of those that have documents.  With a larger total, a source that cannot give its
+    share within ``max_copies`` gives all it can; what it falls short of goes to the others in proportion to their
+    targets, again and again until all fit.
     """
-    total = sum(s.tokens for s in sources) if total is None else total
+    total = feasible_total(sources) if total is None else total
     open_ = [s for s in sources if s.target > 0 and s.tokens > 0 and s.max_copies > 0]
     left = float(total)
     while open_:
         weight = sum(s.target for s in open_)
-        over = [s for s in open_ if left * s.target / weight > s.tokens * s.max_copies]
+        over = [s for s in open_ if left * s.target / weight > s.tokens * s.max_copies * (1 + 1e-12)]
         if not over:
             for s in open_:
-                s.rate = left * s.target / weight / s.tokens
+                s.rate = min(float(s.max_copies), left * s.target / weight / s.tokens)
             break
         for s in over:
             s.rate = float(s.max_copies)
@@ -112,9 +120,6 @@ def plan(counted: DataFrame, targets: DataFrame, total: float | None = None) ->
     usable = lambda x: float(x) if x is not None and x == x and x > 0 else 0.0
     sources = [Source(r["source"], usable(r["target_share"]), r["max_copies"] or 0, r["tokens"] or 0) for r in rows]
     sources.sort(key=lambda s: s.name)
-    whole = sum(s.target for s in sources) or 1.0
-    for s in sources:
-        s.target /= whole
     return rates(sources, total)
 
 
@@ -136,8 +141,12 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     counts with its greatest share and copies.  Copies of a text under other ids are different documents; a repeated
     ``doc_id`` is drawn alike each time.  Without targets or documents the mix is empty.
 
-    The report has a row per source of ``targets``: ``source``, ``target_share`` (relative to the targets' sum),
-    ``source_tokens``, ``rate``, ``max_copies``, ``n_copies`` and ``mixed_tokens`` (as drawn), ``actual_share``.
+    The report has a row per source of ``targets``: ``source``, ``target_share`` as given, ``wanted_share`` (relative to
+    the targets' sum), ``source_tokens``, ``rate``, ``max_copies``, ``n_copies`` and ``mixed_tokens`` (as drawn),
+    ``actual_share``.
+
+    Without ``total`` the mix is the largest in which every source that has documents has its share, so one tiny source
+    with few allowed copies makes it small; a given ``total`` is reached by the other sources instead.
     """
     counted, _ = materialise(count_tokens(documents, vocabulary), "tokens")
     sources = plan(counted, targets, total)
@@ -146,7 +155,9 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
     mixed = read.withColumn("times", times).where("times > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc_id", "source", "copy_no", "text")
 
     spark = documents.sparkSession
-    table = spark.createDataFrame([(s.name, s.target, s.tokens, s.rate, s.max_copies) for s in sources], "source string, target_share double, source_tokens bigint, rate double, max_copies int")
+    whole = sum(s.target for s in sources) or 1.0
+    rows = [(s.name, s.target, s.target / whole, s.tokens, s.rate, s.max_copies) for s in sources]
+    table = spark.createDataFrame(rows, "source string, target_share double, wanted_share double, source_tokens bigint, rate double, max_copies int")
     drawn = counted.withColumn("times", times).where("times > 0").groupBy("source").agg(F.sum("times").cast("bigint").alias("n_copies"), F.sum(F.col("times") * F.col("n_tokens")).alias("mixed_tokens"))
     report = table.join(F.broadcast(drawn), "source", "left").na.fill(0, ["n_copies", "mixed_tokens"])
     all_tokens = drawn.agg(F.sum("mixed_tokens")).first()[0] or 0
