@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
-import regex
 
-_DROPPED = regex.compile(r"[\p{Mn}\p{Cf}]+")
-_WORD = regex.compile(r"[\p{L}\p{Nd}]+")
-_PLAIN_WORD = regex.compile(r"[a-z0-9]+")
+class _Kept(dict):
+    """What becomes of a character: dropped if a nonspacing mark or format character, else itself."""
+
+    def __missing__(self, code: int) -> int | None:
+        kept = None if unicodedata.category(chr(code)) in ("Mn", "Cf") else code
+        self[code] = kept
+        return kept
+
+
+_KEPT = _Kept()
+_WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str | None) -> list[str]:
-    """The longest runs of letters and digits, after NFKD without nonspacing marks and format characters, in lower
-    case; of null none."""
+    """The longest runs of letters and digits (numerals of any script), after NFKD without nonspacing marks and format
+    characters, in lower case; of null none."""
     if not text:
         return []
-    if text.isascii():
-        return _PLAIN_WORD.findall(text.lower())
-    return _WORD.findall(_DROPPED.sub("", unicodedata.normalize("NFKD", text)).lower())
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(_KEPT)
+    return _WORD.findall(text.lower())
