@@ -148,6 +148,8 @@ def prepare(rows: DataFrame) -> DataFrame:
         "is_tags": F.array_union(listed("card_is_tags"), tags),
         "types": F.filter(types, lambda t: F.length(t) > 0),
         "artist_entities": F.array_compact(F.array("artist_collated")),
+        # a row of no card stands for itself
+        "card_key": F.coalesce("oracle_id", F.concat(F.lit("row "), "scryfall_id")),
     }).drop("printed_name_tag", "_faces")
 
 

@@ -119,12 +119,11 @@ def order_keys(orderby: str, direction: str = "auto") -> list[Column]:
 def representatives(df: DataFrame, unique: str, prefer: str) -> DataFrame:
     """One row per card, or per artwork of a card, of those that match; all rows for printings.
 
-    A row of no card stands for itself.  Catalyst keeps each split's best row of a card before the shuffle, so cards
-    with very many printings are no hot spots.
+    Catalyst keeps each split's best row of a card before the shuffle, so cards with very many printings are no hot spots.
     """
     if unique == "printing":
         return df
-    group = [F.coalesce("oracle_id", F.concat(F.lit("row "), "scryfall_id"))]
+    group = [F.col("card_key")]
     if unique == "artwork":
         group.append(F.array_join("artwork", ","))
     chosen = Window.partitionBy(*group).orderBy(*prefer_keys(prefer))

@@ -50,7 +50,7 @@ def prj_rows(spark: SparkSession, d: str) -> DataFrame:
 
 SQL["prj_rows"] = f"""
     SELECT line_no, nullif(lower(trim({_J('id')})), '') AS scryfall_id, nullif(lower(trim({_J('oracle_id')})), '') AS oracle_id, {_J('name')} AS card_name, lower({_J('lang')}) AS card_lang, lower({_J('set')}) AS card_set_code,
-           {_RARITY} AS card_rarity_int, try_cast(regexp_replace({_J('collector_number')}, '[^0-9]', '', 'g') AS INTEGER) AS collector_number_int, try_cast({_J('cmc')} AS DOUBLE) AS cmc,
+           CAST({_RARITY} AS BIGINT) AS card_rarity_int, CAST(try_cast(regexp_replace({_J('collector_number')}, '[^0-9]', '', 'g') AS INTEGER) AS BIGINT) AS collector_number_int, try_cast({_J('cmc')} AS DOUBLE) AS cmc,
            try_cast({_J('edhrec_rank')} AS BIGINT) AS edhrec_rank, coalesce(try_cast({_J('prices.usd')} AS DOUBLE), try_cast({_J('prices.usd_foil')} AS DOUBLE), try_cast({_J('prices.usd_etched')} AS DOUBLE)) AS price_usd,
            coalesce(try_cast({_J('prices.eur')} AS DOUBLE), try_cast({_J('prices.eur_foil')} AS DOUBLE)) AS price_eur
     FROM bulk_lines WHERE {_WHOLE}"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.operators import counts, lookup
 from quillon.operators.prepare import current, prepare, with_unique_tag
 from quillon.operators.search import PAGE, order_keys, sample, search
+from quillon.operators.store import store
 from quillon.sources.tables import table
 
 #: Rows of these layouts, set types and type words are extra: no cards to play with.
@@ -15,8 +16,8 @@ EXTRA_LAYOUTS = ("art_series", "double_faced_token", "emblem", "planar", "scheme
 EXTRA_TYPES = ("Card", "Token")
 
 
-def corpus(spark: SparkSession, d: str) -> DataFrame:
-    """The prepared table: the latest delivery of every printing that is not removed, with its set's type."""
+def catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """The prepared rows: the latest delivery of every printing that is not removed, with its set's type."""
     rows = current(table(spark, d, "printings"), ["imported_at", "row_no"], removed="removed_at")
     # the code is compared in lower case; of repeated rows of a set any one counts, so the least type is taken
     sets = table(spark, d, "card_sets").groupBy(F.lower("code").alias("code")).agg(F.min("set_type").alias("card_set_type"))
@@ -26,6 +27,11 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
     return prepare(rows.withColumn("card_is_tags", F.when(extra, F.array(F.lit("extra"))).otherwise(F.array().cast("array<string>"))))
 
 
+def corpus(spark: SparkSession, d: str) -> DataFrame:
+    """The store of a folder's catalogue: built by the first query that needs it, then read by all."""
+    return store(spark, [f"{d.rstrip('/')}/{t}.parquet" for t in ("printings", "card_sets")], lambda: catalogue(spark, d))
+
+
 _CORPUS = f"""
     sets AS (SELECT lower(code) AS code, min(set_type) AS set_type FROM card_sets GROUP BY 1),
     latest AS (
@@ -340,8 +346,8 @@ def win_printing_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["win_printing_rank"] = _sql(
-    """SELECT oracle_id, set_code, collector_number, least(row_number() OVER (PARTITION BY oracle_id ORDER BY english DESC, prefixed ASC, released DESC NULLS LAST,
-       prefix ASC, number ASC NULLS FIRST, suffix ASC, set_code ASC, collector_number ASC) - 1, 1024) AS rank FROM slot""",
+    """SELECT oracle_id, set_code, collector_number, CAST(least(row_number() OVER (PARTITION BY oracle_id ORDER BY english DESC, prefixed ASC, released DESC NULLS LAST,
+       prefix ASC, number ASC NULLS FIRST, suffix ASC, set_code ASC, collector_number ASC) - 1, 1024) AS INTEGER) AS rank FROM slot""",
     """slot AS (SELECT oracle_id, lower(card_set_code) AS set_code, collector_number, max(try_cast(released_at AS DATE)) AS released, bool_or(coalesce(lower(card_lang) = 'en', false)) AS english,
        lower(regexp_extract(collector_number, '^(\\D*)(\\d*)(.*)$', 1)) AS prefix, regexp_matches(lower(regexp_extract(collector_number, '^(\\D*)(\\d*)(.*)$', 1)), '[a-z]') AS prefixed,
        try_cast(regexp_extract(collector_number, '^(\\D*)(\\d*)(.*)$', 2) AS BIGINT) AS number, lower(regexp_extract(collector_number, '^(\\D*)(\\d*)(.*)$', 3)) AS suffix
@@ -412,7 +418,7 @@ def rul_rulings(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["rul_rulings"] = """
-    SELECT *, row_number() OVER (PARTITION BY oracle_id ORDER BY published_at DESC, comment ASC, source ASC) AS place FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY oracle_id ORDER BY published_at DESC, comment ASC, source ASC) AS INTEGER) AS place FROM (
         SELECT DISTINCT lower(trim(oracle_id)) AS oracle_id, source, left(published_at, 10) AS published_at, comment FROM rulings
         WHERE trim(oracle_id) <> '' AND source <> '' AND length(published_at) >= 10 AND comment <> '')"""
 
