@@ -15,8 +15,9 @@ from quillon.sources.tables import table
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """The three printings of greatest score of every card."""
-    one = latest_delivery(table(spark, d, "printings"), "scryfall_id", ["imported_at", "row_no"], ["oracle_id", "prefer_score"])
-    best = top_n(one.withColumn("oracle_id", clean_id("oracle_id")), "oracle_id", "prefer_score", ["scryfall_id"], 3)
+    printings = table(spark, d, "printings")
+    one = latest_delivery(printings, "scryfall_id", ["imported_at", "row_no"], ["oracle_id", "prefer_score"])
+    best = top_n(one.withColumn("oracle_id", clean_id("oracle_id")), "oracle_id", "prefer_score", ["scryfall_id"], 3, scores=printings)
     return best.select("oracle_id", F.col("rank_no").cast("int").alias("rank_no"), "scryfall_id")
 
 

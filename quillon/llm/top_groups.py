@@ -27,20 +27,23 @@ def _best(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= n)
 
 
-def top_n(df: DataFrame, group: str, score: str, ties: list[str], n: int, bands: tuple[float, ...] = BANDS) -> DataFrame:
+def top_n(df: DataFrame, group: str, score: str, ties: list[str], n: int, bands: tuple[float, ...] = BANDS, scores: DataFrame | None = None) -> DataFrame:
     """The ``n`` rows of greatest ``score`` of every ``group``, equal scores by smaller ``ties``: ``group``, ``score``,
     ``ties``, and ``rank_no`` from 1.
 
     Rows whose group is null, or whose score is null or NaN, take no part; infinite scores do, and -0.0 equals 0.0.  Null
     ties come first.  Rows equal in all these columns are interchangeable and each counts.  An empty table gives no
     rows.  Other columns are never read, so their names cannot clash.
+
+    ``scores`` may name a cheaper table with the column ``score`` of about the same distribution, such as the one ``df`` was
+    deduped from: the bounds of the bands come from its quantiles.  They decide how the work is split, never the result.
     """
     if n < 1:
         raise ValueError("n must be at least 1")
     spark = df.sparkSession
     named = [F.col(c).alias(f"t{i}") for i, c in enumerate(ties)]
     rows = df.select(F.col(group).alias("g"), (F.col(score) + F.lit(0).cast(df.schema[score].dataType)).alias("s"), *named).where("g is not null and s is not null and not isnan(s)")
-    edges = sorted(set(df.where(~F.isnan(score)).approxQuantile(score, list(bands), 0.005))) if bands else []
+    edges = sorted(set((df if scores is None else scores).where(~F.isnan(score)).approxQuantile(score, list(bands), 0.005))) if bands else []
     band = sum((F.when(F.col("s") >= F.lit(e).cast(df.schema[score].dataType), 1).otherwise(0) for e in edges), F.lit(0))
     kept, kept_path = materialise(rows.withColumn("band", band.cast("int")), "bands", partition_by="band")
 
