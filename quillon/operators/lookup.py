@@ -139,3 +139,40 @@ def by_number(prepared: DataFrame, set_code: str, number: str, lang: str = "en")
 def rulings_of(rulings: DataFrame, oracle_id: str) -> DataFrame:
     """A card's rulings, newest first, equal dates by comment."""
     return rulings.where(F.col("oracle_id") == oracle_id.strip().lower()).orderBy(F.col("published_at").desc(), F.col("comment").asc())
+
+
+def by_external_id(prepared: DataFrame, namespace: str, number: int) -> DataFrame:
+    """The preferred printing with an id of another catalogue (``multiverse``, or a key of ``external_ids``)."""
+    hit = F.array_contains("multiverse_ids", F.lit(number)) if namespace == "multiverse" else F.try_element_at("external_ids", F.lit(namespace)) == number
+    return prepared.where(hit).orderBy(*prefer_keys("default")).limit(1)
+
+
+def set_of(sets: DataFrame, key: str) -> DataFrame:
+    """The set with this code, id, or number of another catalogue, in this order; of several the least id."""
+    word = key.strip().lower()
+    rank = F.when(F.lower("code") == word, 0).when(clean_id("id") == word, 1).when(F.col("tcgplayer_id").cast("string") == word, 2)
+    return sets.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "id").limit(1).drop("_rank")
+
+
+def first_of_each(prepared: DataFrame, queries: list[str]) -> DataFrame:
+    """The most played printing that each query finds, with the query's place in the list as ``query_no``; one pass."""
+    from quillon.operators.search import order_keys
+    from quillon.plans.compile import condition
+    from quillon.plans.query import parse
+    from quillon.plans.rewrite import rewrite
+
+    hits = F.array_compact(F.array(*(F.when(condition(rewrite(parse(q)).tree), F.lit(i)) for i, q in enumerate(queries))))
+    matched = prepared.where("is_canonical").withColumn("query_no", F.explode(hits))
+    first = Window.partitionBy("query_no").orderBy(*order_keys("edhrec"))
+    return matched.withColumn("_first", F.row_number().over(first)).where("_first = 1").drop("_first")
+
+
+def routing_keys(rows: DataFrame) -> DataFrame:
+    """(key, oracle_id): every id by which a row can be asked for, with the card whose partition holds it."""
+    known = rows.withColumn("keys", F.array_compact(F.array("scryfall_id", "illustration_id")))
+    if "multiverse_ids" in rows.columns:
+        known = known.withColumn("keys", F.concat("keys", F.coalesce(F.transform("multiverse_ids", lambda x: F.concat(F.lit("multiverse:"), x.cast("string"))), F.array().cast("array<string>"))))
+    if "external_ids" in rows.columns:
+        others = F.transform(F.map_entries("external_ids"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+        known = known.withColumn("keys", F.concat("keys", F.coalesce(others, F.array().cast("array<string>"))))
+    return known.select(F.explode("keys").alias("key"), "oracle_id").distinct()

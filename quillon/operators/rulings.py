@@ -15,6 +15,18 @@ def clean_rulings(df: DataFrame) -> DataFrame:
     return rows.withColumn("published_at", F.substring("published_at", 1, 10)).distinct()
 
 
+def parse_rulings(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Rulings from JSON lines; others than whole ones are left out."""
+    schema = "oracle_id string, source string, published_at string, comment string"
+    return clean_rulings(lines.select(F.from_json(line, schema).alias("r")).select("r.*"))
+
+
+def bucketed(rulings: DataFrame) -> DataFrame:
+    """(oracle_id, rulings): each card's rulings as one ordered list, by the rule of ``numbered``."""
+    listed = F.sort_array(F.collect_list(F.struct(F.date_diff(F.lit("9999-12-31"), F.col("published_at").try_cast("date")).alias("age"), "comment", "source", "published_at")))
+    return rulings.groupBy("oracle_id").agg(F.transform(listed, lambda r: F.struct(r["published_at"].alias("published_at"), r["comment"].alias("comment"), r["source"].alias("source"))).alias("rulings"))
+
+
 def numbered(rulings: DataFrame) -> DataFrame:
     """Rulings with their ``place`` within the card: newest first, then by comment and source."""
     order = Window.partitionBy("oracle_id").orderBy(F.col("published_at").desc(), F.col("comment").asc(), F.col("source").asc())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.plans.compile import condition
 from quillon.plans.explain import explain
+from quillon.plans.policy import parse_softly
 from quillon.plans.query import QueryError, parse
 from quillon.plans.rewrite import gate, rewrite, widens
 
@@ -36,6 +37,7 @@ class Options:
     include_variations: bool = False
     aliases: dict[str, str] = field(default_factory=dict)
     sets_with_extras: tuple[str, ...] = ()
+    lenient: bool = False
 
 
 @dataclass
@@ -144,10 +146,11 @@ def page(df: DataFrame, keys: list[Column], limit: int | None, offset: int) -> D
 
 def search(prepared: DataFrame, query: str, **options) -> Result:
     """The page of a query over a prepared table.  Options: see ``Options``; the query's directives go before them.
+    ``lenient`` leaves out terms that cannot be honoured, with warnings (``plans.policy``), instead of raising.
 
     First the filter, then the choice of a representative among what it kept, then order and page.
     """
-    parsed = parse(query)
+    parsed = (parse_softly if options.get("lenient") else parse)(query)
     written = parsed.tree
     parsed = rewrite(parsed)
     o = _checked(apply_directives(parsed, Options(**options)))

@@ -106,6 +106,22 @@ def url_slug(c: Column) -> Column:
     return F.replace(out, F.lit("*"), F.lit("%2A"))
 
 
+#: The sizes in which a picture is kept, by name, with their file's ending.
+IMAGE_SIZES = {"small": "jpg", "normal": "jpg", "large": "jpg", "png": "png", "art_crop": "jpg", "border_crop": "jpg"}
+
+
+def image_uris(base: str, side: str = "front") -> Column:
+    """The addresses of a printing's pictures, which follow from its id."""
+    i = F.col("scryfall_id")
+    path = lambda size, end: F.concat(F.lit(f"{base.rstrip('/')}/{size}/{side}/"), F.substring(i, 1, 1), F.lit("/"), F.substring(i, 2, 1), F.lit("/"), i, F.lit(f".{end}"))
+    return F.struct(*(path(size, end).alias(size) for size, end in IMAGE_SIZES.items()))
+
+
+def ruling_object() -> Column:
+    """A ruling as a JSON object."""
+    return F.to_json(F.struct(F.lit("ruling").alias("object"), "oracle_id", "source", "published_at", "comment"))
+
+
 def card_object() -> Column:
     """A card as one JSON object; fields that a card lacks are left out."""
     letters = lambda m: F.filter(F.array(*(F.when(F.col(m).bitwiseAND(F.lit(1 << i)) > 0, F.lit(c)) for i, c in enumerate(COLORS.upper()))), lambda x: x.isNotNull())

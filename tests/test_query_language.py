@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from quillon.functions.text import collate_text, fold_text, slug_text
 from quillon.plans.compile import color_mask, cost_of, pattern_of
 from quillon.plans.explain import explain
+from quillon.plans.policy import parse_softly, soften, unbalanced
 from quillon.plans.query import Pattern, QueryError, balance, date_window, parse, to_json, tokens
 from quillon.plans.rewrite import DERIVED, gate, plain_text, rewrite, widens
 
@@ -145,3 +146,36 @@ def test_values():
 def test_explanation():
     assert explain(rewrite(parse("t:elf (c:g or cmc<3)")).tree) == 'the type contains "elf" and (the color includes green or the mana value is less than 3)'
     assert explain(rewrite(parse("r:mythic")).tree).endswith("mythic")
+
+
+@pytest.mark.parametrize(
+    "query,softened,warnings",
+    [
+        ("t:elf c:xyz", "t:elf", 1),
+        ("f:nosuch or t:elf", "t:elf", 1),
+        ("(c:xyz or lang:zz) t:elf", "t:elf", 2),
+        ("t:elf (a or c:xyz)", "t:elf ( a )", 1),
+        ("-(c:xyz) b", "b", 1),
+        ("goblin cmc:", "goblin name:cmc", 0),
+        ("x pow>=", 'x name:"pow>="', 0),
+        ('o:"two words" -t:elf', 'o:"two words" -t:elf', 0),
+        ("name:/a b/ oracle_id:12", "name:/a b/", 1),
+    ],
+)
+def test_terms_that_cannot_be_honoured_go(query, softened, warnings):
+    text, said = soften(query)
+    assert " ".join(text.split()) == softened and len(said) == warnings
+    parse(text)
+
+
+def test_nothing_left_is_an_error():
+    for q in ("c:xyz", "(t:elf", "t:elf)", "c:xyz or f:nosuch"):
+        with pytest.raises(QueryError):
+            soften(q)
+    assert not unbalanced('o:"(" name:/\\(/') and unbalanced(")(")
+
+
+@pytest.mark.parametrize("a,b", [("t>elf", "nothing"), ("-cmc>3", "everything"), ("-date>2010", "date>2010"), ("-c>=g", "-c>=g"), ("-r>rare", "-r>rare"), ("-t:elf", "-t:elf"), ("-cmc=3", "-cmc=3")])
+def test_strict_comparisons(a, b):
+    got = to_json(parse_softly(a).tree)
+    assert got == {b: []} if b in ("nothing", "everything") else got == to_json(parse(b).tree)

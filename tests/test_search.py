@@ -143,3 +143,36 @@ def test_current_takes_the_latest_and_drops_removed(spark):
     df = spark.createDataFrame([(" X ", 1, None), ("x", 2, None), ("y", 1, 5), ("", 3, None), (None, 4, None)], "scryfall_id string, v int, gone int")
     assert [(r["scryfall_id"], r["v"]) for r in current(df, ["v"], "gone").collect()] == [("x", 2)]
     assert prepare(df.limit(0)).count() == 0
+
+
+def test_lenient_search_warns(cards):
+    found = search(cards, "t:giant f:nosuch", lenient=True)
+    assert found.warnings == ["Unknown format “nosuch”."] and ids(found) == ["a1"]
+    with pytest.raises(QueryError):
+        search(cards, "f:nosuch", lenient=True)
+
+
+def test_first_of_each_query(cards):
+    got = {(r["query_no"], r["scryfall_id"]) for r in lookup.first_of_each(cards, ["t:giant", "t:none", "c=r"]).collect()}
+    assert got == {(0, "a1"), (2, "b1")}
+
+
+def test_ids_of_other_catalogues(spark, cards):
+    rows = spark.createDataFrame([("p1", "o", "i", [5, 6], {"arena_id": 9}), ("p2", "o", None, None, None)], "scryfall_id string, oracle_id string, illustration_id string, multiverse_ids array<bigint>, external_ids map<string,bigint>")
+    assert {r["key"] for r in lookup.routing_keys(rows).collect()} == {"p1", "p2", "i", "multiverse:5", "multiverse:6", "arena_id:9"}
+    prepared = prepare(rows)
+    assert lookup.by_external_id(prepared, "multiverse", 6).first()["scryfall_id"] == "p1" and lookup.by_external_id(prepared, "arena_id", 9).count() == 1 and lookup.by_external_id(prepared, "mtgo_id", 9).count() == 0
+    sets = spark.createDataFrame([("id1", "ABC", 7), ("id0", "abc", 8), ("abd", "xyz", None)], "id string, code string, tcgplayer_id bigint")
+    assert [lookup.set_of(sets, k).first()["id"] for k in ("Abc", "ID1", "8", "abd")] == ["id0", "id1", "id0", "abd"] and lookup.set_of(sets, "none").count() == 0
+
+
+def test_rulings_and_pictures(spark, cards):
+    from quillon.operators.rulings import bucketed, parse_rulings
+    from quillon.sinks.render import image_uris, ruling_object
+
+    lines = ['{"oracle_id":"O ","source":"a","published_at":"2020-01-02T00:00","comment":"x"}', '{"oracle_id":"o","source":"a","published_at":"2021-01-02","comment":"z"}', '{"oracle_id":"o","source":"a","published_at":"2021-01-02","comment":"y"}', '{"oracle_id":"o","source":"","published_at":"2021-01-02","comment":"y"}', '{"oracle_id":"o","source":"a","published_at":"2021","comment":"y"}', "junk", None]
+    r = parse_rulings(spark.createDataFrame([(x,) for x in lines * 2], "line string"))
+    assert [x["comment"] for x in bucketed(r).first()["rulings"]] == ["y", "z", "x"]
+    assert [x["comment"] for x in lookup.rulings_of(r, " O").collect()] == ["y", "z", "x"]
+    assert '"object":"ruling"' in r.select(ruling_object().alias("o")).first()["o"]
+    assert cards.where("scryfall_id = 'a1'").select(image_uris("http://x/").alias("u")).first()["u"]["png"] == "http://x/png/front/a/1/a1.png"
