@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import json_tape
 from quillon.functions.columns import BLANKS
-from quillon.runtime import materialise
+from quillon.runtime import materialise, ship_code
 
 #: Bytes of text flattened at a time; bounds a task's memory.
 CHUNK_BYTES = 4 << 20
@@ -109,6 +109,7 @@ def flatten_lines(df: DataFrame, line_no: str = "line_no", line: str = "line") -
     repeated keys in an object the last one counts.  Repeated lines give their rows again.  Further columns of the
     table are never read.
     """
+    ship_code(df.sparkSession)
     return df.select(F.col(line_no).cast("bigint"), F.col(line).cast("string")).mapInArrow(_run, _SCHEMA)
 
 

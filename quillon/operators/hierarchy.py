@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.columns import clean_id
 from quillon.plans.list_ranking import ONE_TASK, next_in_order, suffix_sums
+from quillon.plans.skew import join_unique
 from quillon.runtime import drop, materialise
 
 #: Tour positions per block of the interval join.
@@ -30,8 +31,8 @@ BELOW = 100_000
 
 @dataclass
 class Forest:
-    """``nodes`` (n, id), ``edges`` (child, parent), ``tour`` (n, entry, exit, depth), ``up`` (n, above, steps: the node
-    itself and its ancestors in its tree), ``cut`` (root, entry: links cut from roots with parents), ``pairs`` (n,
+    """``nodes`` (n, id), ``edges`` (child, parent), ``tour`` (n, entry, exit, depth), ``up`` (n, above, steps, depth: the
+    node itself and its ancestors in its tree, the tree's root where steps equal depth), ``cut`` (root, entry: links cut from roots with parents), ``pairs`` (n,
     ancestor, steps)."""
 
     nodes: DataFrame
@@ -54,7 +55,8 @@ def _links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     found, _ = materialise(found.withColumn("n", F.monotonically_increasing_id()), "nodes")
     nodes = found.select("n", "id")
     named = found.select(F.col("n").alias("child"), F.explode("parents").alias("p")).select("child", clean_id("p").alias("id")).where("id is not null")
-    edges, _ = materialise(named.join(nodes, "id").select("child", F.col("n").alias("parent")).distinct(), "edges")
+    links = named.agg(F.count("*")).first()[0]
+    edges, _ = materialise(join_unique(named.distinct(), nodes, "id", links).select("child", F.col("n").alias("parent")), "edges")
     return nodes, edges
 
 
@@ -68,7 +70,7 @@ def _cycle_cuts(single: DataFrame) -> DataFrame:
         image = jump.select(F.col("to").alias("v")).distinct()
         kept = jump.join(image, "v", "left_semi")
         ahead = jump.select(F.col("v").alias("to"), F.col("to").alias("to2"))
-        after, newer = materialise(kept.join(ahead, "to").select("v", F.col("to2").alias("to")), "peel")
+        after, newer = materialise(join_unique(kept, ahead, "to", size).select("v", F.col("to2").alias("to")), "peel")
         drop(spark, path)
         jump, path, before, size = after, newer, size, after.count()
         if size == before:
@@ -109,20 +111,21 @@ def _tour(nodes: DataFrame, tree: DataFrame, one_task: int) -> DataFrame:
 
 
 def _within_tree(tour: DataFrame) -> DataFrame:
-    """(n, above, steps): each node with itself and its ancestors in its tree, by interval containment."""
+    """(n, above, steps, depth): each node with itself and its ancestors in its tree, by interval containment."""
     block = lambda c: F.floor(F.col(c) / BLOCK)
     below = tour.select("n", "entry", "depth", block("entry").alias("block"))
     inner = tour.where("exit > entry + 1").select(F.col("n").alias("above"), F.col("entry").alias("from"), F.col("exit").alias("until"), F.col("depth").alias("top"), F.explode(F.sequence(block("entry"), block("exit"))).alias("block"))
-    held = below.join(inner, "block").where("entry > from and entry < until").select("n", "above", (F.col("depth") - F.col("top")).alias("steps"))
-    return tour.select("n", F.col("n").alias("above"), F.lit(0).alias("steps")).unionByName(held)
+    held = below.join(inner, "block").where("entry > from and entry < until").select("n", "above", (F.col("depth") - F.col("top")).alias("steps"), "depth")
+    return tour.select("n", F.col("n").alias("above"), F.lit(0).alias("steps"), "depth").unionByName(held)
 
 
-def _between_trees(cut: DataFrame, up: DataFrame, tour: DataFrame) -> DataFrame:
+def _between_trees(cut: DataFrame, up: DataFrame) -> DataFrame:
     """(root, entry, steps): the fewest steps from each cut root to every node at which a path enters another tree."""
     spark = cut.sparkSession
-    tops = up.join(tour.where("depth = 0").select(F.col("n").alias("above")), "above").select(F.col("n").alias("entry"), F.col("above").alias("next"), "steps")
+    tops = up.where("steps = depth").select(F.col("n").alias("entry"), F.col("above").alias("next"), "steps")
     cut_roots = cut.select(F.col("root").alias("next")).distinct()
-    hop = cut.join(tops, "entry").join(cut_roots, "next", "left_semi").groupBy("root", "next").agg(F.min(F.col("steps") + 1).alias("cost"))
+    links = cut.count()
+    hop = join_unique(join_unique(cut, tops, "entry", links), cut_roots, "next", links).groupBy("root", "next").agg(F.min(F.col("steps") + 1).alias("cost"))
     far, path = materialise(hop, "between")
     state = far.agg(F.count("*"), F.sum("cost")).first()
     while state[0]:
@@ -142,7 +145,6 @@ def _between_trees(cut: DataFrame, up: DataFrame, tour: DataFrame) -> DataFrame:
 def build_forest(found: DataFrame, one_task: int = ONE_TASK) -> Forest:
     """The hierarchy of (id, parents), ids distinct; see ``ancestors``."""
     nodes, edges = _links(found)
-    spark = nodes.sparkSession
     counted = edges.withColumn("of", F.count("*").over(Window.partitionBy("child")))
     single = counted.where("of = 1").select("child", "parent")
     cuts, _ = materialise(counted.where("of > 1").select("child").distinct().unionByName(_cycle_cuts(single)), "cuts")
@@ -150,16 +152,17 @@ def build_forest(found: DataFrame, one_task: int = ONE_TASK) -> Forest:
     tour = _tour(nodes, edges.join(cuts, "child", "left_anti"), one_task)
     up, _ = materialise(_within_tree(tour), "up")
 
-    doors = _between_trees(cut, up, tour)
+    doors = _between_trees(cut, up)
     beyond = doors.join(up.select(F.col("n").alias("entry"), "above", F.col("steps").alias("more")), "entry").groupBy("root", "above").agg(F.min(F.col("steps") + F.col("more")).alias("more"))
     beyond, _ = materialise(beyond, "beyond")
-    # a large tree is split among tasks, each with a copy of what lies beyond its root
+    # a large tree is split among tasks, each with a copy of what lies beyond its root; there are few large ones
     size = tour.where("depth = 0").select(F.col("n").alias("root"), F.ceil((F.col("exit") - F.col("entry") + 1) / (2 * BELOW)).cast("int").alias("parts"))
-    with_parts = beyond.join(size, "root").select("root", "above", "more", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    below = up.select("n", F.col("above").alias("root"), "steps").join(size, "root").withColumn("part", F.pmod(F.xxhash64("n"), F.col("parts")).cast("int"))
+    large = F.broadcast(size.where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    with_parts = beyond.join(large, "root", "left").select("root", "above", "more", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    below = up.where("steps = depth").select("n", F.col("above").alias("root"), "steps").join(large, "root", "left").withColumn("part", F.pmod(F.xxhash64("n"), parts).cast("int"))
     over = below.join(with_parts, ["root", "part"]).select("n", "above", (F.col("steps") + F.col("more")).alias("steps"))
-    pairs = up.where("steps > 0").unionByName(over).groupBy("n", F.col("above").alias("ancestor")).agg(F.min("steps").alias("steps"))
-    del spark
+    pairs = up.where("steps > 0").drop("depth").unionByName(over).groupBy("n", F.col("above").alias("ancestor")).agg(F.min("steps").alias("steps"))
     return Forest(nodes, edges, tour, up, cut, pairs)
 
 

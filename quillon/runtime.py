@@ -9,13 +9,16 @@ from __future__ import annotations
 
 import atexit
 import math
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -53,9 +56,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _folders[app]
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Gives the executors this package, once a session, so that they need not have it on their paths."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="quillon-code-"), "quillon.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(root):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
+
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> tuple[DataFrame, str]:
     """Writes ``df`` into the shared folder; returns it as read back, and its path."""
     spark = df.sparkSession
+    ship_code(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
@@ -85,4 +105,5 @@ def _release_quietly(spark: SparkSession) -> None:
 
 def blocks_for(spark: SparkSession, rows: int, rows_per_block: int = 1_000_000) -> int:
     """How many blocks keep each one's entries to about ``rows_per_block``, and all tasks busy."""
+    ship_code(spark)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_block), 1)

@@ -238,6 +238,17 @@ def test_next_in_order(spark):
     assert got == dict(zip(rows, [*rows[1:], (None, None)], strict=True))
 
 
+def test_join_with_hot_keys(spark):
+    from quillon.plans.skew import join_unique
+
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i % 20}" if i % 2 else None, i) for i in range(900)], "k string, v int")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3), ("none", 4)], "k string, w int")
+    expected = sorted(map(tuple, left.join(right, "k").collect()))
+    for most in (10_000, 100, 1):
+        assert sorted(map(tuple, join_unique(left, right, "k", 900, most).collect())) == expected
+    assert join_unique(left.limit(0), right, "k", 900, 1).collect() == []
+
+
 TAGS = "id string, parents array<string>, v int, steps string"
 
 
