@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.words import words
+from quillon.runtime import ship_code
 
 #: Bytes of item text that one block, and with it one automaton, may hold; more items make more passes.
 BLOCK_BYTES = 4 << 20
@@ -132,6 +133,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, window: int = 12, errors:
     """
     if window < 1 or errors < 0:
         raise ValueError("window must be at least 1, errors at least 0")
+    ship_code(documents.sparkSession)
     texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null")
     distinct = items.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null").distinct()
     size = distinct.agg(F.sum(F.octet_length("text"))).first()[0] or 0

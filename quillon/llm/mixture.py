@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import materialise
+from quillon.runtime import materialise, ship_code
 
 #: The vocabulary's file, and the pattern that splits a text before byte pairs are merged.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -63,6 +63,7 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             counts = np.fromiter((_tokens(encoding, t.as_py()) if t.is_valid else 0 for t in batch.column(2)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], ["doc_id", "source", "n_tokens"])
 
+    ship_code(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name("source").alias("source"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
