@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.columns import clean_id
-from quillon.functions.text import collate, natural_key, slug
+from quillon.functions.text import collate, natural_key
 from quillon.plans.compile import GENERIC
 from quillon.plans.fields import COLORS
 
@@ -174,7 +174,3 @@ def with_unique_tag(df: DataFrame) -> DataFrame:
     tagged = F.when(F.col("one"), F.array_union("is_tags", F.array(F.lit("unique")))).otherwise(F.col("is_tags"))
     return df.join(sets, "oracle_id", "left").withColumn("is_tags", tagged).drop("one")
 
-
-def tag_slugs(tags: DataFrame) -> Column:
-    """The slug of a tag row."""
-    return slug(F.col("slug"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import clean_id
-from quillon.functions.text import collate, fold_accents, slug, title_words
+from quillon.functions.text import fold_accents, slug, title_words
 from quillon.operators.hierarchy import ancestors, latest
 from quillon.operators.prepare import cost_counts, stat
 from quillon.operators.ranks import name_percent_ranks, slot_ranks
@@ -232,7 +232,3 @@ def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame |
     score = (F.lit(1024) - rank) * 2048 + components_score() + bonus
     return df.withColumn("prefer_score", score.cast("float")).drop("_ills", "rank", "pinned")
 
-
-def collated_name() -> Column:
-    """The name as orders and lookups compare it."""
-    return collate(F.col("card_name"))

@@ -1,6 +1,7 @@
 """Trees as Column expressions over the prepared table.
 
-Every leaf is total: what SQL would leave unknown is false, so NOT is the complement of a set.
+NOT is the complement of a set: below it every leaf is total, false where SQL would leave it unknown.  Above it a filter
+takes unknown for false anyway, so there the leaves stay bare comparisons, which reach the scan.
 """
 
 from __future__ import annotations
@@ -121,6 +122,8 @@ def _devotion(c: Compare) -> Column:
 
 def _numbers(left, op: str, right) -> Column:
     """A comparison of sums; a field with several values holds if any combination of them does."""
+    if isinstance(left, Ref) and left.field.how == "number" and isinstance(right, Number):
+        return _OPS[op](F.col(left.field.column), F.lit(right.value))
     many: list[Ref] = []
 
     def collect(v):
@@ -221,14 +224,16 @@ def leaf(x, aliases: dict[str, str]) -> Column:
     return by_kind[kind](x) if kind in by_kind else _text(x, aliases)
 
 
-def condition(tree, aliases: dict[str, str] | None = None) -> Column:
-    """The filter of a rewritten tree.  ``aliases`` maps slugs of tags to the slugs they stand for."""
+def condition(tree, aliases: dict[str, str] | None = None, denied: bool = False) -> Column:
+    """The filter of a rewritten tree, to be used as a filter: unknown is as good as false.
+
+    ``aliases`` maps slugs of tags to the slugs they stand for; ``denied`` says that the tree stands below a NOT.
+    """
     if isinstance(tree, And):
-        return reduce(operator.and_, (condition(x, aliases) for x in tree.items))
+        return reduce(operator.and_, (condition(x, aliases, denied) for x in tree.items))
     if isinstance(tree, Or):
-        return reduce(operator.or_, (condition(x, aliases) for x in tree.items))
+        return reduce(operator.or_, (condition(x, aliases, denied) for x in tree.items))
     if isinstance(tree, Not):
-        return ~condition(tree.item, aliases)
-    if isinstance(tree, (Everything, Nothing)):
-        return leaf(tree, {})
-    return F.coalesce(leaf(tree, aliases or {}), F.lit(False))
+        return ~condition(tree.item, aliases, True)
+    found = leaf(tree, aliases or {})
+    return F.coalesce(found, F.lit(False)) if denied and not isinstance(tree, (Everything, Nothing)) else found

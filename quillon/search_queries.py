@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import counts, lookup
 from quillon.operators.prepare import current, prepare, with_unique_tag
-from quillon.operators.search import PAGE, order_keys, sample, search
+from quillon.operators.search import PAGE, sample, search
 from quillon.operators.store import store
 from quillon.sources.tables import table
 
@@ -421,5 +421,3 @@ SQL["rul_rulings"] = """
     SELECT *, CAST(row_number() OVER (PARTITION BY oracle_id ORDER BY published_at DESC, comment ASC, source ASC) AS INTEGER) AS place FROM (
         SELECT DISTINCT lower(trim(oracle_id)) AS oracle_id, source, left(published_at, 10) AS published_at, comment FROM rulings
         WHERE trim(oracle_id) <> '' AND source <> '' AND length(published_at) >= 10 AND comment <> '')"""
-
-assert order_keys  # re-exported for callers that build their own pages
