@@ -198,11 +198,20 @@ def _paged(query: str, where: str, unique: str, prefer: str, orderby: str, direc
     return run, _sql(f"SELECT * FROM ({numbered}) WHERE position >= {offset} AND position < {offset + limit}")
 
 
+def _whole(query: str, where: str, unique: str, prefer: str, multilingual: bool = False):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return search(corpus(spark, d), query, unique=unique, prefer=prefer, limit=None, include_multilingual=multilingual).rows.select("scryfall_id", "card_name")
+
+    run.__doc__ = f"All results of {query!r}, unique by {unique}, preferring {prefer}."
+    lane = f"({where}) AND NOT is_extra" + ("" if multilingual else " AND is_canonical")
+    return run, _sql(f"SELECT scryfall_id, card_name FROM ({_choice_sql(lane, unique, prefer)})")
+
+
 _CREATURES = ("t:creature cmc<=4", "lower(type_line) LIKE '%creature%' AND cmc <= 4")
 _PAGES = {f"ord_{o}_{way}": _paged(*_CREATURES, "card", "default", o, way, 40, 10) for o in ("artist", "cmc", "color", "edhrec", "eur", "name", "rarity", "released", "set", "usd") for way in ("asc", "desc")}
 _PAGES |= {f"ord_{o}_auto": _paged(*_CREATURES, "printing", "default", o, "auto", 60, 0) for o in ("cubecobra", "power", "tix", "toughness", "released", "name")}
-_PAGES |= {f"unq_{u}_{'all' if m else 'en'}": _paged(*_CREATURES, u, "default", "name", "asc", 200, 0, m) for u in ("card", "printing", "artwork") for m in (False, True)}
-_PAGES |= {f"prf_{p}": _paged(*_CREATURES, "card", p, "name", "asc", 200, 0) for p in ("oldest", "newest", "usd_low", "usd_high", "promo")}
+_PAGES |= {f"unq_{u}_{'all' if m else 'en'}": _whole(*_CREATURES, u, "default", m) for u in ("card", "printing", "artwork") for m in (False, True)}
+_PAGES |= {f"prf_{p}": _whole(*_CREATURES, "card", p) for p in ("oldest", "newest", "usd_low", "usd_high", "promo")}
 _PAGES |= {f"lim_page_{n}": _paged("r>=rare", "card_rarity_int >= 2", "printing", "default", "name", "auto", PAGE, (n - 1) * PAGE) for n in (1, 2, 3)}
 
 

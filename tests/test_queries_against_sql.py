@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, data, con, name):
 
 def test_entry_has_rows_and_schema(spark):
     df = entry.entry(spark)
-    assert df.columns == ["position", "scryfall_id", "card_name"]
+    assert df.columns == ["scryfall_id", "card_name"]
     assert df.count() > 0
 
 

@@ -176,3 +176,21 @@ def test_rulings_and_pictures(spark, cards):
     assert [x["comment"] for x in lookup.rulings_of(r, " O").collect()] == ["y", "z", "x"]
     assert '"object":"ruling"' in r.select(ruling_object().alias("o")).first()["o"]
     assert cards.where("scryfall_id = 'a1'").select(image_uris("http://x/").alias("u")).first()["u"]["png"] == "http://x/png/front/a/1/a1.png"
+
+
+GRID = [(o, d, u, m) for i, o in enumerate(("artist", "cmc", "color", "edhrec", "eur", "name", "power", "rarity", "released", "set", "toughness", "usd")) for d, u, m in [(("asc", "desc")[i % 2], ("card", "printing", "artwork")[i % 3], i % 4 < 2)]]
+
+
+@pytest.fixture(scope="module")
+def spread(spark, data):
+    """The same rows, full of ties, in other partitions and another order."""
+    from quillon.search_queries import corpus
+
+    cards = corpus(spark, data)
+    return cards, cards.repartition(7, "card_name").cache()
+
+
+@pytest.mark.parametrize("orderby,direction,unique,multilingual", GRID)
+def test_pages_do_not_depend_on_partitions(spread, orderby, direction, unique, multilingual):
+    pages = [[(r["position"], r["scryfall_id"]) for r in search(c, "t:creature or t:land", orderby=orderby, direction=direction, unique=unique, include_multilingual=multilingual, limit=37, offset=11).rows.orderBy("position").collect()] for c in spread]
+    assert pages[0] == pages[1] and len(pages[0]) == 37
