@@ -174,3 +174,20 @@ def with_unique_tag(df: DataFrame) -> DataFrame:
     tagged = F.when(F.col("one"), F.array_union("is_tags", F.array(F.lit("unique")))).otherwise(F.col("is_tags"))
     return df.join(sets, "oracle_id", "left").withColumn("is_tags", tagged).drop("one")
 
+
+
+def with_unified_artworks(df: DataFrame) -> DataFrame:
+    """Prepared rows whose faces' illustrations are partly unknown, under the artwork of a row of the same card that they
+    fit: equal wherever both are known.  Of several the least; rows of which nothing is known stay together.
+
+    ``df`` needs ``face_illustrations``, an array with a place for every face, null where unknown.
+    """
+    ids = F.col("face_illustrations")
+    known = F.filter(ids, lambda i: i.isNotNull())
+    incomplete = df.where(F.exists(ids, lambda i: i.isNull()) & (F.size(known) > 0)).select("scryfall_id", "card_key", ids.alias("part"), known[0].alias("one"))
+    whole = df.where(~F.exists(ids, lambda i: i.isNull()) & (F.size(ids) > 0)).select("card_key", ids.alias("all")).distinct()
+    places = whole.select("card_key", "all", F.explode(F.array_distinct("all")).alias("one"))
+    fits = F.forall(F.zip_with("part", "all", lambda p, a: F.coalesce(p == a, F.lit(True))), lambda x: x) & (F.size("part") == F.size("all"))
+    chosen = incomplete.join(places, ["card_key", "one"]).where(fits).groupBy("scryfall_id").agg(F.min("all").alias("_fits"))
+    out = df.join(chosen, "scryfall_id", "left")
+    return out.withColumn("artwork", F.coalesce("_fits", F.array_compact(ids))).drop("_fits")

@@ -29,11 +29,16 @@ def _state(spark: SparkSession, paths: list[str]) -> str:
     return hashlib.sha256("\n".join([context.applicationId, *seen]).encode()).hexdigest()[:16]
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def store(spark: SparkSession, sources: list[str], build: Callable[[], DataFrame]) -> DataFrame:
     """The table that ``build`` makes of ``sources``; made once a session as long as the sources stay as they are."""
     state = _state(spark, sources)
     path = f"{shared_folder(spark)}/store-{state}"
-    if path not in _built:
+    if path not in _built or not _exists(spark, path):
         df = build()
         df.write.mode("overwrite").parquet(path)
         _built[path] = df.schema

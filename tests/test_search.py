@@ -178,6 +178,24 @@ def test_rulings_and_pictures(spark, cards):
     assert cards.where("scryfall_id = 'a1'").select(image_uris("http://x/").alias("u")).first()["u"]["png"] == "http://x/png/front/a/1/a1.png"
 
 
+def test_partly_unknown_artworks_join_what_they_fit(spark):
+    from quillon.operators.prepare import with_unified_artworks
+
+    rows = [("a", "A", ["1", "2"]), ("b", "A", ["1", None]), ("c", "A", [None, "2"]), ("d", "A", [None, None]), ("e", "A", ["1", "3"]), ("f", "A", [None, "9"]), ("g", "B", ["1", None]), ("h", "A", [None, None])]
+    df = spark.createDataFrame(rows, "scryfall_id string, card_key string, face_illustrations array<string>")
+    got = {r["scryfall_id"]: r["artwork"] for r in with_unified_artworks(df).collect()}
+    assert got == {"a": ["1", "2"], "b": ["1", "2"], "c": ["1", "2"], "d": [], "e": ["1", "3"], "f": ["9"], "g": ["1"], "h": []}
+
+
+def test_store_is_made_anew_after_release(spark, data):
+    from quillon.runtime import release
+    from quillon.search_queries import corpus
+
+    n = corpus(spark, data).count()
+    release(spark)
+    assert corpus(spark, data).count() == n
+
+
 GRID = [(o, d, u, m) for i, o in enumerate(("artist", "cmc", "color", "edhrec", "eur", "name", "power", "rarity", "released", "set", "toughness", "usd")) for d, u, m in [(("asc", "desc")[i % 2], ("card", "printing", "artwork")[i % 3], i % 4 < 2)]]
 
 
