@@ -8,6 +8,7 @@ such folder gets one of its own.
 from __future__ import annotations
 
 import atexit
+import io
 import math
 import os
 import tempfile
@@ -62,12 +63,17 @@ def ship_code(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="quillon-code-"), "quillon.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, files in os.walk(root):
             for name in sorted(f for f in files if f.endswith(".py")):
                 path = os.path.join(folder, name)
                 archive.write(path, os.path.relpath(path, os.path.dirname(root)))
+    target = f"{shared_folder(spark)}/quillon.zip"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+    stream = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
 
@@ -91,7 +97,9 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Deletes all intermediate tables of this application; results not yet read are lost."""
-    folder = _folders.pop(spark.sparkContext.applicationId, None)
+    app = spark.sparkContext.applicationId
+    folder = _folders.pop(app, None)
+    _shipped.discard(app)
     if folder:
         drop(spark, folder)
 
