@@ -111,7 +111,11 @@ def _release_quietly(spark: SparkSession) -> None:
         pass
 
 
-def blocks_for(spark: SparkSession, rows: int, rows_per_block: int = 1_000_000) -> int:
-    """How many blocks keep each one's entries to about ``rows_per_block``, and all tasks busy."""
+def blocks_for(spark: SparkSession, rows: int, rows_per_block: int = 250_000) -> int:
+    """How many blocks keep each one's entries to about ``rows_per_block``, and all tasks evenly busy.
+
+    Blocks are hashed to partitions, so there are several a partition: with one each, some partitions would get three
+    or four and others none.
+    """
     ship_code(spark)
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_block), 1)
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / rows_per_block))
