@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import natural_key
+from quillon.plans.list_ranking import running_total
 
 #: Ranks beyond this count as this.
 LAST_RANK = 1024
@@ -15,12 +16,12 @@ def name_percent_ranks(df: DataFrame, name: str, rank: str) -> DataFrame:
     """(name, score): 25 times the percent rank of each different name by its least ``rank``, unknown ranks last.
 
     A percent rank is the number of smaller values over all but one, so counting per value of ``rank`` and summing the
-    counts in order gives it without sorting all names in one task: only the different ranks are windowed.
+    counts in order gives it without ranking all names in one task.
     """
     names = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(rank).alias("r"))
     counts = names.groupBy("r").agg(F.count("*").alias("n"))
-    order = Window.orderBy(F.col("r").asc_nulls_last())
-    before = counts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
+    total = names.count()
+    before = running_total(counts, "r", "n", "before").withColumn("all", F.lit(total))
     score = F.when(F.col("all") > 1, 25.0 * F.col("before") / (F.col("all") - 1)).otherwise(0.0)
     return names.join(before, names["r"].eqNullSafe(before["r"])).select(name, score.alias("score"))
 

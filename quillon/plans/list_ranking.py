@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.runtime import drop, materialise
@@ -95,9 +95,25 @@ def next_in_order(df: DataFrame, by: list[str]) -> DataFrame:
     follow = [(a["pid"], *b["first"]) for a, b in zip(firsts, firsts[1:], strict=False)]
     kinds = dict(df.dtypes)
     schema = "pid int, " + ", ".join(f"over_{c} {kinds[c]}" for c in by)
-    from pyspark.sql import Window
-
     chunk = Window.partitionBy("pid").orderBy(*by)
     led = spread.select("*", *(F.lead(c).over(chunk).alias(f"in_{c}") for c in by))
     led = led.join(F.broadcast(df.sparkSession.createDataFrame(follow, schema)), "pid", "left")
     return led.select(*by, *(F.coalesce(f"in_{c}", f"over_{c}").alias(f"next_{c}") for c in by))
+
+
+def running_total(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows that come before in the order of ``by``, nulls last.
+
+    ``by`` must not repeat.  Range partitions add up their own rows; only one sum a partition goes through the driver.
+    """
+    order = F.col(by).asc_nulls_last()
+    spread, _ = materialise(df.repartitionByRange(order).withColumn("_pid", F.spark_partition_id()), "totals")
+    sums = spread.groupBy("_pid").agg(F.sum(value).alias("s"), F.min(by).alias("first")).collect()
+    sums.sort(key=lambda r: (r["first"] is None, r["first"]) if r["first"] is not None else (True,))
+    before, offsets = 0, []
+    for r in sums:
+        offsets.append((r["_pid"], before))
+        before += r["s"]
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = df.sparkSession.createDataFrame(offsets, "_pid int, _start bigint")
+    return spread.withColumn("_own", own).join(F.broadcast(starts), "_pid").withColumn(out, F.col("_own") + F.col("_start")).drop("_pid", "_own", "_start")

@@ -238,6 +238,18 @@ def test_next_in_order(spark):
     assert got == dict(zip(rows, [*rows[1:], (None, None)], strict=True))
 
 
+def test_running_total(spark):
+    from quillon.plans.list_ranking import running_total
+
+    rows = [(i * 3, i % 4 + 1) for i in range(200)] + [(None, 5)]
+    got = {r["k"]: r["before"] for r in running_total(spark.createDataFrame(rows, "k bigint, n bigint").repartition(5), "k", "n", "before").collect()}
+    expected, total = {}, 0
+    for k, n in rows:
+        expected[k], total = total, total + n
+    assert got == expected
+    assert running_total(spark.createDataFrame([], "k bigint, n bigint"), "k", "n", "before").collect() == []
+
+
 def test_join_with_hot_keys(spark):
     from quillon.plans.skew import join_unique
 
