@@ -60,8 +60,8 @@ def _links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def _cycle_cuts(single: DataFrame) -> DataFrame:
-    """One node, the least, of every cycle of (child, parent) with one parent each."""
+def _cycle_cuts(single: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One node, that of the least id, of every cycle of (child, parent) with one parent each."""
     spark = single.sparkSession
     jump, path = materialise(single.select(F.col("child").alias("v"), F.col("parent").alias("to")), "peel")
     size = jump.count()
@@ -85,7 +85,8 @@ def _cycle_cuts(single: DataFrame) -> DataFrame:
         changed = step.where("moved").count()
         drop(spark, path)
         label, path = step.drop("moved"), newer
-    return label.where("v = least").select(F.col("v").alias("child"))
+    named = label.select(F.col("v").alias("n"), "least").join(nodes, "n")
+    return named.groupBy("least").agg(F.min_by("n", "id").alias("child")).select("child")
 
 
 def _tour(nodes: DataFrame, tree: DataFrame, one_task: int) -> DataFrame:
@@ -147,7 +148,7 @@ def build_forest(found: DataFrame, one_task: int = ONE_TASK) -> Forest:
     nodes, edges = _links(found)
     counted = edges.withColumn("of", F.count("*").over(Window.partitionBy("child")))
     single = counted.where("of = 1").select("child", "parent")
-    cuts, _ = materialise(counted.where("of > 1").select("child").distinct().unionByName(_cycle_cuts(single)), "cuts")
+    cuts, _ = materialise(counted.where("of > 1").select("child").distinct().unionByName(_cycle_cuts(single, nodes)), "cuts")
     cut, _ = materialise(edges.join(cuts, "child", "left_semi").select(F.col("child").alias("root"), F.col("parent").alias("entry")), "cut")
     tour = _tour(nodes, edges.join(cuts, "child", "left_anti"), one_task)
     up, _ = materialise(_within_tree(tour), "up")
@@ -179,22 +180,92 @@ def ancestors(df: DataFrame, node: str, parents: str, version: list[str], one_ta
     return f.pairs.join(own, "n").join(other, "ancestor").select("id", "ancestor_id", "steps")
 
 
+def _rootless(f: Forest) -> DataFrame:
+    """The nodes without parents."""
+    return f.nodes.join(f.edges.select(F.col("child").alias("n")), "n", "left_anti").select("n")
+
+
+def _to_roots(f: Forest, pairs: DataFrame) -> DataFrame:
+    """(n, root, steps): each node with each node without parents that it reaches, itself if it is one."""
+    rootless = _rootless(f)
+    above = pairs.join(rootless.select(F.col("n").alias("ancestor")), "ancestor").select("n", F.col("ancestor").alias("root"), "steps")
+    return above.unionByName(rootless.select("n", F.col("n").alias("root"), F.lit(0).alias("steps")))
+
+
+def _tree_paths(f: Forest) -> DataFrame:
+    """(n, root, tree_path): each node with its tree's root and the ids from that root down to it."""
+    named = f.up.join(f.nodes.select(F.col("n").alias("above"), "id"), "above")
+    path = F.transform(F.sort_array(F.collect_list(F.struct("steps", "id")), asc=False), lambda x: x["id"]).alias("tree_path")
+    return named.groupBy("n").agg(F.max(F.when(F.col("steps") == F.col("depth"), F.col("above"))).alias("root"), path)
+
+
+def _leads(f: Forest, paths: DataFrame, depths: DataFrame) -> DataFrame:
+    """(root, lead): for each tree's root that reaches a node without parents, the ids above it on a path of fewest
+    steps, that node first; of equally short paths the one over the parent of least id.
+
+    Inside a tree a path has no choice, so only cut roots choose a parent; the segments that they choose are then
+    joined up by pointer doubling.
+    """
+    spark = f.nodes.sparkSession
+    links = f.cut.count()
+    ahead = depths.join(f.nodes, "n").select(F.col("n").alias("entry"), F.struct("depth", "id").alias("rank"))
+    best = join_unique(f.cut, ahead, "entry", links).groupBy("root").agg(F.min_by(F.struct("entry", "rank"), "rank").alias("best"))
+    best = best.select("root", F.col("best.entry").alias("entry"), F.col("best.rank.depth").alias("ahead"))
+    segments = paths.select(F.col("n").alias("entry"), F.col("root").alias("next"), F.col("tree_path").alias("lead"))
+    chosen = join_unique(best, segments, "entry", links)
+    # a segment as long as its depth begins at a node without parents
+    chosen = chosen.select("root", F.when(F.size("lead") <= F.col("ahead"), F.col("next")).alias("next"), "lead")
+    far, path = materialise(chosen, "leads")
+    going = far.where("next is not null").count()
+    while going:
+        beyond = far.select(F.col("root").alias("next"), F.col("next").alias("next2"), F.col("lead").alias("lead2"))
+        on = join_unique(far.where("next is not null"), beyond, "next", going).select("root", F.col("next2").alias("next"), F.concat("lead2", "lead").alias("lead"))
+        further, newer = materialise(far.where("next is null").unionByName(on), "leads")
+        drop(spark, path)
+        far, path = further, newer
+        going = far.where("next is not null").count()
+    return far.select("root", "lead").unionByName(_rootless(f).select(F.col("n").alias("root"), F.array().cast("array<string>").alias("lead")))
+
+
 def summary(df: DataFrame, node: str, parents: str, version: list[str], one_task: int = ONE_TASK) -> DataFrame:
-    """One row per node: ``tree_path`` (ids from the root of its tree down to it), ``depth`` (fewest steps to a node
-    without parents, null if none is reached), ``n_roots`` (such nodes reached, itself if it is one), ``n_ancestors``,
-    ``n_descendants``, ``n_parents``, ``in_cycle``.
+    """One row per node: ``path`` (ids from a node without parents down to it, a path of fewest steps; of equally short
+    ones that over the parents of least ids; null if it reaches no such node), ``tree_path`` (ids from the root of its
+    tree down to it), ``depth`` (fewest steps to a node without parents, null if none is reached), ``n_roots`` (such
+    nodes reached, itself if it is one; ``roots`` names them), ``n_ancestors``, ``n_descendants``, ``n_parents``,
+    ``in_cycle``.
 
     A tree's root has no parent, or several, or is the node at which a cycle was cut; paths beyond it go on at each of
-    its parents, so the tree paths together spell every path once instead of multiplying them out.
+    its parents, which ``segments`` gives, so the tree paths together spell every path once instead of multiplying them
+    out.
     """
     f = build_forest(latest(df, node, parents, version), one_task)
     pairs, _ = materialise(f.pairs, "pairs")
-    rootless = f.nodes.join(f.edges.select(F.col("child").alias("n")), "n", "left_anti").select(F.col("n").alias("ancestor"))
-    tops = pairs.unionByName(rootless.select(F.col("ancestor").alias("n"), "ancestor", F.lit(0).alias("steps"))).join(rootless, "ancestor").groupBy("n").agg(F.min("steps").alias("depth"), F.count("*").alias("n_roots"))
+    tops, _ = materialise(_to_roots(f, pairs).groupBy("n").agg(F.min("steps").alias("depth"), F.count("*").alias("n_roots")), "tops")
     above = pairs.groupBy("n").agg(F.count("*").alias("n_ancestors"), F.max(F.col("n") == F.col("ancestor")).alias("in_cycle"))
     below = pairs.groupBy(F.col("ancestor").alias("n")).agg(F.count("*").alias("n_descendants"))
-    path = f.up.join(f.nodes.select(F.col("n").alias("above"), "id"), "above").groupBy("n").agg(F.transform(F.sort_array(F.collect_list(F.struct("steps", "id")), asc=False), lambda x: x["id"]).alias("tree_path"))
-    out = f.nodes.join(path, "n").join(f.edges.groupBy(F.col("child").alias("n")).agg(F.count("*").alias("n_parents")), "n", "left")
+    paths, _ = materialise(_tree_paths(f), "paths")
+    whole = join_unique(paths, _leads(f, paths, tops.select("n", "depth")), "root", f.nodes.count()).select("n", F.concat("lead", "tree_path").alias("path"))
+    out = f.nodes.join(paths, "n").join(whole, "n", "left").join(f.edges.groupBy(F.col("child").alias("n")).agg(F.count("*").alias("n_parents")), "n", "left")
     out = out.join(tops, "n", "left").join(above, "n", "left").join(below, "n", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("id", "tree_path", "depth", zero("n_roots"), zero("n_ancestors"), zero("n_descendants"), zero("n_parents"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+    return out.select("id", "path", "tree_path", "depth", zero("n_roots"), zero("n_ancestors"), zero("n_descendants"), zero("n_parents"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+
+
+def roots(df: DataFrame, node: str, parents: str, version: list[str], one_task: int = ONE_TASK) -> DataFrame:
+    """(id, root_id, steps): each node with each node without parents that it reaches, and the fewest steps; a node
+    without parents is its own root at 0 steps."""
+    f = build_forest(latest(df, node, parents, version), one_task)
+    own, other = f.nodes.select("n", "id"), f.nodes.select(F.col("n").alias("root"), F.col("id").alias("root_id"))
+    return _to_roots(f, f.pairs).join(own, "n").join(other, "root").select("id", "root_id", "steps")
+
+
+def segments(df: DataFrame, node: str, parents: str, version: list[str], one_task: int = ONE_TASK) -> DataFrame:
+    """(id, parent_id, parent_path): the links cut from the roots of trees, each with its parent's ``tree_path``.
+
+    A node's paths are its ``tree_path``, put below each ``parent_path`` of that path's first id, and so on until a
+    first id has no row here.
+    """
+    f = build_forest(latest(df, node, parents, version), one_task)
+    above = _tree_paths(f).join(f.nodes, "n").select(F.col("n").alias("entry"), F.col("id").alias("parent_id"), F.col("tree_path").alias("parent_path"))
+    own = f.nodes.select(F.col("n").alias("root"), "id")
+    return join_unique(f.cut, above, "entry", f.cut.count()).join(own, "root").select("id", "parent_id", "parent_path")

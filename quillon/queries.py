@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.flatten import flatten_lines, part_links
-from quillon.operators.hierarchy import ancestors, summary
+from quillon.operators.hierarchy import ancestors, roots, segments, summary
 from quillon.operators.key_totals import distinct_ids, key_totals, large_keys
 from quillon.operators.orphans import month_of, orphan_references
 from quillon.sources.tables import table
@@ -63,10 +63,20 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Every tag with its path, depth, and numbers of roots, ancestors and descendants; whether it lies on a cycle."""
+    """Every tag with a path to a root, depth, and numbers of roots, ancestors and descendants; whether it lies on a cycle."""
     return summary(table(spark, d, "tags"), "id", "parent_ids", ["updated_at", "row_no"]).withColumnRenamed("id", "tag_id")
 
 
+def p5_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Every tag with every tag without parents that it reaches, and the fewest steps."""
+    return roots(table(spark, d, "tags"), "id", "parent_ids", ["updated_at", "row_no"]).withColumnRenamed("id", "tag_id")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """The links above the first tags of tree paths, with the tree paths that go on there; they spell all paths."""
+    return segments(table(spark, d, "tags"), "id", "parent_ids", ["updated_at", "row_no"]).withColumnRenamed("id", "tag_id")
+
+
 PROBLEMS = {
     "p2_found": p2_found,
     "p2_totals": p2_totals,
@@ -78,6 +88,8 @@ PROBLEMS = {
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_tags": p5_tags,
+    "p5_roots": p5_roots,
+    "p5_segments": p5_segments,
 }
 
 _ABSENT = """

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions import json_tape
 from quillon.functions.bitmap import Bitmap
 from quillon.operators.flatten import flat_tables, flatten_lines, part_links
-from quillon.operators.hierarchy import ancestors, summary
+from quillon.operators.hierarchy import ancestors, roots, segments, summary
 from quillon.operators.key_totals import key_totals, large_keys
 from quillon.operators.orphans import month_of, orphan_references
 from quillon.plans.list_ranking import next_in_order, suffix_sums
@@ -304,6 +304,48 @@ def test_random_hierarchies(spark, seed, back):
     assert got == sorted(ancestors_by_search(rows))
 
 
+def links_of(rows):
+    norm = lambda s: (s or "").strip().lower() or None
+    ids = {norm(i) for i, *_ in rows}
+    return {norm(i): sorted({norm(p) for p in ps or []} & ids) for i, ps, *_ in rows}
+
+
+@pytest.mark.parametrize("seed,back", [(3, 0), (4, 8)])
+def test_paths_and_roots_go_on_beyond_cuts(spark, seed, back):
+    random.seed(seed)
+    rows = [(f"t{i}", [f"t{random.randrange(max(i, 1))}" for _ in range(random.choice([1, 1, 1, 2, 3]))] if i > 3 else [], 0, "") for i in range(60)]
+    rows += [(f"b{i}", [f"b{(i + 1) % back}"], 0, "") for i in range(back)] + [(f"c{i}", [f"b{i}", f"t{i + 9}"], 0, "") for i in range(back)] + [("low", ["b1"], 0, "")] * (back > 0)
+    df, up = spark.createDataFrame(rows, TAGS), links_of(rows)
+    info = {r["id"]: r for r in summary(df, "id", "parents", ["v"]).collect()}
+    reach = ancestors_by_search(rows) | {(i, i, 0) for i in up if not up[i]}
+    expected = {(i, a, s) for i, a, s in reach if not up[a] and (i != a or not s)}
+    assert sorted(tuple(r) for r in roots(df, "id", "parents", ["v"]).collect()) == sorted(expected)
+    depth = {i: min((s for j, _, s in expected if j == i), default=None) for i in up}
+
+    def path(i):
+        if depth[i] is None:
+            return None
+        return [*path(min(p for p in up[i] if depth[p] == depth[i] - 1)), i] if up[i] else [i]
+
+    assert {i: r["path"] for i, r in info.items()} == {i: path(i) for i in up}
+    assert any(r["path"] and r["path"] != r["tree_path"] for r in info.values())
+
+    beyond = defaultdict(list)
+    for r in segments(df, "id", "parents", ["v"]).collect():
+        assert r["parent_path"] == info[r["parent_id"]]["tree_path"]
+        beyond[r["id"]].append(r["parent_path"])
+
+    def spelled(p):
+        over = [q for q in beyond[p[0]] if not set(q) & set(p)]
+        return [x for q in over for x in spelled([*q, *p])] if beyond[p[0]] else [tuple(p)]
+
+    def walked(p):
+        return [x for q in up[p[0]] if q not in p for x in walked([q, *p])] if up[p[0]] else [tuple(p)]
+
+    for i in random.sample(sorted(up), 25):
+        assert sorted(spelled(info[i]["tree_path"])) == sorted(walked([i]))
+
+
 def test_a_star_and_a_chain(spark):
     rows = [("hub", [], 0, "")] + [(f"s{i}", ["hub"], 0, "") for i in range(400)] + [(f"c{i}", [f"c{i - 1}"] if i else [], 0, "") for i in range(80)]
     df = spark.createDataFrame(rows, TAGS)
