@@ -24,8 +24,10 @@ CHUNK_BYTES = 4 << 20
 #: Texts within texts are followed so many layers deep; each layer doubles the escapes, so real data has few.
 MAX_LAYERS = 32
 _FIELDS = ("oracle_id", "name", "lang", "set", "released_at", "layout", "type_line", "mana_cost", "component", "uri")
-_SCHEMA = "kind string, line_no bigint, node_no bigint, id string, parent_id string, " + ", ".join(f"{f} string" for f in (*_FIELDS,))
-_ARROW = pa.schema([("kind", pa.string()), ("line_no", pa.int64()), ("node_no", pa.int64()), ("id", pa.string()), ("parent_id", pa.string()), *((f, pa.string()) for f in _FIELDS)])
+#: Members by which an object without an id is known as a part or a record.
+_OF_PARTS, _OF_RECORDS = ("id", "uri", "object", "component", "name", "type_line"), ("oracle_id", "type_line", "all_parts", "card_faces")
+_SCHEMA = "kind string, line_no bigint, node_no bigint, id string, parent_id string, parent_node bigint, " + ", ".join(f"{f} string" for f in (*_FIELDS,))
+_ARROW = pa.schema([("kind", pa.string()), ("line_no", pa.int64()), ("node_no", pa.int64()), ("id", pa.string()), ("parent_id", pa.string()), ("parent_node", pa.int64()), *((f, pa.string()) for f in _FIELDS)])
 
 
 def _clean(ids: pa.Array) -> pa.Array:
@@ -42,9 +44,10 @@ def _last_segment(uris: pa.Array) -> pa.Array:
 
 
 def _flatten(lines: pa.Array, line_no: pa.Array) -> list[pa.Table]:
-    """The rows of one chunk; ``above`` holds, in later layers, the parent's id and what the text stood in."""
+    """The rows of one chunk; ``above`` and ``above_node`` hold, in later layers, the parent's id and number, and what
+    the text stood in."""
     out: list[pa.Table] = []
-    above = pa.nulls(len(lines), pa.string())
+    above, above_node = pa.nulls(len(lines), pa.string()), np.full(len(lines), -1)
     in_parts, in_faces, order = np.zeros(len(lines), bool), np.zeros(len(lines), bool), np.zeros(len(lines), np.int64)
     for _ in range(MAX_LAYERS):
         tape = json_tape.read(lines)
@@ -60,17 +63,31 @@ def _flatten(lines: pa.Array, line_no: pa.Array) -> list[pa.Table]:
         faces = tape.inherit(own_faces | ((tape.parent < 0) & in_faces[tape.row])) & ~parts
         linked = has_id & (parts | ~faces)
         near = tape.nearest(linked)
+        members = lambda names: np.any([tape.child(k) >= 0 for k in names], axis=0)
+        # an object whose members are all objects or lists is a map of parts, an empty one a part only in a list
+        flat = np.zeros(n, bool)
+        flat[tape.parent[(tape.parent >= 0) & (tape.kind != json_tape.OBJECT) & (tape.kind != json_tape.ARRAY)]] = True
+        nested = np.zeros(n, bool)
+        nested[tape.parent[tape.parent >= 0]] = True
+        listed = (tape.parent >= 0) & (tape.kind[np.maximum(tape.parent, 0)] == json_tape.ARRAY)
+        part = object_ & parts & (has_id | (flat & (listed | members(_OF_PARTS))) | (listed & ~nested))
+        record = object_ & ~parts & ~faces & (has_id | members(_OF_RECORDS))
+        holder = tape.nearest(part | record)
         outer = above.take(pa.array(tape.row))
         parent_id = pc.if_else(pa.array(near >= 0), ids.take(pa.array(near, mask=near < 0)), outer)
         up = np.maximum(tape.parent, 0)
         face = object_ & faces & (own_faces | (own_faces[up] & (tape.parent >= 0) & (tape.kind[up] == json_tape.ARRAY)) | ((tape.parent < 0) & in_faces[tape.row]))
-        number = order[tape.row] + tape.start
-        for kind, chosen in (("record", linked & ~parts), ("face", face), ("part", linked & parts)):
+        # counted from the text's own value, so that numbers are within those of the string that held the text
+        own = np.zeros(len(lines), np.int64)
+        own[tape.row[tape.parent < 0]] = tape.start[tape.parent < 0]
+        number = order[tape.row] + tape.start - own[tape.row]
+        parent_node = np.where(holder >= 0, number[np.maximum(holder, 0)], above_node[tape.row])
+        for kind, chosen in (("record", record), ("face", face), ("part", part)):
             at = np.flatnonzero(chosen)
             if len(at):
                 pick = pa.array(at)
                 fields = [tape.text(tape.child(f)[at]) for f in _FIELDS]
-                out.append(pa.Table.from_arrays([pa.array([kind] * len(at)), line_no.take(pa.array(tape.row[at])), pa.array(number[at]), ids.take(pick), parent_id.take(pick), *fields], schema=_ARROW))
+                out.append(pa.Table.from_arrays([pa.array([kind] * len(at)), line_no.take(pa.array(tape.row[at])), pa.array(number[at]), ids.take(pick), parent_id.take(pick), pa.array(parent_node[at], mask=parent_node[at] < 0), *fields], schema=_ARROW))
         # texts that hold JSON: inside related parts any, elsewhere those that name related parts
         text = np.flatnonzero((tape.kind == json_tape.STRING) & (tape.end - tape.start > 3))
         body = tape.text(text)
@@ -80,7 +97,7 @@ def _flatten(lines: pa.Array, line_no: pa.Array) -> list[pa.Table]:
         if not len(text):
             break
         lines, line_no, above = body.filter(pa.array(held)), line_no.take(pa.array(tape.row[text])), parent_id.take(pa.array(text))
-        in_parts, in_faces, order = parts[text], faces[text], number[text]
+        in_parts, in_faces, order, above_node = parts[text], faces[text], number[text], parent_node[text]
     return out
 
 
@@ -100,12 +117,15 @@ def flatten_lines(df: DataFrame, line_no: str = "line_no", line: str = "line") -
 
     ``kind`` is record, face or part; ``id`` the object's own id (its ``id``, else the last non-empty segment of its
     ``uri``'s path), ``parent_id`` that of the closest record or part around it that has one (null: none has).
-    ``node_no`` orders the rows of a line; the other columns are the object's own fields of these names, null where
+    ``node_no`` orders the rows of a line and ``parent_node`` is that of the closest record or part around the object,
+    with or without an id (null: there is none); the other columns are the object's own fields of these names, null where
     missing or of another type (numbers come as their text).
 
-    A part is an object with an id anywhere inside a value of the key ``all_parts``: list, list of lists, object, map of
-    objects, or text that holds such JSON, at any depth.  A face is an element of ``card_faces``.  A record is any other
-    object with an id.  A line that is not one complete JSON value gives no rows; nor do null and empty lines.  Of
+    A part is an object anywhere inside a value of the key ``all_parts``: list, list of lists, object, map of objects, or
+    text that holds such JSON, at any depth.  Without an id, which leaves ``id`` null, it is a part if it stands in a
+    list and holds nothing or any plain value, or elsewhere if it holds a plain value and a member that parts have, so
+    that maps are no parts.  A face is an element of ``card_faces``.  A record is any other object with an id, or without
+    one if it has an ``oracle_id``, ``type_line``, ``all_parts`` or ``card_faces``.  A line that is not one complete JSON value gives no rows; nor do null and empty lines.  Of
     repeated keys in an object the last one counts.  Repeated lines give their rows again.  Further columns of the
     table are never read.
     """
@@ -120,5 +140,5 @@ def flat_tables(df: DataFrame, line_no: str = "line_no", line: str = "line") ->
 
 
 def part_links(df: DataFrame, line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """The distinct (line, parent id, part id) of all related parts."""
-    return flatten_lines(df, line_no, line).where("kind = 'part'").select("line_no", "parent_id", F.col("id").alias("part_id")).distinct()
+    """The distinct (line, parent id, part id) of all related parts that have an id."""
+    return flatten_lines(df, line_no, line).where("kind = 'part' and id is not null").select("line_no", "parent_id", F.col("id").alias("part_id")).distinct()

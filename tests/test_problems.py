@@ -185,6 +185,25 @@ def test_flat_tables_name_their_parents(spark):
     assert [(r["id"], r["parent_id"], r["component"], r["type_line"], r["uri"]) for r in flat["part"].collect()] == [("p", "r", "token", "T", "5")]
 
 
+def test_parts_and_records_without_ids_are_rows(spark):
+    held = json.dumps([{"name": "in text", "all_parts": [{"name": "below"}]}])
+    lines = [
+        '{"id":"R","all_parts":[{"component":"token","name":"no id","all_parts":[{"id":"P"}]},{},{"id":" ","name":"blank"},{"k":{"name":"in map"}}],"prices":{"usd":"1"}}',
+        '{"name":"bare","all_parts":{"k":{"id":"Q"},"l":{"name":"no id"}}}', json.dumps({"id": "S", "all_parts": held}), '{"all_parts":{}}',
+    ]
+    df = spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")
+    flat = flat_tables(df)
+    number = {(r["line_no"], r["node_no"]): (r["id"], r["name"]) for k in ("record", "part") for r in flat[k].collect()}
+    got = [(r["line_no"], r["id"], r["name"], r["parent_id"], number[r["line_no"], r["parent_node"]]) for r in flat["part"].orderBy("line_no", "node_no").collect()]
+    assert got == [
+        (0, None, "no id", "r", ("r", None)), (0, "p", None, "r", (None, "no id")), (0, None, None, "r", ("r", None)), (0, None, "blank", "r", ("r", None)), (0, None, "in map", "r", ("r", None)),
+        (1, "q", None, None, (None, "bare")), (1, None, "no id", None, (None, "bare")), (2, None, "in text", "s", ("s", None)), (2, None, "below", "s", (None, "in text")),
+    ]
+    assert sorted((r["line_no"], r["id"]) for r in flat["record"].collect() if r["id"]) == [(0, "r"), (2, "s")]
+    assert sorted((r["line_no"], r["name"]) for r in flat["record"].where("id is null").collect()) == [(1, "bare"), (3, None)] and len(number) == 13
+    assert {tuple(r) for r in part_links(df).collect()} == links_by_recursion(list(enumerate(lines)))
+
+
 def test_a_very_long_and_a_very_deep_line(spark):
     parts = ",".join(f'{{"id":"p{i}"}}' for i in range(20_000))
     deep = '{"id":"d","all_parts":[' * 300 + "]}" * 300
