@@ -58,8 +58,11 @@ SQL["prj_rows"] = f"""
 
 @_query
 def prj_type_words(spark: SparkSession, d: str) -> DataFrame:
-    """Types and subtypes of rows, one word a row."""
-    r = rows(spark, d).where("size(card_faces) = 0")
+    """Types and subtypes of rows without faces, one word a row; ``prj_type_words_all`` has those of all rows."""
+    return _type_words(rows(spark, d).where("size(card_faces) = 0"))
+
+
+def _type_words(r: DataFrame) -> DataFrame:
     return r.select("line_no", F.lit("type").alias("kind"), F.explode("card_types").alias("word")).unionByName(r.select("line_no", F.lit("subtype").alias("kind"), F.explode("card_subtypes").alias("word")))
 
 
@@ -70,6 +73,12 @@ SQL["prj_type_words"] = f"""
     SELECT DISTINCT line_no, kind, word FROM w WHERE word <> ''"""
 
 
+@_query
+def prj_type_words_all(spark: SparkSession, d: str) -> DataFrame:
+    """Types and subtypes of all rows, those of a row's faces merged, one word a row."""
+    return _type_words(rows(spark, d))
+
+
 @_query
 def prj_residue(spark: SparkSession, d: str) -> DataFrame:
     """How many records keep each key that no column holds."""

@@ -50,6 +50,24 @@ def test_faces_are_merged(spark):
     assert row["printed_name_folded"] == "fire // eis" and row["residue"] == {"custom": '{"k":1}'} and row["illustration_id"] == "i1"
 
 
+def test_type_words_of_all_rows(spark, data, tmp_path):
+    faces = [dict(name="a", type_line="Legendary Creature — Elf Scout"), dict(name="b", type_line="Creature — Elf  wall"), dict(name="c")]
+    lines = [record(card_faces=faces, type_line="Instant — Trap"), record(), record(card_faces=[])]
+    spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lines)], "line_no bigint, line string").write.parquet(str(tmp_path / "bulk_lines.parquet"))
+    own = sorted(tuple(r) for r in pipeline.QUERIES["prj_type_words_all"](spark, str(tmp_path)).collect())
+    assert own == sorted([*((0, "type", w) for w in ("Legendary", "Creature", "Instant")), *((0, "subtype", w) for w in ("Elf", "Scout", "Wall", "Trap")), (1, "type", "Instant"), (1, "type", "//")])
+
+    got = {tuple(r) for r in pipeline.QUERIES["prj_type_words_all"](spark, data).collect()}
+    plain = {tuple(r) for r in pipeline.QUERIES["prj_type_words"](spark, data).collect()}
+    expected = set()
+    for r in pipeline.rows(spark, data).where("size(card_faces) > 0").select("line_no").join(spark.read.parquet(f"{data}/bulk_lines.parquet"), "line_no").select("line_no", "line").collect():
+        whole = json.loads(r["line"])
+        for face in whole["card_faces"]:
+            halves = (whole["type_line"] if face.get("type_line") is None else face["type_line"]).title().split("—", 1)
+            expected |= {(r["line_no"], kind, w) for kind, half in zip(("type", "subtype"), halves, strict=False) for w in half.split()}
+    assert expected and got - plain == expected and plain <= got
+
+
 def test_incomplete_and_odd_records(spark):
     assert transformed(spark, record(id=None), record(colors=None), record(card_faces=[]), "", None, "{", "[1]", '"x"').count() == 0
     odd = transformed(spark, record(cmc="2.5", edhrec_rank=True, card_faces=None, rarity="odd", type_line="Legendary Creature — Urza's Aura-thing", set_type="memorabilia")).first()
