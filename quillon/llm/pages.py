@@ -13,20 +13,18 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import ship_code
+from quillon.runtime import drop, materialise, ship_code
 
 PROSE, LINKS, TAGS, MENU = range(4)
 STATES = ("prose", "link_list", "tag_list", "menu")
-#: Pages on whose symbols the model is fitted; their symbols, a few bytes a line, reach the driver.
-FIT_PAGES = 2000
-#: Strength of the prior against the sample, in lines.
+#: Strength of the prior against the pages, in lines.
 PRIOR_LINES = 3000.0
 FIT_ROUNDS = 8
 #: Lines of a page whose states are kept for pages of the same symbols, and how many such pages a task keeps.
@@ -236,22 +234,32 @@ def posterior(symbols: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np
     return state, (pairs / pairs.sum((1, 2), keepdims=True)).sum(0)
 
 
+def expected(pages: Iterable[tuple[np.ndarray, int]], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Expected starts, transitions and emissions, one after the other, over (symbols, times) of pages."""
+    s, m, e = np.zeros(4), np.zeros((4, 4)), np.zeros((4, SYMBOLS))
+    for symbols, times in pages:
+        state, moved = posterior(symbols, *model)
+        s += state[0] * times
+        m += moved * times
+        for k in range(4):
+            e[k] += np.bincount(symbols, state[:, k], SYMBOLS) * times
+    return np.concatenate([s, m.ravel(), e.ravel()])
+
+
+def _maximise(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model of expected counts, with the prior as ``PRIOR_LINES`` lines more."""
+    start0, move0, emit0 = prior()
+    s, m, e = start0 * PRIOR_LINES / 10 + sums[:4], move0 * PRIOR_LINES + sums[4:20].reshape(4, 4), emit0 * PRIOR_LINES + sums[20:].reshape(4, SYMBOLS)
+    return s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
+
+
 def fit(pages: list[np.ndarray], rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation maximisation over the symbols of some pages, with the prior as that many lines more."""
-    start0, move0, emit0 = prior()
-    start, move, emit = start0, move0, emit0
-    different = Counter(tuple(p) for p in pages if len(p))
+    model = prior()
+    different = [(np.array(p), n) for p, n in sorted(Counter(tuple(p) for p in pages if len(p)).items())]
     for _ in range(rounds):
-        s, m, e = start0 * PRIOR_LINES / 10, move0 * PRIOR_LINES, emit0 * PRIOR_LINES
-        for page, times in sorted(different.items()):
-            symbols = np.array(page)
-            state, moved = posterior(symbols, start, move, emit)
-            s += state[0] * times
-            m += moved * times
-            for k in range(4):
-                e[k] += np.bincount(symbols, state[:, k], SYMBOLS) * times
-        start, move, emit = s / s.sum(), m / m.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
-    return start, move, emit
+        model = _maximise(expected(different, model))
+    return model
 
 
 def shares(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray], known: dict[bytes, np.ndarray] | None = None) -> tuple[int, np.ndarray]:
@@ -271,29 +279,39 @@ def shares(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray], k
     return int(sizes.sum()), np.bincount(state, sizes, 4).astype(np.int64)
 
 
-def fit_model(documents: DataFrame, fit_pages: int = FIT_PAGES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model fitted on about ``fit_pages`` pages chosen by the hash of their id, at most twice as many."""
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).where("text is not null")
-    step = max(1, documents.count() // fit_pages)
-    some = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+def fit_model(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model fitted on all pages: each round adds up the expected counts of the different sequences of symbols, of
+    which one row a partition goes through the driver."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [encode(t.as_py())[0].tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int32()))], ["doc_id", "symbols"])
+            yield pa.RecordBatch.from_arrays([pa.array([encode(t.as_py())[0].tolist() for t in batch.column(0)], pa.list_(pa.int32()))], ["symbols"])
+
+    texts = documents.select(F.col("text").cast("string")).where("text is not null")
+    found = texts.mapInArrow(symbols, "symbols array<int>").where("size(symbols) > 0")
+    different, path = materialise(found.groupBy("symbols").agg(F.count("*").alias("times")), "symbols")
+    model = prior()
+    for _ in range(FIT_ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            sums = sum(expected(((np.array(p, np.int64), n) for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), model) for b in batches)
+            if np.ndim(sums):
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
 
-    sample = some.mapInArrow(run, "doc_id bigint, symbols array<int>").orderBy("doc_id", "symbols").limit(2 * fit_pages).collect()
-    return fit([np.array(r["symbols"], np.int64) for r in sample])
+        parts = different.mapInArrow(run, "sums array<double>").collect()
+        model = _maximise(np.sum([r["sums"] for r in parts], axis=0) if parts else np.zeros(20 + 4 * SYMBOLS))
+    drop(documents.sparkSession, path)
+    return model
 
 
-def page_kinds(documents: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
+def page_kinds(documents: DataFrame) -> DataFrame:
     """(doc_id, n_words, prose, link_list, tag_list, menu): how many words of each page lie in lines of each kind.
 
     ``documents`` has ``doc_id, text``.  Null, blank and wordless texts have no words of any kind.  Whole texts are read,
     however long; repeated rows give repeated results; an empty table none.  Other columns are never read.
     """
     ship_code(documents.sparkSession)
-    model = fit_model(documents, fit_pages)
+    model = fit_model(documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
@@ -307,6 +325,6 @@ def page_kinds(documents: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     return texts.mapInArrow(run, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))
 
 
-def list_pages(documents: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
+def list_pages(documents: DataFrame) -> DataFrame:
     """The rows of ``page_kinds`` of which more than half of the words are not prose."""
-    return page_kinds(documents, fit_pages).where(F.col("n_words") > 2 * F.col("prose"))
+    return page_kinds(documents).where(F.col("n_words") > 2 * F.col("prose"))

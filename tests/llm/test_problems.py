@@ -207,6 +207,15 @@ def test_pages(spark):
     assert pages.list_pages(df.limit(0)).collect() == []
 
 
+def test_model_is_fitted_on_all_pages(spark):
+    few = PROSE + LISTS
+    texts = [few[i * i % 97 % len(few)] for i in range(4500)] + [None, ""]
+    got = pages.fit_model(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5))
+    encoded = {t: pages.encode(t)[0] for t in few}
+    for a, b in zip(got, pages.fit([encoded[t] for t in texts if t]), strict=True):
+        assert a == pytest.approx(b, abs=1e-9)
+
+
 def test_a_very_long_page():
     model = pages.fit([])
     n, words_ = pages.shares("\n".join([PROSE[0]] * 3000), model)
