@@ -88,6 +88,23 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> tu
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def ship_files(spark: SparkSession, path: str) -> list[str]:
+    """Gives every executor the file ``path``, or the data files of the folder ``path``, once a session; returns the names
+    by which ``SparkFiles.get`` finds them.  A path without a scheme that exists here is a file of this machine."""
+    context = spark.sparkContext
+    if "://" not in path and os.path.exists(path):
+        path = "file://" + os.path.abspath(path)
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(context._jsc.hadoopConfiguration())
+    found = sorted(str(f.getPath()) for f in fs.listStatus(root) if not f.getPath().getName().startswith(("_", ".")))
+    for file in found:
+        key = f"{context.applicationId} {file}"
+        if key not in _shipped:
+            context.addFile(file)
+            _shipped.add(key)
+    return [file.rsplit("/", 1)[1] for file in found]
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Deletes a table that ``materialise`` wrote and no pending result reads."""
     jvm = spark.sparkContext._jvm
