@@ -3,27 +3,32 @@
 Tokens are summed per source, repetition rates follow from the sums, and every document is then emitted
 ``floor(rate)`` times plus once more with probability ``rate - floor(rate)``, drawn from a seeded hash of its id.  The
 draw depends on nothing but the id and the seed, so the mix is the same on every cluster, split and retry.
+
+Sources stay a table from end to end, however many there are: only sums over them reach the driver.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.runtime import materialise, ship_code
+from quillon.plans.skew import join_unique
+from quillon.runtime import materialise, ship_code, ship_files
 
 #: The vocabulary's file, and the pattern that splits a text before byte pairs are merged.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Target rows that may reach the driver; a mix has a row a source.
-MAX_SOURCES = 100_000
+#: Sources whose rates are broadcast to the documents, a few dozen bytes each; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
+#: Tokens of all documents of the targeted sources, as the size of a mix.
+TARGETED = "targeted"
 #: Characters encoded at a time; longer texts are cut where a blank follows a non-blank, which leaves the count as it is.
 PIECE = 100_000
 _encodings: dict[str, tiktoken.Encoding] = {}
@@ -57,8 +62,10 @@ def _tokens(encoding: tiktoken.Encoding, text: str) -> int:
 def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, source, n_tokens) of ``documents``; the source in one spelling, null texts have no tokens."""
 
+    name = ship_files(documents.sparkSession, vocabulary)[0]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(vocabulary)
+        encoding = _encoding(SparkFiles.get(name))
         for batch in batches:
             counts = np.fromiter((_tokens(encoding, t.as_py()) if t.is_valid else 0 for t in batch.column(2)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts)], ["doc_id", "source", "n_tokens"])
@@ -68,71 +75,56 @@ def count_tokens(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return rows.mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
 
-@dataclass
-class Source:
-    """One source of a mix: its target, its tokens, and how often its documents are used."""
-
-    name: str
-    target: float
-    max_copies: int
-    tokens: int
-    rate: float = 0.0
-
-
-def feasible_total(sources: list[Source]) -> float:
-    """The most tokens a mix can have in which every source with documents has exactly its share."""
-    open_ = [s for s in sources if s.target > 0 and s.tokens > 0 and s.max_copies > 0]
-    weight = sum(s.target for s in open_)
-    return min((s.tokens * s.max_copies * weight / s.target for s in open_), default=0.0)
+def rates(sources: DataFrame, total: float | str | None = None) -> tuple[DataFrame, float]:
+    """``sources`` (source, target_share, max_copies, tokens) with ``rate``, and the mix's size in tokens.
 
-
-def rates(sources: list[Source], total: float | None = None) -> list[Source]:
-    """Sets every source's rate so that the mix has ``total`` tokens (default: ``feasible_total``).
-
-    Targets count relative to the sum of those that have documents.  With a larger total, a source that cannot give its
-    share within ``max_copies`` gives all it can; what it falls short of goes to the others in proportion to their
-    targets, again and again until all fit.
+    The default size is the largest at which every source that has documents has its share; ``TARGETED`` is that of all
+    documents of these sources.  Targets count relative to the sum of those that have documents.  A source that cannot
+    give its share within ``max_copies`` gives all it can; what it falls short of goes to the others in proportion to
+    their targets, again and again until all fit.
     """
-    total = feasible_total(sources) if total is None else total
-    open_ = [s for s in sources if s.target > 0 and s.tokens > 0 and s.max_copies > 0]
-    left = float(total)
-    while open_:
-        weight = sum(s.target for s in open_)
-        over = [s for s in open_ if left * s.target / weight > s.tokens * s.max_copies * (1 + 1e-12)]
-        if not over:
-            for s in open_:
-                s.rate = min(float(s.max_copies), left * s.target / weight / s.tokens)
+    target = F.when(F.col("target_share") > 0, F.nanvl("target_share", F.lit(0.0))).otherwise(0.0)
+    cap = F.col("tokens") * F.coalesce("max_copies", F.lit(0))
+    # a source is full where more than cap / target tokens are given for a unit of target
+    usable = sources.withColumns({"_cap": cap.cast("double"), "_target": target}).withColumn("_full", F.when((F.col("_target") > 0) & (F.col("_cap") > 0), F.col("_cap") / F.col("_target")))
+    open_ = usable.where("_full is not null")
+    weight, least, most, tokens = open_.agg(F.sum("_target"), F.min("_full"), F.sum("_cap"), F.sum("tokens")).first()
+    weight, least, most = weight or 0.0, least or 0.0, most or 0.0
+    size = least * weight if total is None else float(tokens or 0) if total == TARGETED else float(total)
+    level, before = (size / weight if weight else 0.0), -1.0
+    while level > before and size < most:
+        before = level
+        full, rest = open_.agg(F.sum(F.when(F.col("_full") < level * (1 - 1e-12), F.col("_cap"))), F.sum(F.when(F.col("_full") >= level * (1 - 1e-12), F.col("_target")))).first()
+        if not rest:
             break
-        for s in over:
-            s.rate = float(s.max_copies)
-            left -= s.tokens * s.max_copies
-        open_ = [s for s in open_ if s not in over]
-    return sources
-
-
-def plan(counted: DataFrame, targets: DataFrame, total: float | None = None) -> list[Source]:
-    """The sources of ``targets`` (source, target_share, max_copies) with their tokens and rates."""
-    wanted = targets.select(source_name("source").alias("source"), "target_share", "max_copies").where("source is not null")
-    wanted = wanted.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_copies").alias("max_copies"))
-    if wanted.count() > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+        level = max(level, (size - (full or 0.0)) / rest)
+    whole = F.col("_full") <= F.lit(level * (1 + 1e-12)) if size < most else F.col("_full").isNotNull()
+    rate = F.when(whole, F.col("max_copies").cast("double")).when(F.col("_full").isNotNull(), F.lit(level) * F.col("_target") / F.col("tokens")).otherwise(0.0)
+    return usable.withColumn("rate", rate).drop("_cap", "_target", "_full"), size
+
+
+def plan(counted: DataFrame, targets: DataFrame, total: float | str | None = None) -> tuple[DataFrame, float]:
+    """The sources of ``targets`` (source, target_share, max_copies) with their tokens and rates, and the mix's size."""
+    wanted = targets.select(source_name("source").alias("source"), F.col("target_share").cast("double"), F.col("max_copies").cast("int")).where("source is not null")
+    wanted = wanted.groupBy("source").agg(F.max(F.nanvl("target_share", F.lit(None).cast("double"))).alias("target_share"), F.max("max_copies").alias("max_copies"))
     tokens = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
-    rows = wanted.join(tokens, "source", "left").collect()
-    usable = lambda x: float(x) if x is not None and x == x and x > 0 else 0.0
-    sources = [Source(r["source"], usable(r["target_share"]), r["max_copies"] or 0, r["tokens"] or 0) for r in rows]
-    sources.sort(key=lambda s: s.name)
-    return rates(sources, total)
+    # join_unique is not needed here: both sides have a row a source
+    sources, _ = materialise(wanted.join(tokens, "source", "left").na.fill(0, ["tokens"]), "sources")
+    found, size = rates(sources, total)
+    return found, size
 
 
-def copies(sources: list[Source], doc_id: str, source: Column, seed: int) -> Column:
-    """How often a document is used: ``floor(rate)``, and once more by the hash of its id; 0 for other sources."""
-    table = F.create_map(*(F.lit(x) for s in sources for x in (s.name, s.rate))) if sources else None
-    rate = F.coalesce(table[source], F.lit(0.0)) if sources else F.lit(0.0)
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+def _rated(df: DataFrame, sources: DataFrame, rows: int, seed: int) -> DataFrame:
+    """``df`` (doc_id, source, ...) with ``times``, of the documents that are used at all: ``floor(rate)``, and once more by
+    the hash of the id."""
+    used = sources.where("rate > 0").select("source", "rate")
+    joined = df.join(F.broadcast(used), "source") if used.count() <= BROADCAST_SOURCES else join_unique(df, used, "source", rows)
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    times = (F.floor("rate") + F.when(draw < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    return joined.withColumn("times", times).where("times > 0").drop("rate")
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, total: float | str | None = None, seed: int = 0, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The mix (doc_id, source, copy_no, text) and its report.
 
     ``documents`` has ``doc_id, source, text``; ``targets`` has ``source, target_share, max_copies``.  Sources are
@@ -144,22 +136,23 @@ def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, se
 
     The report has a row per source of ``targets``: ``source``, ``target_share`` as given, ``wanted_share`` (relative to
     the targets' sum), ``source_tokens``, ``rate``, ``max_copies``, ``n_copies`` and ``mixed_tokens`` (as drawn),
-    ``actual_share``.
+    ``actual_share``, and ``missing_tokens``: what the source falls short of its wanted share of the mix's size.
 
     Without ``total`` the mix is the largest in which every source that has documents has its share, so one tiny source
-    with few allowed copies makes it small; a given ``total`` is reached by the other sources instead.
+    with few allowed copies makes it small; a given ``total``, such as ``TARGETED``, is reached by the other sources
+    instead.
     """
     counted, _ = materialise(count_tokens(documents, vocabulary), "tokens")
-    sources = plan(counted, targets, total)
+    rows = counted.count()
+    sources, size = plan(counted, targets, total)
     read = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name("source").alias("source"), F.col("text"))
-    times = copies(sources, "doc_id", F.col("source"), seed)
-    mixed = read.withColumn("times", times).where("times > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc_id", "source", "copy_no", "text")
-
-    spark = documents.sparkSession
-    whole = sum(s.target for s in sources) or 1.0
-    rows = [(s.name, s.target, s.target / whole, s.tokens, s.rate, s.max_copies) for s in sources]
-    table = spark.createDataFrame(rows, "source string, target_share double, wanted_share double, source_tokens bigint, rate double, max_copies int")
-    drawn = counted.withColumn("times", times).where("times > 0").groupBy("source").agg(F.sum("times").cast("bigint").alias("n_copies"), F.sum(F.col("times") * F.col("n_tokens")).alias("mixed_tokens"))
-    report = table.join(F.broadcast(drawn), "source", "left").na.fill(0, ["n_copies", "mixed_tokens"])
+    mixed = _rated(read, sources, rows, seed).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc_id", "source", "copy_no", "text")
+
+    drawn = _rated(counted, sources, rows, seed).groupBy("source").agg(F.sum("times").cast("bigint").alias("n_copies"), F.sum(F.col("times") * F.col("n_tokens")).alias("mixed_tokens"))
+    drawn, _ = materialise(drawn, "drawn")
     all_tokens = drawn.agg(F.sum("mixed_tokens")).first()[0] or 0
-    return mixed, report.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(all_tokens or 1)))
+    whole = sources.agg(F.sum(F.when(F.col("target_share") > 0, F.col("target_share")))).first()[0] or 1.0
+    report = sources.withColumnRenamed("tokens", "source_tokens").withColumn("wanted_share", F.coalesce("target_share", F.lit(0.0)) / F.lit(whole)).join(drawn, "source", "left").na.fill(0, ["n_copies", "mixed_tokens"])
+    missing = F.greatest(F.lit(0.0), F.col("wanted_share") * F.lit(size) - F.col("rate") * F.col("source_tokens"))
+    report = report.withColumns({"actual_share": F.col("mixed_tokens") / F.lit(float(all_tokens or 1)), "missing_tokens": missing})
+    return mixed, report.select("source", "target_share", "wanted_share", "source_tokens", "rate", "max_copies", "n_copies", "mixed_tokens", "actual_share", "missing_tokens")

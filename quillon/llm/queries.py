@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.columns import clean_id
 from quillon.llm.leaks import find_leaks
-from quillon.llm.mixture import mix
+from quillon.llm.mixture import TARGETED, mix
 from quillon.llm.pages import list_pages, page_kinds
 from quillon.llm.top_groups import latest_delivery, top_n
 from quillon.sources.tables import table
@@ -23,7 +23,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The documents that hold twelve words in a row of a test item, or all of a shorter one."""
-    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), errors=1).where("edits = 0").select("doc_id", "item_id")
 
 
 def p6_edited(spark: SparkSession, d: str) -> DataFrame:
@@ -33,8 +33,8 @@ def p6_edited(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
     """Every test item with the number of documents that hold it, and of those that hold all its passages."""
-    leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
-    per_item = leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count_if(F.col("passages") == F.col("of_passages")).alias("n_whole"))
+    leaks = find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), errors=1).where("edits = 0")
+    per_item = leaks.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.count_if(F.col("exact_passages") == F.col("of_passages")).alias("n_whole"))
     items = table(spark, d, "eval_items").select("item_id", "suite")
     return items.join(per_item, "item_id", "left").na.fill(0, ["n_documents", "n_whole"])
 
@@ -49,6 +49,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p7_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of a mix as large as all documents of its sources, a row a copy; sources that fall short are used as
+    often as they may, and the others make up for them."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TARGETED)[0]
+
+
+def p7_whole_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of p7_whole, with the tokens that each source falls short of."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TARGETED)[1]
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """The pages more than half of whose words are keywords, links, or product and tag lists."""
     return list_pages(table(spark, d, "documents")).select("doc_id")
@@ -59,7 +70,7 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
     return page_kinds(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_edited, p6_items, p7_mix, p7_report, p8_found, p8_kinds)}
+QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_edited, p6_items, p7_mix, p7_report, p7_whole, p7_whole_report, p8_found, p8_kinds)}
 
 ORACLE = {
     "p1_found": """

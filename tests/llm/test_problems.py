@@ -6,13 +6,14 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillon.llm import pages
 from quillon.llm import queries as llm
-from quillon.llm.leaks import find_leaks, myers
-from quillon.llm.mixture import VOCABULARY, Source, _encoding, _tokens, count_tokens, feasible_total, mix, rates
+from quillon.llm.leaks import LEAST_PIECE, distances, find_leaks, myers, reach
+from quillon.llm.mixture import BROADCAST_SOURCES, TARGETED, VOCABULARY, _encoding, _tokens, count_tokens, mix, rates
 from quillon.llm.top_groups import latest_delivery, top_n
 from quillon.llm.words import words
 from tests.sql_check import connect, differences
@@ -106,19 +107,75 @@ def test_leaks_against_windows(spark):
     docs += [(600 + i, "x " + unicodedata.normalize("NFD", t).upper()) for i, t in items[:5]]
     d, q = spark.createDataFrame([(*r, 0) for r in docs], "doc_id bigint, text string, item_id int"), spark.createDataFrame(items, "item_id bigint, text string")
     expected = leaks_by_windows(docs, items, 4)
-    for block in (4 << 20, 200):
-        got = [(r["doc_id"], r["item_id"]) for r in find_leaks(d, q, window=4, block_bytes=block).collect()]
-        assert set(got) == expected and len(got) == len(set(got)) or block == 200 and set(got) == expected
+    for block in (4 << 20, 200):  # one block, and more blocks than a worker keeps
+        got = [(r["doc_id"], r["item_id"]) for r in find_leaks(d, q, window=4, errors=1, block_bytes=block).where("edits = 0").collect()]
+        assert set(got) == expected and len(got) == len(set(got))
     assert find_leaks(d.limit(0), q).collect() == [] and find_leaks(d, q.limit(0)).collect() == []
 
 
+def beginnings(pattern, text):
+    """Edits between a pattern and the beginning of a text that is most like it."""
+    row = list(range(len(text) + 1))
+    for i, p in enumerate(pattern, 1):
+        above, row = row, [i]
+        for j, c in enumerate(text, 1):
+            row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (p != c)))
+    return min(row)
+
+
+@given(st.text(alphabet="ab ", max_size=14), st.text(alphabet="ab ", max_size=18), st.integers(0, 3))
+def test_distances_of_beginnings(pattern, text, most):
+    ends = list(range(1, len(pattern) + 1))
+    exact = [beginnings(pattern[:e], text) for e in ends]
+    assert distances(pattern, text, ends, most) == [d if d <= most else None for d in exact]
+    assert reach(pattern, text, most) == [max([e for e, d in zip(ends, exact, strict=True) if d <= k], default=0) for k in range(most + 1)]
+
+
+def edited(s):
+    s = list(s)
+    for _ in range(random.choice([0, 0, 1, 2, 3])):
+        i = random.randrange(len(s))
+        s[i] = random.choice([random.choice("abx "), "", s[i] + random.choice("ab ")])
+    return "".join(s)
+
+
+@pytest.mark.parametrize("window,errors", [(2, 3), (3, 1), (4, 2), (12, 2), (12, 0), (6, 1)])
+def test_edited_leaks_against_tables(spark, window, errors):
+    random.seed(window * 10 + errors)
+    vocabulary = "lantern moth of a the card old heron reach tide anvil mason".split()
+    text = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    items = [(i, text(random.choice([1, 2, 5, 9, 20]))) for i in range(12)]
+    docs = []
+    for i in range(150):
+        source = random.choice(items)[1].split()
+        lo = random.randrange(len(source))
+        docs.append((i, f"{text(random.randrange(6))} {edited(' '.join(source[lo : lo + random.randrange(1, 15)]))} {text(random.randrange(6))}"))
+    expected = {}
+    for d, body in docs:
+        body = f" {' '.join(words(body))} "
+        for i, item in items:
+            w = words(item)
+            n = min(window, len(w))
+            passages = {f" {' '.join(w[j : j + n])} " for j in range(len(w) - n + 1)}
+            edits = [e for p in passages if (e := distance_by_table(p, body)) <= max(0, min(errors, len(p) // LEAST_PIECE - 1))]
+            if edits:
+                expected[d, i] = (len(edits), edits.count(0), len(passages), min(edits))
+    got = find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"), window, errors)
+    assert {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in got.collect()} == expected and expected
+
+
+def test_a_short_item_has_to_be_met_as_it_is(spark):
+    d = spark.createDataFrame([(1, "the cat sat on a mat"), (2, "a dog sat")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in find_leaks(d, spark.createDataFrame([(1, "dog")], "item_id bigint, text string"), errors=2).collect()] == [2]
+
+
 def test_edited_leaks(spark):
     item = "neither the old lantern nor the new lantern has reach when the tenth card leaves"
     docs = [(1, item), (2, item.replace("lantern", "lanterm", 1)), (3, item.replace("old", "odl")), (4, "neither the old lamp nor a new one has reach"), (5, "so " + item.replace("tenth", "tnth") + " there")]
     d, q = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(7, item)], "item_id bigint, text string")
     got = {r["doc_id"]: r["edits"] for r in find_leaks(d, q, window=99, errors=2).collect()}
     assert got == {1: 0, 2: 1, 3: 2, 5: 1}
-    part = {r["doc_id"]: (r["passages"], r["of_passages"]) for r in find_leaks(d, q, window=5).collect()}
+    part = {r["doc_id"]: (r["passages"], r["of_passages"]) for r in find_leaks(d, q, window=5, errors=0).collect()}
     assert part[1] == (11, 11) and 0 < part[2][0] < 11 and 4 not in part
 
 
@@ -132,18 +189,39 @@ def test_tokens_of_pieces_add_up():
     assert _tokens(encoding, text) == len(encoding.encode_ordinary(text))
 
 
-def test_rates_meet_every_share_when_they_can():
-    sources = rates([Source("a", 0.5, 1, 1000), Source("b", 0.3, 4, 100), Source("none", 0.1, 2, 0), Source("c", 0.2, 2, 400)])
-    sizes = {s.name: s.rate * s.tokens for s in sources}
+SOURCES = "source string, target_share double, max_copies int, tokens bigint"
+
+
+def test_rates_meet_every_share_when_they_can(spark):
+    found, size = rates(spark.createDataFrame([("a", 0.5, 1, 1000), ("b", 0.3, 4, 100), ("none", 0.1, 2, 0), ("c", 0.2, 2, 400)], SOURCES))
+    rows = found.collect()
+    sizes = {s["source"]: s["rate"] * s["tokens"] for s in rows}
     total = sum(sizes.values())
-    assert total == pytest.approx(feasible_total(sources)) and all(s.rate <= s.max_copies for s in sources)
+    assert total == pytest.approx(size) == pytest.approx(4 * 100 / 0.3) and all(s["rate"] <= s["max_copies"] for s in rows)
     assert [sizes[n] / total for n in "abc"] == pytest.approx([0.5, 0.3, 0.2]) and sizes["none"] == 0
 
 
-def test_rates_of_a_given_total_hand_on_what_is_missing():
-    a, b = rates([Source("a", 0.5, 10, 1000), Source("b", 0.5, 2, 100)], 2000)
-    assert b.rate == 2 and a.rate == pytest.approx(1.8)
-    assert all(s.rate == s.max_copies for s in rates([Source("a", 1, 2, 10), Source("b", 1, 3, 10)], 1e9))
+def test_rates_of_a_given_total_hand_on_what_is_missing(spark):
+    two = spark.createDataFrame([("a", 0.5, 10, 1000), ("b", 0.5, 2, 100)], SOURCES)
+    a, b = rates(two, 2000)[0].orderBy("source").collect()
+    assert b["rate"] == 2 and a["rate"] == pytest.approx(1.8)
+    a, b = rates(two, TARGETED)[0].orderBy("source").collect()
+    assert b["rate"] == 2 and a["rate"] == pytest.approx(0.9)
+    assert all(s["rate"] == s["max_copies"] for s in rates(spark.createDataFrame([("a", 1.0, 2, 10), ("b", 1.0, 3, 10)], SOURCES), 1e9)[0].collect())
+    random.seed(4)
+    many = [(f"s{i}", random.random(), random.randrange(4), random.randrange(500)) for i in range(60)]
+    rows = rates(spark.createDataFrame(many, SOURCES), 12_000)[0].collect()
+    assert sum(r["rate"] * r["tokens"] for r in rows) == pytest.approx(min(12_000, sum(m * t for _, _, m, t in many)))
+    level = {r["rate"] * r["tokens"] / r["target_share"] for r in rows if 0 < r["rate"] < r["max_copies"]}
+    assert max(level) == pytest.approx(min(level)) and all(r["max_copies"] * r["tokens"] / r["target_share"] <= max(level) * (1 + 1e-9) for r in rows if r["rate"] and r["rate"] == r["max_copies"])
+
+
+def test_more_sources_than_are_broadcast(spark):
+    n = BROADCAST_SOURCES + 1
+    documents = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"), F.lit("word").alias("text"))
+    targets = spark.range(n).select(F.concat(F.lit("S"), "id").alias("source"), F.lit(0.5).alias("target_share"), F.lit(2).alias("max_copies"))
+    mixed, report = mix(documents, targets)
+    assert mixed.count() == 2 * n and report.agg(F.sum("n_copies"), F.count("*")).first() == (2 * n, n)
 
 
 def test_mix(spark):
@@ -160,6 +238,8 @@ def test_mix(spark):
     assert {s: r["n_copies"] for s, r in told.items()} == {s: sum(r["source"] == s for r in rows) for s in told}
     again = mix(documents.repartition(7), targets, seed=3)[0]
     assert sorted(map(tuple, again.select("doc_id", "copy_no").collect())) == sorted((r["doc_id"], r["copy_no"]) for r in rows)
+    filled = {r["source"]: r for r in mix(documents, targets, TARGETED)[1].collect()}
+    assert filled["tiny"]["rate"] == 3 and filled["tiny"]["missing_tokens"] > 0 and filled["a_b"]["missing_tokens"] >= 0 and filled["a_b"]["n_copies"] > told["a_b"]["n_copies"]
     assert mix(documents, targets.limit(0))[0].collect() == [] and mix(documents.limit(0), targets)[0].collect() == []
 
 
