@@ -32,7 +32,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _flat(kind: str, *columns: str):
     def query(spark: SparkSession, d: str) -> DataFrame:
-        return flatten_lines(table(spark, d, "bulk_lines")).where(F.col("kind") == kind).select("line_no", "node_no", "parent_id", "parent_node", *columns)
+        flat = flatten_lines(table(spark, d, "bulk_lines"), kinds=(kind,), fields=tuple(c for c in columns if c != "id"))
+        return flat.select("line_no", "node_no", "parent_id", "parent_node", *columns)
 
     query.__doc__ = f"The flat table of {kind}s."
     return query

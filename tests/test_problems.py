@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import json_tape
 from quillon.functions.bitmap import Bitmap
-from quillon.operators.flatten import flat_tables, flatten_lines, part_links
+from quillon.operators.flatten import _flatten, flat_tables, flatten_lines, part_links
 from quillon.operators.hierarchy import ancestors, roots, segments, summary
 from quillon.operators.key_totals import key_totals, large_keys
 from quillon.operators.orphans import month_of, orphan_references
@@ -204,6 +204,27 @@ def test_parts_and_records_without_ids_are_rows(spark):
     assert {tuple(r) for r in part_links(df).collect()} == links_by_recursion(list(enumerate(lines)))
 
 
+def test_texts_within_texts_without_end_and_records_in_other_texts(spark):
+    value = [{"id": "inner"}]
+    for i in range(9):
+        value = json.dumps(value)
+    deep = json.dumps({"id": "R", "all_parts": value})
+    note = json.dumps({"id": "S", "note": json.dumps({"id": "T", "oracle_id": "o", "notes": [json.dumps([{"id": "U", "all_parts": [{"id": "V"}]}])]}), "cost": "{2}{R}", "said": '"[x]"'})
+    df = spark.createDataFrame([(1, deep), (2, note)], "line_no bigint, line string")
+    assert sorted(tuple(r) for r in part_links(df).collect()) == [(1, "r", "inner"), (2, "u", "v")]
+    got = {r["id"]: r["parent_id"] for r in flatten_lines(df).where("kind = 'record'").collect()}
+    assert got == {"r": None, "s": None, "t": "s", "u": "t"}
+
+
+def test_text_within_many_texts():
+    """Quotes take twice as many backslashes in each layer, so the text itself bounds the layers; no number does."""
+    text = '{"id":"P"}'
+    for i in range(14):
+        text = json.dumps({"id": f"L{i}", "all_parts": text}) if i % 2 else json.dumps([text])
+    tables = _flatten(pa.array([json.dumps({"id": "R", "all_parts": text})]), pa.array([1]), ("part",), ())
+    assert {i for t in tables for i in t["id"].to_pylist()} == {"p", *(f"l{i}" for i in range(1, 14, 2))}
+
+
 def test_a_very_long_and_a_very_deep_line(spark):
     parts = ",".join(f'{{"id":"p{i}"}}' for i in range(20_000))
     deep = '{"id":"d","all_parts":[' * 300 + "]}" * 300
