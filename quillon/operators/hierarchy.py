@@ -63,29 +63,21 @@ def _links(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _cycle_cuts(single: DataFrame, nodes: DataFrame) -> DataFrame:
     """One node, that of the least id, of every cycle of (child, parent) with one parent each."""
     spark = single.sparkSession
-    jump, path = materialise(single.select(F.col("child").alias("v"), F.col("parent").alias("to")), "peel")
-    size = jump.count()
-    while size:
-        # keep what has something 2^k below it, then square the function
-        image = jump.select(F.col("to").alias("v")).distinct()
-        kept = jump.join(image, "v", "left_semi")
-        ahead = jump.select(F.col("v").alias("to"), F.col("to").alias("to2"))
-        after, newer = materialise(join_unique(kept, ahead, "to", size).select("v", F.col("to2").alias("to")), "peel")
+    # v, the node 2^k links above it, and the least node on the way there
+    jump, path = materialise(single.select(F.col("child").alias("v"), F.col("parent").alias("to"), F.least("child", "parent").alias("least")), "peel")
+    size, moved, peeled = jump.count(), 1, 1
+    while size and (moved or peeled):
+        ahead = jump.select(F.col("v").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        # keep what has something 2^k below it, then square the function; once nothing goes, all lie on cycles
+        kept = jump.join(jump.select(F.col("to").alias("v")).distinct(), "v", "left_semi") if peeled else jump
+        step = join_unique(kept, ahead, "to", size).select("v", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved"))
+        step, newer = materialise(step, "peel")
+        before = size
+        size, moved = step.agg(F.count("*"), F.count_if("moved")).first()
+        peeled = before - size
         drop(spark, path)
-        jump, path, before, size = after, newer, size, after.count()
-        if size == before:
-            break
-    on = single.join(jump.select(F.col("v").alias("child")), "child", "left_semi")
-    label, path = materialise(on.select(F.col("child").alias("v"), F.col("parent").alias("to"), F.least("child", "parent").alias("least")), "cycle")
-    changed = size
-    while changed:
-        ahead = label.select(F.col("v").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"))
-        step = label.join(ahead, "to").select("v", F.col("to2").alias("to"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved"))
-        step, newer = materialise(step, "cycle")
-        changed = step.where("moved").count()
-        drop(spark, path)
-        label, path = step.drop("moved"), newer
-    named = label.select(F.col("v").alias("n"), "least").join(nodes, "n")
+        jump, path = step.drop("moved"), newer
+    named = jump.select(F.col("v").alias("n"), "least").join(nodes, "n")
     return named.groupBy("least").agg(F.min_by("n", "id").alias("child")).select("child")
 
 

@@ -8,6 +8,9 @@ within month a.  Per range of keys the keys become integers, the facts compresse
     orphans = referred AND NOT (present all month OR present for part of it)
 
 Keys present for part of a month are then compared row by row with the moments kept for that month.
+
+A (key, month) with very many rows gets its verdict by broadcast, of at most 1 / SHARE such; the others are joined by a
+shuffle, in which none is large against a task, and adaptive execution splits a partition that still is.
 """
 
 from __future__ import annotations
@@ -21,10 +24,9 @@ from pyspark.sql import types as T
 from quillon.functions.bitmap import Bitmap
 from quillon.functions.columns import clean_id, month_number, month_text
 from quillon.operators.key_totals import _encode
+from quillon.plans.skew import HEAVY_ROWS, SHARE
 from quillon.runtime import blocks_for, materialise
 
-#: A (key, month) with more than this share of the rows is joined by broadcast; there are at most 1 / HEAVY of them.
-HEAVY = 1 / 512
 _REF, _ALL, _FROM, _UNTIL, _WITHIN = range(5)
 _OK, _ORPHAN, _CHECK = range(3)
 _FOREVER = 12 * 10_000
@@ -60,6 +62,16 @@ def _parent_facts(spans: DataFrame) -> DataFrame:
     )
 
 
+_NONE = np.zeros(0, np.int64)
+
+
+def _slices(at: np.ndarray, month: np.ndarray) -> dict[int, np.ndarray]:
+    """The positions ``at``, by month."""
+    at = at[np.argsort(month[at], kind="stable")]
+    cuts = np.flatnonzero(np.diff(month[at])) + 1
+    return {int(month[p[0]]): p for p in np.split(at, cuts) if len(p)}
+
+
 def _judge(heavy: int):
     """The verdict on each (key, month) of one range of keys that needs one, or that has more than ``heavy`` rows."""
 
@@ -69,13 +81,14 @@ def _judge(heavy: int):
         micros = lambda name: np.where(table[name].combine_chunks().is_null().to_numpy(zero_copy_only=False), 0, table[name].combine_chunks().cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False))
         lo, hi = micros("moment_from"), micros("moment_until")
         out: list[tuple] = []
-        for month in np.unique(a[kind == _REF]):
-            of = lambda k, month=month: (kind == k) & (a == month)
-            refs = of(_REF)
+        by_month = {k: _slices(np.flatnonzero(kind == k), a) for k in (_REF, _FROM, _UNTIL, _WITHIN)}
+        lasting = np.flatnonzero(kind == _ALL)
+        for month, refs in by_month[_REF].items():
+            of = lambda k, month=month: by_month[k].get(month, _NONE)
             referred = Bitmap.of(codes[refs])
-            whole = Bitmap.of(codes[(kind == _ALL) & (a <= month) & (b >= month)])
+            whole = Bitmap.of(codes[lasting[(a[lasting] <= month) & (b[lasting] >= month)]])
             begins, ends, within = of(_FROM), of(_UNTIL), of(_WITHIN)
-            part = Bitmap.of(codes[begins | ends | within])
+            part = Bitmap.of(codes[np.concatenate([begins, ends, within])])
             orphans = referred.and_not(whole | part).decode()
             check = (referred & part).and_not(whole).decode()
             rows = np.zeros(len(keys), np.int64)
@@ -85,9 +98,9 @@ def _judge(heavy: int):
             where = np.concatenate([orphans, check, fine])
             verdict = np.repeat([_ORPHAN, _CHECK, _OK], [len(orphans), len(check), len(fine)])
 
-            def moment(mask, values, where=where):
+            def moment(facts, values, where=where):
                 at, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-                at[codes[mask]], known[codes[mask]] = values[mask], True
+                at[codes[facts]], known[codes[facts]] = values[facts], True
                 return pa.array(at[where], mask=~known[where]).cast(pa.timestamp("us"))
 
             inside = np.zeros(len(keys), bool)
@@ -102,7 +115,7 @@ def _judge(heavy: int):
     return run
 
 
-def orphan_references(refs: DataFrame, row_id: str, key: str, at: str, parents: DataFrame, parent_key: str, since: str, until: str) -> DataFrame:
+def orphan_references(refs: DataFrame, row_id: str, key: str, at: str, parents: DataFrame, parent_key: str, since: str, until: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """The rows of ``refs`` that have an id for which no parent row was present at the row's time.
 
     A parent row is present from ``since`` on, until before ``until`` (null: for good).  Output: ``row_id``, ``key``
@@ -111,12 +124,13 @@ def orphan_references(refs: DataFrame, row_id: str, key: str, at: str, parents:
     Ids are compared in lower case without surrounding blanks.  A null or blank id refers to nothing: never an orphan.
     A reference without a time cannot be judged and is left out; a parent without ``since``, or that ends no later than
     it begins, is never present.  Repeated rows give repeated results.  Without parents every reference is an orphan.
-    Other columns are never read, so their names cannot clash.
+    Other columns are never read, so their names cannot clash.  ``heavy_rows`` is the least size of a (key, month) that is
+    joined by broadcast; it decides how the work is split, never the result.
     """
     spark = refs.sparkSession
     n_refs = refs.count()
     blocks = blocks_for(spark, n_refs + parents.count())
-    heavy = max(int(n_refs * HEAVY), 1000)
+    heavy = max(int(n_refs * SHARE), heavy_rows)
     rows = refs.select(F.col(row_id).alias("row_id"), clean_id(key).alias("key"), F.col(at).alias("at")).where("key is not null and at is not null").withColumn("month", month_number(F.col("at")))
     null = F.lit(None).cast("timestamp_ntz")
     ref_facts = rows.groupBy("key", "month").agg(F.count("*").alias("n")).select("key", F.lit(_REF).alias("kind"), F.col("month").alias("a"), F.col("month").alias("b"), null.alias("moment_from"), null.alias("moment_until"), "n")
@@ -130,11 +144,13 @@ def orphan_references(refs: DataFrame, row_id: str, key: str, at: str, parents:
     marked = rows.join(F.broadcast(large), ["key", "month"], "left")
     judged = marked.where("v is not null").unionByName(marked.where("v is null").drop("v").join(small, ["key", "month"]).select(*marked.columns))
     absent = F.coalesce(F.col("at") < F.col("v.from"), F.lit(True)) & F.coalesce(F.col("at") >= F.col("v.until"), F.lit(True))
-    left = judged.where((F.col("v.verdict") == _ORPHAN) | ((F.col("v.verdict") == _CHECK) & absent))
+    left = judged.where((F.col("v.verdict") == _ORPHAN) | ((F.col("v.verdict") == _CHECK) & absent)).select("row_id", "key", "at", "month", F.col("v.within").alias("within"))
+    # kept as a table, so that what may lie within a span of its own month is found by the same pass as the rest
+    left, _ = materialise(left, "left")
     inner = spans.where("first = last").select(F.col("key").alias("k"), F.col("first").alias("m"), "since", "until").distinct()
     covered = (F.col("key") == F.col("k")) & (F.col("month") == F.col("m")) & (F.col("at") >= F.col("since")) & (F.col("at") < F.col("until"))
-    still = left.where("v.within").join(inner, covered, "left_anti")
-    return left.where("not v.within").unionByName(still).select(F.col("row_id").alias(row_id), "key", F.col("at").alias(at), "month")
+    still = left.where("within").join(inner, covered, "left_anti")
+    return left.where("not within").unionByName(still).select(F.col("row_id").alias(row_id), "key", F.col("at").alias(at), "month")
 
 
 def month_of(orphans: DataFrame) -> Column:

@@ -1,8 +1,9 @@
 """Ranking of linked lists that are spread over a cluster.
 
-Every element names its successor.  Rounds of contraction splice out a random set of elements no two of which are
-neighbours (about a quarter a round), until the rest fits in one task by a stated bound; there pointer doubling ranks
-it with numpy.  The spliced elements then get their ranks back in reverse order, one join a round.
+Every element names its successor.  Rounds of contraction splice out the elements whose hash is greater than those of
+both neighbours (about a third a round, no two of them neighbours), until the rest fits in one task by a stated bound;
+there pointer doubling ranks it with numpy.  The spliced elements then get their ranks back in reverse order, one join a
+round.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from quillon.runtime import drop, materialise
 
-#: Elements that one task may rank: about 150 MB of arrays.
-ONE_TASK = 2_000_000
+#: Elements that one task may rank, a few MB of arrays; small, so that the rounds run at every size that is worth them.
+ONE_TASK = 60_000
 
 
 def _rank_in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,29 +53,37 @@ def suffix_sums(lists: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """From (element, after, length, delta), with ``after`` -1 at a list's end: the sums of length and delta from each
     element to the end of its list, itself included."""
     spark = lists.sparkSession
-    rest, path = materialise(lists.select("element", "after", "length", "delta"), "lists")
-    spliced: list[DataFrame] = []
-    paths = [path]
-    turn = 0
-    while rest.count() > one_task:
-        coin = lambda c, turn=turn: F.pmod(F.xxhash64(c, F.lit(turn)), F.lit(2))
-        # an element goes if its own coin is 1 and its predecessor's 0
-        gone = rest.where(coin(F.col("element")) == 1).select(F.col("element").alias("e"), F.col("after").alias("after2"), F.col("length").alias("l2"), F.col("delta").alias("d2"))
-        joined = rest.join(gone, (F.col("after") == F.col("e")) & (coin(F.col("element")) == 0), "left")
-        joined, kept = materialise(joined, "splice")
-        paths.append(kept)
-        out = joined.where("e is not null").select(F.col("e").alias("element"), F.col("after2").alias("after"), F.col("l2").alias("length"), F.col("d2").alias("delta"))
-        spliced.append(out)
-        shorter = joined.select("element", F.coalesce("after2", "after").alias("after"), (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length"), (F.col("delta") + F.coalesce("d2", F.lit(0))).alias("delta"))
-        rest, path = materialise(shorter.join(out.select("element"), "element", "left_anti"), "lists")
+    lists = lists.select("element", "after", "length", "delta")
+    rest, path = materialise(lists, "lists")
+    paths, rounds = [path], []
+    size = rest.count()
+    if size > one_task:
+        before = rest.where("after >= 0").select(F.col("after").alias("element"), F.col("element").alias("before"))
+        rest, path = materialise(rest.join(before, "element", "left"), "lists")
         paths.append(path)
-        turn += 1
-    ranked = rest.repartition(1).mapInArrow(_rank_in_one_task, "element bigint, length bigint, delta bigint")
+    while size > one_task:
+        rank = lambda c, turn=len(rounds): F.xxhash64(c, F.lit(turn))
+        e, ahead, behind = F.col("element"), F.col("after"), F.col("before")
+        goes = (ahead >= 0) & (rank(e) > rank(ahead)) & (behind.isNull() | (rank(e) > rank(behind)))
+        gone = rest.where(goes)
+        rounds.append(gone.select("element", "after", "length", "delta"))
+        # the element before takes over what the spliced one counts, the element after its link backwards
+        over = gone.select(F.col("element").alias("after"), F.col("after").alias("after2"), F.col("length").alias("l2"), F.col("delta").alias("d2"))
+        back = gone.select(F.col("element").alias("before"), F.col("before").alias("before2"), F.lit(True).alias("moved"))
+        kept = rest.where(~goes).join(over, "after", "left").join(back, "before", "left")
+        kept = kept.select(
+            "element", F.coalesce("after2", "after").alias("after"), (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length"), (F.col("delta") + F.coalesce("d2", F.lit(0))).alias("delta"),
+            F.when(F.col("moved"), F.col("before2")).otherwise(F.col("before")).alias("before"),
+        )
+        rest, path = materialise(kept, "lists")
+        paths.append(path)
+        size = rest.count()
+    ranked = rest.select("element", "after", "length", "delta").repartition(1).mapInArrow(_rank_in_one_task, "element bigint, length bigint, delta bigint")
     ranked, path = materialise(ranked, "ranked")
-    for out in reversed(spliced):
+    for gone in reversed(rounds):
         end = ranked.select(F.col("element").alias("after"), F.col("length").alias("l2"), F.col("delta").alias("d2"))
-        back = out.join(end, "after", "left").select("element", (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length"), (F.col("delta") + F.coalesce("d2", F.lit(0))).alias("delta"))
-        ranked, newer = materialise(ranked.unionByName(back), "ranked")
+        found = gone.join(end, "after", "left").select("element", (F.col("length") + F.coalesce("l2", F.lit(0))).alias("length"), (F.col("delta") + F.coalesce("d2", F.lit(0))).alias("delta"))
+        ranked, newer = materialise(ranked.unionByName(found), "ranked")
         drop(spark, path)
         path = newer
     for old in paths:
