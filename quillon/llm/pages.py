@@ -5,7 +5,8 @@ from a few counts: words in links, function words, words that the page repeats,
 sentence ends.  A hidden Markov model with the states prose, link list, tag list and menu labels the lines; a page is
 flagged if lines that are not prose hold more than half of its words.
 
-The model is fitted here, by expectation maximisation from a prior, on the symbols of a bounded sample of pages.
+The model is fitted here, by expectation maximisation from a prior, on the symbols of all pages.  Pages are turned into
+symbols once; fitting and labelling read the table of symbols.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ from quillon.runtime import drop, materialise, ship_code
 
 PROSE, LINKS, TAGS, MENU = range(4)
 STATES = ("prose", "link_list", "tag_list", "menu")
+#: A language without listed function words: its short words in lower case tie sentences together, up to so many letters in
+#: Latin script and in others.
+SHORT_LATIN, SHORT_OTHER = 2, 3
 #: Strength of the prior against the pages, in lines.
 PRIOR_LINES = 3000.0
 FIT_ROUNDS = 8
@@ -52,9 +56,12 @@ NAME_WORDS = frozenset("of the to in at on de du des la le les el los von der de
 # Shop phrases whose small words make no sentence.
 SHOP_PHRASES = ("in stock", "out of stock", "sold out", "add to cart", "add to basket", "buy now", "free shipping", "pas cher", "en stock")
 
-_DOMAINS = ("com", "net", "org", "example", "test", "invalid", "shop", "store")
-_URL = re.compile(rf"(?:https?://|www\.)[^\s<>\"'\])]+|\b[\w\-]+(?:\.[\w\-]+)*\.(?:{'|'.join(_DOMAINS)})(?:/[^\s<>\"'\])]*)?", re.I)
-_URL_SIGNS = ("http", "www.", *(f".{d}" for d in _DOMAINS))
+# Characters that tie Chinese sentences together, and syllables with which Korean words do.
+HAN_TIES, HANGUL_TIES = "的了是在和不有这這就也与與", tuple("은는이가을를에의도로와과서다요고")
+
+# An address by its grammar: a scheme or www, or a host of two or more labels in lower case, the last one of letters.
+_URL = re.compile(r"(?i:https?://|www\.)[^\s<>\"'\])]+|(?<![\w@.\-])(?:[a-z0-9][a-z0-9\-]+\.)+[a-z]{2,}(?:/[^\s<>\"'\])]*)?(?![\w@])")
+_URL_SIGN = re.compile(r"https?://|www\.|[a-z0-9]\.[a-z]{2}", re.I)
 _ANCHOR = re.compile(r"<a\s[^>]*>(.*?)</a>|\[([^\]\n]*)\]\(([^)\s]*)\)|\[url=[^\]]*\](.*?)\[/url\]", re.I | re.S)
 _TAG = re.compile(r"</?[a-zA-Z][^>\n]*>")
 _WORD = re.compile(r"[^\W_]+(?:['’\-][^\W_]+)*")
@@ -64,6 +71,8 @@ _CJK = re.compile(rf"[{_HAN_KANA}]+")
 _CJK_OR_NOT = re.compile(rf"[{_HAN_KANA}]+|[^{_HAN_KANA}]+")
 _PARTICLE = re.compile(r"[はがをにでとのもへ]")
 _HIRAGANA = re.compile(r"[ぁ-ゟ]")
+_HAN_TIE = re.compile(rf"[{HAN_TIES}]")
+_HANGUL = re.compile(r"[가-힣]")
 _STOP = re.compile(r"[.!?…][\"'”’)]?(?=\s)|[。！？]")
 _STOPS, _CLOSERS = tuple(".!?…。！？"), "\"'”’)]"
 _PRICE = re.compile(r"(?:[$€£¥]\s?\d+(?:[.,]\d+)?|\d+(?:[.,]\d+)?\s?(?:usd|eur|gbp|jpy|pts|tix|円|€|\$|£)(?!\w))", re.I)
@@ -129,18 +138,21 @@ def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     # what the page holds nowhere need not be looked for in its lines
     cjk = _CJK.search(text) is not None
     anchors, tags = "<a" in low or "](" in low or "[url" in low, "<" in text
-    urls_at_all, shop = any(x in low for x in _URL_SIGNS), any(p in low for p in SHOP_PHRASES)
+    urls_at_all, shop = _URL_SIGN.search(text) is not None, any(p in low for p in SHOP_PHRASES)
     digits, symbols_at_all = _DIGIT.search(text) is not None, "{" in text
+    separators = [s for s in _SEPARATORS if s in text]
     cut = []
     # a sentence that is said again is no keyword: where function words tie a line together it counts once
     seen: Counter = Counter()
     known: set[str] = set()
+    listed = 0
     for line in _lines(text):
         rest, linked = line, 0
         if anchors:
             labels = [next((g for g in m.groups()[:2] + m.groups()[3:] if g), "") for m in _ANCHOR.finditer(line)]
-            rest = _ANCHOR.sub(" ", line)
-            linked = len(labels) + sum(len(_words(_TAG.sub(" ", x), cjk)) for x in labels)
+            if labels:
+                rest = _ANCHOR.sub(" ", line)
+                linked = len(labels) + sum(len(_words(_TAG.sub(" ", x), cjk)) for x in labels)
         if urls_at_all:
             rest, urls = _URL.subn(" ", rest)
             linked += urls
@@ -149,12 +161,17 @@ def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         if symbols_at_all:
             rest = _SYMBOL.sub(" ", rest)
         words = _words(rest, cjk)
-        lowered = [w.lower() for w in words]
+        lowered = list(map(str.lower, words))
         small = _function_words(rest, words, lowered, cjk, shop)
+        listed += small
+        cut.append((line, rest, words, lowered, linked, small))
+    if not listed:
+        # no listed word in the whole page: perhaps a language that has none listed
+        cut = [(line, rest, words, lowered, linked, _short_words(line, words)) for line, rest, words, lowered, linked, _ in cut]
+    for line, _, _, lowered, _, small in cut:
         if not small or line not in known:
             known.add(line)
             seen.update(lowered)
-        cut.append((line, rest, words, lowered, linked, small))
     often = max(4, 0.02 * seen.total())
     repeat = {w for w, n in seen.items() if n >= often} - FUNCTION_WORDS
     symbols, sizes = [], []
@@ -162,34 +179,52 @@ def encode(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         n = len(words) + linked
         if not n:
             continue
-        marks = sum(map(rest.count, _SEPARATORS)) + (2 * len(_COUNT.findall(rest)) + 3 * len(_PRICE.findall(rest)) if digits and _DIGIT.search(rest) else 0)
+        marks = sum(map(rest.count, separators))
+        if digits and _DIGIT.search(rest):
+            marks += 2 * len(_COUNT.findall(rest)) + 3 * len(_PRICE.findall(rest))
         share, size = linked / n, max(1, len(words))
         # mixed radix in the order of SHAPE
         code = 0 if share < 0.25 else 1 if share < 0.7 else 2
         code = code * 3 + (0 if small == 0 else 1 if small < 0.1 * len(words) else 2)
-        code = code * 2 + (bool(repeat) and sum(w in repeat for w in lowered) > 0.6 * size)
+        code = code * 2 + (bool(repeat) and sum(map(repeat.__contains__, lowered)) > 0.6 * size)
         code = code * 2 + (marks >= 2 and marks >= 0.2 * size)
         code = code * 2 + line.rstrip().rstrip(_CLOSERS).endswith(_STOPS)
         symbols.append(code * 2 + (len(words) > 6))
         sizes.append(n)
-    return np.array(symbols, np.int64), np.array(sizes, np.int64)
+    return np.array(symbols, np.uint8), np.array(sizes, np.uint32)
+
+
+def _short_words(line: str, words: list[str]) -> int:
+    """What ties a sentence of a language without listed words together: short words in lower case; in Korean the endings
+    of words.  A line that ends like no sentence has none."""
+    if not line.rstrip().rstrip(_CLOSERS).endswith(_STOPS):
+        return 0
+    n = 0
+    for w in words:
+        if _HANGUL.match(w):
+            n += len(w) > 1 and w.endswith(HANGUL_TIES)
+        else:
+            n += w.islower() and w.isalpha() and len(w) <= (SHORT_LATIN if w[0] < "\u0250" else SHORT_OTHER)
+    return n
 
 
 def _function_words(rest: str, words: list[str], lowered: list[str], cjk: bool, shop: bool) -> int:
     """Function words that tie a sentence together: not those inside names, nor in shop phrases."""
     if cjk and _CJK.search(rest):
         runs = "".join(_CJK.findall(rest))
-        return len(_HIRAGANA.findall(runs)) // 2 if _PARTICLE.search(runs) else 0
+        if _PARTICLE.search(runs):
+            return len(_HIRAGANA.findall(runs)) // 2
+        return 0 if _HIRAGANA.search(runs) else len(_HAN_TIE.findall(runs))
     if shop and _SHOP.search(rest):
         words = _words(_SHOP.sub(" ", rest), cjk)
-        lowered = [w.lower() for w in words]
+        lowered = list(map(str.lower, words))
     n, last = 0, len(words) - 1
-    for i, w in enumerate(lowered):
-        if w in FUNCTION_WORDS:
-            if words[i] == w:
-                n += not (w in NAME_WORDS and i and i < last and words[i - 1][0].isupper() and words[i + 1][0].isupper())
-            else:
-                n += i == 0 and last > 0 and words[1][0].islower()
+    for i in [i for i, w in enumerate(lowered) if w in FUNCTION_WORDS]:
+        w = lowered[i]
+        if words[i] == w:
+            n += not (w in NAME_WORDS and i and i < last and words[i - 1][0].isupper() and words[i + 1][0].isupper())
+        else:
+            n += i == 0 and last > 0 and words[1][0].islower()
     return n
 
 
@@ -262,45 +297,52 @@ def fit(pages: list[np.ndarray], rounds: int = FIT_ROUNDS) -> tuple[np.ndarray,
     return model
 
 
-def shares(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray], known: dict[bytes, np.ndarray] | None = None) -> tuple[int, np.ndarray]:
-    """A page's words, and how many of them lie in lines of each state (by each line's most probable one).
+def states(symbols: bytes, model: tuple[np.ndarray, np.ndarray, np.ndarray], known: dict[bytes, np.ndarray]) -> np.ndarray:
+    """The most probable state of each line; ``known`` keeps those of short pages, whose symbols often recur."""
+    found = known.get(symbols)
+    if found is None:
+        found = posterior(np.frombuffer(symbols, np.uint8), *model)[0].argmax(1)
+        if len(symbols) <= KNOWN_LINES and len(known) < KNOWN_PAGES:
+            known[symbols] = found
+    return found
 
-    ``known`` keeps the states of short pages, whose symbols often recur.
-    """
+
+def shares(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
+    """A page's words, and how many of them lie in lines of each state."""
     symbols, sizes = encode(text)
     if not len(symbols):
         return 0, np.zeros(4, np.int64)
-    key = symbols.tobytes() if known is not None and len(symbols) <= KNOWN_LINES else b""
-    state = known.get(key) if key else None
-    if state is None:
-        state = posterior(symbols, *model)[0].argmax(1)
-        if key and len(known) < KNOWN_PAGES:
-            known[key] = state
-    return int(sizes.sum()), np.bincount(state, sizes, 4).astype(np.int64)
+    return int(sizes.sum()), np.bincount(states(symbols.tobytes(), model, {}), sizes, 4).astype(np.int64)
 
 
-def fit_model(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model fitted on all pages: each round adds up the expected counts of the different sequences of symbols, of
-    which one row a partition goes through the driver."""
+def page_symbols(documents: DataFrame) -> DataFrame:
+    """(doc_id, symbols, sizes) of ``documents`` (doc_id, text): a byte a line, and each line's words as four bytes."""
 
-    def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([encode(t.as_py())[0].tolist() for t in batch.column(0)], pa.list_(pa.int32()))], ["symbols"])
+            found = [encode(t.as_py()) for t in batch.column(1)]
+            columns = [pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "symbols", "sizes"])
+
+    ship_code(documents.sparkSession)
+    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, symbols binary, sizes binary")
 
-    texts = documents.select(F.col("text").cast("string")).where("text is not null")
-    found = texts.mapInArrow(symbols, "symbols array<int>").where("size(symbols) > 0")
-    different, path = materialise(found.groupBy("symbols").agg(F.count("*").alias("times")), "symbols")
+
+def fit_model(pages: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model fitted on all ``pages`` (symbols): each round adds up the expected counts of the different sequences of
+    symbols, of which one row a partition goes through the driver."""
+    different, path = materialise(pages.where("length(symbols) > 0").groupBy("symbols").agg(F.count("*").alias("times")), "symbols")
     model = prior()
     for _ in range(FIT_ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            sums = sum(expected(((np.array(p, np.int64), n) for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), model) for b in batches)
+            sums = sum(expected(((np.frombuffer(p, np.uint8), n) for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), model) for b in batches)
             if np.ndim(sums):
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
 
         parts = different.mapInArrow(run, "sums array<double>").collect()
         model = _maximise(np.sum([r["sums"] for r in parts], axis=0) if parts else np.zeros(20 + 4 * SYMBOLS))
-    drop(documents.sparkSession, path)
+    drop(pages.sparkSession, path)
     return model
 
 
@@ -310,19 +352,20 @@ def page_kinds(documents: DataFrame) -> DataFrame:
     ``documents`` has ``doc_id, text``.  Null, blank and wordless texts have no words of any kind.  Whole texts are read,
     however long; repeated rows give repeated results; an empty table none.  Other columns are never read.
     """
-    ship_code(documents.sparkSession)
-    model = fit_model(documents)
+    pages, _ = materialise(page_symbols(documents), "pages")
+    model = fit_model(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            found = [shares(t, model, known) for t in batch.column(1).to_pylist()]
-            words = pa.array([n for n, _ in found], pa.int64())
-            kinds = np.array([k for _, k in found], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), words, *(pa.array(np.ascontiguousarray(kinds[:, k])) for k in range(4))], ["doc_id", "n_words", *STATES])
-
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))
+            words, kinds = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 4), np.int64)
+            for i, (symbols, sizes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if symbols:
+                    size = np.frombuffer(sizes, np.uint32)
+                    words[i], kinds[i] = size.sum(), np.bincount(states(symbols, model, known), size, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), *(pa.array(np.ascontiguousarray(kinds[:, k])) for k in range(4))], ["doc_id", "n_words", *STATES])
+
+    return pages.mapInArrow(run, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))
 
 
 def list_pages(documents: DataFrame) -> DataFrame:

@@ -275,6 +275,26 @@ LISTS = [
 ]
 
 
+FOREIGN = [
+    "Владелец этого фонаря берёт три карты, когда он покидает поле, и поэтому мы им играем. Он был хорош в каждой партии до сих пор! Никто не ожидал, что цапля сдержит девять нападающих.",
+    "Никто не ожидал, что цапля сдержит девять нападающих.\nЭто случилось, и за столом стало тихо.\nМы до сих пор говорим об этом, когда магазин закрывается.",
+    "Właściciel tej latarni dobiera trzy karty, gdy opuszcza ona pole, i dlatego nią gramy. Do tej pory była dobra w każdej partii! Nikt nie spodziewał się, że czapla powstrzyma dziewięciu napastników.",
+    "这盏灯笼离开战场时，它的主人抓三张牌，所以我们才使用它。到目前为止它在每场比赛中都很好！没有人想到苍鹭能挡住九个攻击者。",
+    "이 등불의 주인은 등불이 전장을 떠날 때 카드 세 장을 뽑으며, 그래서 우리는 그것을 사용한다. 지금까지 모든 경기에서 좋았다! 아무도 왜가리가 공격자를 막아낼 것이라고 예상하지 못했다.",
+    "Bu fenerin sahibi, sahadan ayrıldığında üç kart çeker ve bu yüzden onu oynuyoruz. Kimse balıkçılın dokuz saldırganı durduracağını beklemiyordu.",
+    "Ο ιδιοκτήτης αυτού του φαναριού τραβάει τρία φύλλα όταν φεύγει από το πεδίο, και γι' αυτό το παίζουμε. Κανείς δεν περίμενε ότι ο ερωδιός θα σταματούσε εννέα επιτιθέμενους.",
+    "Tämän lyhdyn omistaja nostaa kolme korttia, kun se poistuu kentältä, ja siksi pelaamme sitä. Kukaan ei odottanut, että haikara pysäyttäisi yhdeksän hyökkääjää.",
+]
+FOREIGN_LISTS = ["фонарь, цапля, карты, магазин, цена, фольга, фонарь купить, цапля купить, дешево, набор, фольга, карты цена, магазин карты, фонарь цена, цапля фольга", "灯笼, 苍鹭, 卡牌, 商店, 价格, 闪卡, 灯笼购买, 苍鹭价格, 卡牌商店, 套装, 灯笼商店, 闪卡价格"]
+
+
+def test_pages_in_languages_without_listed_words(spark):
+    texts = PROSE * 12 + LISTS * 2 + FOREIGN + FOREIGN_LISTS
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    flagged = {texts[r["doc_id"]] for r in pages.list_pages(df).collect()}
+    assert flagged == {*LISTS, *FOREIGN_LISTS}
+
+
 def test_pages(spark):
     texts = PROSE * 12 + LISTS * 2 + [None, "", "  \n ", "!!!", "word"]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, prose string")
@@ -290,7 +310,7 @@ def test_pages(spark):
 def test_model_is_fitted_on_all_pages(spark):
     few = PROSE + LISTS
     texts = [few[i * i % 97 % len(few)] for i in range(4500)] + [None, ""]
-    got = pages.fit_model(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5))
+    got = pages.fit_model(pages.page_symbols(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)))
     encoded = {t: pages.encode(t)[0] for t in few}
     for a, b in zip(got, pages.fit([encoded[t] for t in texts if t]), strict=True):
         assert a == pytest.approx(b, abs=1e-9)
