@@ -2,50 +2,62 @@
 
 from __future__ import annotations
 
+import json
+import sys
 import unicodedata
 from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Blocks whose letters are folded by one ``translate``: Latin to its Extended-B, and Latin Extended Additional.
-_FOLDED = ((0x00C0, 0x0250), (0x1E00, 0x1F00))
-# Letters that no decomposition reaches, with what they stand for.
+# Latin letters that no decomposition reaches, with what they stand for.
 LIGATURES = {
-    "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O", "ø": "o", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d", "Þ": "Th", "þ": "th",
-    "ß": "ss", "ẞ": "SS", "Ł": "L", "ł": "l", "Ħ": "H", "ħ": "h", "ı": "i", "Ŋ": "N", "ŋ": "n", "ſ": "s",
+    "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "ß": "ss", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "Ð": "D", "đ": "d", "ð": "d", "Þ": "Th", "þ": "th",
+    "Ħ": "H", "ħ": "h", "Ŋ": "NG", "ŋ": "ng", "Ŧ": "T", "ŧ": "t", "ı": "i", "ĸ": "k",
 }
 
 
+def _folded(c: str) -> str:
+    """A character after NFKD, without combining marks, ligatures spelled out; Hangul syllables stay whole."""
+    if "가" <= c <= "힣":
+        return c
+    return "".join(LIGATURES.get(x, x) for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
 @cache
-def _table() -> tuple[str, str]:
-    """Letters that decompose to one letter and marks, and those letters; single-letter ligatures too."""
-    source, target = "", ""
-    for lo, hi in _FOLDED:
-        for code in range(lo, hi):
-            c = chr(code)
-            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-            base = LIGATURES.get(c, base)
-            if base != c and len(base) == 1:
-                source, target = source + c, target + base
-    return source, target
+def _tables() -> tuple[str, str, dict[str, str]]:
+    """Characters that fold to one other, and these; those that fold to several; the ones that vanish come last in the
+    first text, without a counterpart."""
+    source, target, gone, several = [], [], [], {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)):
+        c = chr(code)
+        base = _folded(c)
+        if base == c:
+            continue
+        if not base:
+            gone.append(c)
+        elif len(base) == 1:
+            source.append(c)
+            target.append(base)
+        else:
+            several[c] = base
+    return "".join(source + gone), "".join(target), several
 
 
 def fold_accents(c: Column) -> Column:
-    """Text without accents and ligatures, letter case kept."""
-    source, target = _table()
-    c = F.translate(F.regexp_replace(c, r"\p{M}+", ""), source, target)
-    for letter, stands_for in LIGATURES.items():
-        if len(stands_for) > 1:
-            c = F.replace(c, F.lit(letter), F.lit(stands_for))
-    return c
+    """Text after NFKD without combining marks and ligatures, letter case kept; Hangul syllables stay whole."""
+    source, target, several = _tables()
+    # the few that become more than one character are looked up only in texts that hold one
+    spelled = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    letters = F.regexp_extract_all(c, F.lit("([\\s\\S])"), 1)
+    some = F.rlike(c, F.lit("[" + "".join(several) + "]"))
+    c = F.when(some, F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")).otherwise(c)
+    return F.when(F.rlike(c, F.lit("[^\\x00-\\x7f]")), F.translate(c, source, target)).otherwise(c)
 
 
 def fold_text(s: str) -> str:
     """The same for a Python string."""
-    s = "".join(x for x in s if not unicodedata.category(x).startswith("M"))
-    s = s.translate({ord(a): b for a, b in zip(*_table(), strict=True)})
-    return "".join(LIGATURES.get(c, c) for c in s)
+    return s if s.isascii() else "".join(map(_folded, s))
 
 
 def collate(c: Column) -> Column:

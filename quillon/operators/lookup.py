@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.columns import clean_id
 from quillon.functions.text import collate, collate_text, trigram_similarity
 from quillon.operators.search import prefer_keys
+from quillon.runtime import materialise
 
 #: Least similarity of a fuzzy hit, and the lead it must have over the next card of another name.
 FUZZY_FLOOR, FUZZY_LEAD = 0.625, 0.002
@@ -40,10 +41,11 @@ def exact_many(prepared: DataFrame, names: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("tier"), F.col("printed_collated").alias("key")),
     ))
     faces = F.transform(F.coalesce("face_names_collated", F.array().cast("array<string>")), lambda k: F.struct(F.lit(1).alias("tier"), k.alias("key")))
-    keyed = prepared.withColumn("k", F.explode(F.concat(keys, faces))).withColumn("key", F.col("k.key")).withColumn("tier", F.col("k.tier")).drop("k")
-    best = Window.partitionBy("name").orderBy(F.col("tier").desc(), *prefer_keys("default"))
-    hits = keyed.join(asked, "key").withColumn("_best", F.row_number().over(best)).where("_best = 1")
-    return hits.drop("_best", "key")
+    # one row a key before the names are joined, from the few columns that decide; the others are fetched for the hits
+    keyed = prepared.select("scryfall_id", *PREFERRED, F.explode(F.concat(keys, faces)).alias("k")).select("*", "k.key", "k.tier").drop("k").where("key <> ''")
+    best = Window.partitionBy("key").orderBy(F.col("tier").desc(), *prefer_keys("default"))
+    hits = keyed.withColumn("_best", F.row_number().over(best)).where("_best = 1").select("key", "scryfall_id", "tier")
+    return asked.join(hits, "key").select("name", "tier", "scryfall_id").join(prepared, "scryfall_id")
 
 
 def _one_per_name(prepared: DataFrame) -> DataFrame:
@@ -71,8 +73,11 @@ def containing(prepared: DataFrame, words: str) -> DataFrame:
     hits = _one_per_name(prepared)
     for w in needles:
         hits = hits.where(F.contains("name_collated", F.lit(w)))
+    if not needles:
+        return hits.limit(0)
     whole = F.col("name_collated") == collate_text(words)
-    return hits.withColumn("_whole", F.max(whole).over(Window.partitionBy(F.lit(1)))).where(~F.col("_whole") | whole).drop("_whole") if needles else hits.limit(0)
+    # one bit decides, so it is asked for first
+    return hits.where(whole) if prepared.where(F.col("is_canonical") & whole).limit(1).count() else hits
 
 
 def autocomplete(prepared: DataFrame, start: str) -> DataFrame:
@@ -88,42 +93,54 @@ def autocomplete(prepared: DataFrame, start: str) -> DataFrame:
     return top.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1).select("card_name", "position")
 
 
-#: How a collection names a card: the columns of ``asked`` and of the prepared table that must be equal.
-IDENTIFIERS = {
-    "id": [("id", "scryfall_id")],
-    "oracle_id": [("oracle_id", "oracle_id")],
-    "illustration_id": [("illustration_id", "illustration_id")],
-    "name": [("name_key", "name_collated")],
-    "name_set": [("name_key", "name_collated"), ("set", "set_code")],
-    "set_number": [("set", "set_code"), ("collector_number", "collector_number")],
-}
+#: What ``prefer_keys("default")`` reads beside the id.
+PREFERRED = ("is_canonical", "prefer_score")
+#: How a collection names a card: its kind, what ``asked`` must hold, and the value that a prepared row is found by.
+IDENTIFIERS = ("id", "oracle_id", "illustration_id", "mtgo_id", "multiverse_id", "set_number", "name_set", "name")
+
+
+def _key(kind: str, *parts: Column) -> Column:
+    return F.concat_ws("\x1f", F.lit(kind), *(p.cast("string") for p in parts))
 
 
 def collection(prepared: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The cards that a list of identifiers names, and the identifiers that name none, both in the list's order.
+    """The cards that a list of identifiers names, and the identifiers that name none, both with the list's ``position``.
+
+    ``asked`` has ``position`` and any of ``id, oracle_id, illustration_id, mtgo_id, multiverse_id, name, set,
+    collector_number``; a row is read by the first of these that it has: id, card, artwork, ids of other catalogues, set
+    with number, name with or without set.  Repeated identifiers give their card each time.
 
-    ``asked`` has ``position`` and any of ``id, oracle_id, illustration_id, name, set, collector_number``; a row is read
-    by the first of these that it has: id, card, artwork, set with number, name with or without set.  Repeated
-    identifiers give their card each time.
+    Every row of either side becomes a text that names what it is asked by, so that one join serves all kinds; it moves
+    keys alone, and rows are fetched for the hits.
     """
-    for c in ("id", "oracle_id", "illustration_id", "name", "set", "collector_number"):
-        if c not in asked.columns:
-            asked = asked.withColumn(c, F.lit(None).cast("string"))
-    asked = asked.withColumns({"id": clean_id("id"), "oracle_id": clean_id("oracle_id"), "illustration_id": clean_id("illustration_id"), "name_key": collate(F.col("name")), "set": F.lower("set")})
-    kind = (
-        F.when(F.col("id").isNotNull(), "id").when(F.col("oracle_id").isNotNull(), "oracle_id").when(F.col("illustration_id").isNotNull(), "illustration_id")
-        .when(F.col("set").isNotNull() & F.col("collector_number").isNotNull(), "set_number").when(F.col("set").isNotNull(), "name_set").otherwise("name")
+    names = ("id", "oracle_id", "illustration_id", "mtgo_id", "multiverse_id", "name", "set", "collector_number")
+    asked = asked.select("position", *((F.col(c) if c in asked.columns else F.lit(None)).cast("string").alias(c) for c in names))
+    clean = asked.withColumns({"_id": clean_id("id"), "_oracle": clean_id("oracle_id"), "_art": clean_id("illustration_id"), "_name": collate(F.col("name")), "_set": F.lower(F.btrim("set"))})
+    c = F.col
+    key = (
+        F.when(c("_id").isNotNull(), _key("id", c("_id"))).when(c("_oracle").isNotNull(), _key("oracle_id", c("_oracle"))).when(c("_art").isNotNull(), _key("illustration_id", c("_art")))
+        .when(c("mtgo_id").isNotNull(), _key("mtgo_id", c("mtgo_id").try_cast("bigint"))).when(c("multiverse_id").isNotNull(), _key("multiverse_id", c("multiverse_id").try_cast("bigint")))
+        .when(c("_set").isNotNull() & c("collector_number").isNotNull(), _key("set_number", c("_set"), c("collector_number")))
+        .when(c("_set").isNotNull() & (c("_name") != ""), _key("name_set", c("_name"), c("_set"))).when(c("_name") != "", _key("name", c("_name")))
     )
-    asked = asked.withColumn("kind", kind)
-    found = None
-    for name, pairs in IDENTIFIERS.items():
-        keys = asked.where(F.col("kind") == name).select("position", *(F.col(a).alias(f"_k{i}") for i, (a, _) in enumerate(pairs)))
-        on = [F.col(f"_k{i}") == F.col(b) for i, (_, b) in enumerate(pairs)]
-        best = Window.partitionBy("position").orderBy(*prefer_keys("default"))
-        part = prepared.join(keys, on).withColumn("_best", F.row_number().over(best)).where("_best = 1").drop("_best", *(f"_k{i}" for i in range(len(pairs))))
-        found = part if found is None else found.unionByName(part)
-    missing = asked.join(found.select("position"), "position", "left_anti").select("position", "id", "oracle_id", "illustration_id", "name", "set", "collector_number")
-    return found, missing
+    wanted, _ = materialise(clean.select("position", *names, key.alias("key")), "asked")
+    kinds = {r[0] for r in wanted.select(F.substring_index("key", "\x1f", 1)).distinct().collect()} & set(IDENTIFIERS)
+    none = F.array().cast("array<string>")
+    others = lambda name, kind, value: F.when(c(name).isNotNull(), value).otherwise(none) if name in prepared.columns and kind in kinds else none
+    some = {
+        "id": _key("id", c("scryfall_id")), "oracle_id": F.when(c("oracle_id").isNotNull(), _key("oracle_id", c("oracle_id"))), "illustration_id": F.when(c("illustration_id").isNotNull(), _key("illustration_id", c("illustration_id"))),
+        "set_number": F.when(c("set_code").isNotNull() & c("collector_number").isNotNull(), _key("set_number", c("set_code"), c("collector_number"))),
+        "name_set": F.when(c("set_code").isNotNull() & (c("name_collated") != ""), _key("name_set", c("name_collated"), c("set_code"))), "name": F.when(c("name_collated") != "", _key("name", c("name_collated"))),
+    }
+    single = F.array_compact(F.array(F.lit(None).cast("string"), *(v for k, v in some.items() if k in kinds)))
+    mtgo = others("external_ids", "mtgo_id", F.array_compact(F.array(F.when(F.try_element_at("external_ids", F.lit("mtgo_id")).isNotNull(), _key("mtgo_id", F.try_element_at("external_ids", F.lit("mtgo_id")))))))
+    verse = others("multiverse_ids", "multiverse_id", F.transform("multiverse_ids", lambda x: _key("multiverse_id", x)))
+    keyed = prepared.select("scryfall_id", *PREFERRED, F.explode(F.array_distinct(F.concat(single, mtgo, verse))).alias("key")).join(wanted.select("key").distinct(), "key", "left_semi")
+    best = Window.partitionBy("key").orderBy(*prefer_keys("default"))
+    hits = keyed.withColumn("_best", F.row_number().over(best)).where("_best = 1").select("key", "scryfall_id")
+    matched = wanted.join(hits, "key", "left")
+    found = matched.where("scryfall_id is not null").select("position", "scryfall_id").join(prepared, "scryfall_id")
+    return found, matched.where("scryfall_id is null").select("position", *names)
 
 
 def by_id(prepared: DataFrame, scryfall_id: str) -> DataFrame:
@@ -148,10 +165,12 @@ def by_external_id(prepared: DataFrame, namespace: str, number: int) -> DataFram
 
 
 def set_of(sets: DataFrame, key: str) -> DataFrame:
-    """The set with this code, id, or number of another catalogue, in this order; of several the least id."""
+    """The set with this code, id, or number of another catalogue, in this order; of several the first in the order of
+    ``place`` where the table has one, else of the least id."""
     word = key.strip().lower()
-    rank = F.when(F.lower("code") == word, 0).when(clean_id("id") == word, 1).when(F.col("tcgplayer_id").cast("string") == word, 2)
-    return sets.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", "id").limit(1).drop("_rank")
+    number = str(int(word)) if word.isascii() and word.isdigit() else word
+    rank = F.when(F.lower("code") == word, 0).when(clean_id("id") == word, 1).when(F.col("tcgplayer_id").cast("string") == number, 2)
+    return sets.withColumn("_rank", rank).where("_rank is not null").orderBy("_rank", *(["place"] if "place" in sets.columns else []), "id").limit(1).drop("_rank")
 
 
 def first_of_each(prepared: DataFrame, queries: list[str]) -> DataFrame:

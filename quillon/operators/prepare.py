@@ -16,6 +16,7 @@ from quillon.functions.columns import clean_id
 from quillon.functions.text import collate, natural_key
 from quillon.plans.compile import GENERIC
 from quillon.plans.fields import COLORS
+from quillon.plans.skew import left_join_unique
 
 _STRINGS, _COUNTS = "array<string>", "map<string,int>"
 #: Columns of a catalogue row that queries can use, with their types; those a table lacks are taken as null.
@@ -30,8 +31,17 @@ ROW = {
     "edhrec_rank": "bigint", "cubecobra_score": "float", "price_usd": "double", "price_eur": "double", "price_tix": "double",
     "prefer_score": "float", "is_canonical": "boolean", "printed_name": "string", "flavor_name": "string",
 }
+#: Further columns that results show and predicates do not read.
+SHOWN = {
+    "printed_type_line": "string", "printed_text": "string", "creature_power_text": "string", "creature_toughness_text": "string", "planeswalker_loyalty_text": "string", "life_modifier": "string", "hand_modifier": "string",
+    "frame": "string", "image_status": "string", "set_id": "string", "price_usd_foil": "double", "price_usd_etched": "double", "price_eur_foil": "double",
+    "booster": "boolean", "digital": "boolean", "full_art": "boolean", "highres_image": "boolean", "oversized": "boolean", "promo": "boolean", "reprint": "boolean", "story_spotlight": "boolean", "textless": "boolean", "variation": "boolean",
+    "finishes": _STRINGS, "games": _STRINGS, "promo_types": _STRINGS, "frame_effects": _STRINGS, "color_indicator": _STRINGS, "card_keywords_printed": _STRINGS, "multiverse_ids": "array<bigint>",
+    "external_ids": "map<string,bigint>", "residue": "map<string,string>",
+}
 #: Fields of a face that predicates look at.
-FACE = {"name": "string", "type_line": "string", "mana_cost": "string", "colors": _STRINGS, "power": "string", "toughness": "string", "loyalty": "string", "layout": "string", "watermark": "string", "illustration_id": "string"}
+FACE = {"name": "string", "type_line": "string", "mana_cost": "string", "oracle_text": "string", "printed_name": "string", "colors": _STRINGS, "power": "string", "toughness": "string", "loyalty": "string", "layout": "string", "watermark": "string", "illustration_id": "string",
+        "defense": "string", "color_indicator": _STRINGS, "flavor_text": "string", "artist": "string", "artist_id": "string", "printed_type_line": "string", "printed_text": "string", "flavor_name": "string"}
 
 
 def mask(colors: Column) -> Column:
@@ -90,10 +100,12 @@ def prepare(rows: DataFrame) -> DataFrame:
     Missing columns count as null.  Columns of ``rows`` that are no catalogue columns are kept unless a search column
     has their name.
     """
-    df = rows.withColumns({c: F.lit(None).cast(t) for c, t in ROW.items() if c not in rows.columns})
+    df = rows.withColumns({c: F.lit(None).cast(t) for c, t in {**ROW, **SHOWN}.items() if c not in rows.columns})
+    # the price that filters and orders read may be that of another finish; a table with one price has no other
+    df = df.withColumns({f"{c}_plain": F.col(c) for c in ("price_usd", "price_eur") if f"{c}_plain" not in rows.columns})
     # two projections: the second reads what the first has computed
-    df = df.withColumns({"oracle_id": clean_id("oracle_id"), "illustration_id": clean_id("illustration_id"), "_faces": _faces(df), "is_canonical": F.coalesce("is_canonical", F.lit(True))})
-    f, lower = F.col("_faces"), lambda c: F.lower(F.col(c))
+    df = df.withColumns({"oracle_id": clean_id("oracle_id"), "illustration_id": clean_id("illustration_id"), "faces": _faces(df), "is_canonical": F.coalesce("is_canonical", F.lit(True))})
+    f, lower = F.col("faces"), lambda c: F.lower(F.col(c))
     listed = lambda c: F.coalesce(F.transform(F.col(c), F.lower), F.array().cast(_STRINGS))
     of_faces = lambda key, own: F.array_distinct(F.array_compact(F.concat(F.array(own), F.transform(f, lambda x: x[key]))))
     numbers = lambda key, own: F.array_distinct(F.array_compact(F.concat(F.array(F.col(own).cast("double")), F.transform(f, lambda x: stat(x[key])))))
@@ -110,7 +122,10 @@ def prepare(rows: DataFrame) -> DataFrame:
         "type_line_lower": F.lower(F.when(F.size(f) > 0, F.coalesce(F.col("type_line"), F.array_join(F.transform(f, lambda x: x["type_line"]), " // "))).otherwise(F.col("type_line"))),
         "oracle_text_lower": F.lower(text),
         "oracle_text_bare": F.lower(F.regexp_replace(text, r"\([^)]*\)", "")),
+        # the front face alone decides whether a card has no text
+        "front_text_bare": F.regexp_replace(F.when(F.exists(f, lambda x: x["oracle_text"].isNotNull()), F.coalesce(F.get(f, F.lit(0))["oracle_text"], F.lit(""))).otherwise(text), r"\([^)]*\)", ""),
         "flavor_text_lower": lower("flavor_text"),
+        "mana_cost_joined": F.when(F.size(f) > 0, F.array_join(F.filter(F.transform(f, lambda x: x["mana_cost"]), lambda c: F.length(c) > 0), " // ")).otherwise(F.col("mana_cost_text")),
         "face_color_masks": F.when(F.exists(f, lambda x: x["colors"].isNotNull()), F.transform(f, lambda x: mask(F.coalesce(x["colors"], F.col("card_colors"))).bitwiseAND(F.lit(31)))).otherwise(F.array(mask(F.col("card_colors")).bitwiseAND(F.lit(31)))),
         "color_mask": mask(F.col("card_colors")).bitwiseAND(F.lit(31)),
         "identity_mask": mask(F.col("card_color_identity")).bitwiseAND(F.lit(31)),
@@ -141,16 +156,17 @@ def prepare(rows: DataFrame) -> DataFrame:
     types = F.split(F.split(F.col("type_line"), "—")[0], r"\s+")
     tags = F.array_compact(F.array(
         F.when(F.size("printed_name_tag") > 0, F.lit("localizedname")),
-        F.when(F.contains(text_column, F.lit("creature")) & ~F.contains(text_column, F.lit("land")) & F.coalesce(F.length(F.btrim("oracle_text_bare")) == 0, F.lit(False)), F.lit("vanilla")),
+        F.when(F.contains(text_column, F.lit("creature")) & ~F.contains(text_column, F.lit("land")) & F.coalesce(F.length(F.btrim("front_text_bare")) == 0, F.lit(False)), F.lit("vanilla")),
     ))
-    df = df.withColumn("printed_name_tag", F.when(F.length("printed_name") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    printed = (F.length("printed_name") > 0) | F.exists(f, lambda x: F.length(x["printed_name"]) > 0)
+    df = df.withColumn("printed_name_tag", F.when(printed, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
     return df.withColumns({
         "is_tags": F.array_union(listed("card_is_tags"), tags),
         "types": F.filter(types, lambda t: F.length(t) > 0),
         "artist_entities": F.array_compact(F.array("artist_collated")),
         # a row of no card stands for itself
         "card_key": F.coalesce("oracle_id", F.concat(F.lit("row "), "scryfall_id")),
-    }).drop("printed_name_tag", "_faces")
+    }).drop("printed_name_tag", "front_text_bare")
 
 
 def with_artist_spellings(df: DataFrame, artist_ids: str) -> DataFrame:
@@ -170,10 +186,9 @@ def with_artist_spellings(df: DataFrame, artist_ids: str) -> DataFrame:
 
 def with_unique_tag(df: DataFrame) -> DataFrame:
     """Prepared rows with the property ``unique`` where a card was printed in one set only, whatever the language."""
-    sets = df.groupBy("oracle_id").agg((F.count_distinct("set_code") == 1).alias("one"))
+    sets = df.groupBy("oracle_id").agg((F.count_distinct("set_code") == 1).alias("one")).where("oracle_id is not null")
     tagged = F.when(F.col("one"), F.array_union("is_tags", F.array(F.lit("unique")))).otherwise(F.col("is_tags"))
-    return df.join(sets, "oracle_id", "left").withColumn("is_tags", tagged).drop("one")
-
+    return left_join_unique(df, sets, ["oracle_id"], df.count()).withColumn("is_tags", tagged).drop("one")
 
 
 def with_unified_artworks(df: DataFrame) -> DataFrame:

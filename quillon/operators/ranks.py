@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.text import natural_key
-from quillon.plans.list_ranking import running_total
+from quillon.plans.list_ranking import row_numbers, running_total
+from quillon.plans.skew import join_unique
+from quillon.runtime import materialise
 
 #: Ranks beyond this count as this.
 LAST_RANK = 1024
 
 
-def name_percent_ranks(df: DataFrame, name: str, rank: str) -> DataFrame:
-    """(name, score): 25 times the percent rank of each different name by its least ``rank``, unknown ranks last.
+def name_percent_ranks(df: DataFrame, name: str, rank: str, seen: str) -> DataFrame:
+    """(name, score): 25 times the percent rank of each different name, unknown ranks last.  A name's ``rank`` is that of its
+    first row in the order of ``seen``.
 
     A percent rank is the number of smaller values over all but one, so counting per value of ``rank`` and summing the
     counts in order gives it without ranking all names in one task.
     """
-    names = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(rank).alias("r"))
-    counts = names.groupBy("r").agg(F.count("*").alias("n"))
-    total = names.count()
-    before = running_total(counts, "r", "n", "before").withColumn("all", F.lit(total))
-    score = F.when(F.col("all") > 1, 25.0 * F.col("before") / (F.col("all") - 1)).otherwise(0.0)
-    return names.join(before, names["r"].eqNullSafe(before["r"])).select(name, score.alias("score"))
+    # the order as a struct, so that a row without it counts as the first instead of being passed over
+    first = F.min_by(F.struct(F.col(rank).alias("r")), F.struct(seen))
+    names, _ = materialise(df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(first.alias("first")).select("name", "first.r"), "names")
+    total, known = names.agg(F.count("*"), F.count("r")).first()
+    before = running_total(names.where("r is not null").groupBy("r").agg(F.count("*").alias("n")), "r", "n", "before")
+    score = (25.0 * F.col("before") / (total - 1)) if total > 1 else F.lit(0.0)
+    last = F.lit(25.0 * known / (total - 1) if total > 1 else 0.0)
+    ranked = join_unique(names.where("r is not null"), before.select("r", "before"), "r", known)
+    return ranked.select(F.col("name").alias(name), score.alias("score")).unionByName(names.where("r is null").select(F.col("name").alias(name), last.alias("score")))
 
 
 def slot_ranks(prepared: DataFrame, pinned: DataFrame | None = None) -> DataFrame:
@@ -40,5 +46,5 @@ def slot_ranks(prepared: DataFrame, pinned: DataFrame | None = None) -> DataFram
         slots = slots.join(pinned.select(*slot).distinct().withColumn("pinned", F.lit(True)), slot, "left")
     first = [F.coalesce("pinned", F.lit(False)).desc()] if pinned is not None else []
     order = [*first, F.col("english").desc(), F.rlike("key.prefix", F.lit("[a-z]")).asc(), F.col("released").desc_nulls_last(), F.col("key").asc(), F.col("set_code").asc(), F.col("collector_number").asc()]
-    place = F.row_number().over(Window.partitionBy("oracle_id").orderBy(*order)) - 1
-    return slots.withColumn("rank", F.least(place, F.lit(LAST_RANK)))
+    placed = row_numbers(slots, "oracle_id", order, "place")
+    return placed.withColumn("rank", F.least(F.col("place") - 1, F.lit(LAST_RANK))).drop("place")

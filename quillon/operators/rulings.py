@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.columns import clean_id
+from quillon.plans.list_ranking import row_numbers
 
 
 def clean_rulings(df: DataFrame) -> DataFrame:
@@ -22,12 +23,12 @@ def parse_rulings(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def bucketed(rulings: DataFrame) -> DataFrame:
-    """(oracle_id, rulings): each card's rulings as one ordered list, by the rule of ``numbered``."""
+    """(oracle_id, rulings): each card's rulings as one ordered list, by the rule of ``numbered``; a list is one value, so a
+    card's rulings have to fit into a task."""
     listed = F.sort_array(F.collect_list(F.struct(F.date_diff(F.lit("9999-12-31"), F.col("published_at").try_cast("date")).alias("age"), "comment", "source", "published_at")))
     return rulings.groupBy("oracle_id").agg(F.transform(listed, lambda r: F.struct(r["published_at"].alias("published_at"), r["comment"].alias("comment"), r["source"].alias("source"))).alias("rulings"))
 
 
 def numbered(rulings: DataFrame) -> DataFrame:
     """Rulings with their ``place`` within the card: newest first, then by comment and source."""
-    order = Window.partitionBy("oracle_id").orderBy(F.col("published_at").desc(), F.col("comment").asc(), F.col("source").asc())
-    return rulings.withColumn("place", F.row_number().over(order))
+    return row_numbers(rulings, "oracle_id", [F.col("published_at").desc(), F.col("comment").asc(), F.col("source").asc()], "place")

@@ -7,11 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions.text import slug_text
 from quillon.plans.compile import condition
 from quillon.plans.explain import explain
 from quillon.plans.policy import parse_softly
-from quillon.plans.query import QueryError, parse
-from quillon.plans.rewrite import gate, rewrite, widens
+from quillon.plans.query import Compare, QueryError, Ref, Text, parse
+from quillon.plans.rewrite import gate, leaves, rewrite, widens
 
 UNIQUE = ("card", "printing", "artwork")
 PREFER = ("default", "oldest", "newest", "usd_low", "usd_high", "promo")
@@ -35,8 +36,8 @@ class Options:
     include_multilingual: bool = False
     include_extras: bool = False
     include_variations: bool = False
-    aliases: dict[str, str] = field(default_factory=dict)
-    sets_with_extras: tuple[str, ...] = ()
+    aliases: dict[str, str] | DataFrame = field(default_factory=dict)
+    sets_with_extras: tuple[str, ...] | None = None
     lenient: bool = False
 
 
@@ -95,7 +96,8 @@ def prefer_keys(prefer: str) -> list[Column]:
 
 
 def order_keys(orderby: str, direction: str = "auto") -> list[Column]:
-    """The keys of an order, name and id last.  Unknown values are lowest, but for ranks, where they are highest."""
+    """The keys of an order, then name, rows of the default lane before others, these by language, and id.  Unknown values
+    are lowest, but for ranks, where they are highest."""
     down = direction == "desc" or direction == "auto" and orderby in DOWNWARD
     low = lambda c: c.desc_nulls_last() if down else c.asc_nulls_first()
     high = lambda c: c.desc_nulls_first() if down else c.asc_nulls_last()
@@ -115,7 +117,8 @@ def order_keys(orderby: str, direction: str = "auto") -> list[Column]:
         "toughness": [low(F.array_max("toughnesses"))],
         "usd": [low(F.col("price_usd"))],
     }[orderby]
-    return [*keys, F.col("is_canonical").desc(), F.col("name_collated").asc_nulls_last(), F.col("scryfall_id").asc()]
+    annex = F.when(~F.col("is_canonical"), F.col("lang")).asc_nulls_first()
+    return [*keys, F.col("name_collated").asc_nulls_last(), F.col("is_canonical").desc(), annex, F.col("scryfall_id").asc()]
 
 
 def representatives(df: DataFrame, unique: str, prefer: str) -> DataFrame:
@@ -144,8 +147,34 @@ def page(df: DataFrame, keys: list[Column], limit: int | None, offset: int) -> D
     return cut.withColumn("position", F.row_number().over(Window.orderBy(*keys)) - 1).where(F.col("position") >= offset)
 
 
+def _words(tree, column: str) -> list[str]:
+    """The texts that a tree compares a column with."""
+    return sorted({x.right.value.lower() for x in leaves(tree) if isinstance(x, Compare) and isinstance(x.left, Ref) and x.left.field.column == column and isinstance(x.right, Text)})
+
+
+def _sets_with_extras(prepared: DataFrame, written, o: Options) -> tuple[str, ...]:
+    """Those of the sets that the query names which hold extra rows."""
+    if o.sets_with_extras is not None or o.include_extras:
+        return o.sets_with_extras or ()
+    named = _words(written, "set_code")
+    if not named:
+        return ()
+    found = prepared.where(F.col("set_code").isin(named) & F.array_contains("is_tags", F.lit("extra"))).select("set_code").distinct()
+    return tuple(r["set_code"] for r in found.collect())
+
+
+def _aliases(tree, known: dict[str, str] | DataFrame) -> dict[str, str]:
+    """What the tags that the query names stand for."""
+    if isinstance(known, dict):
+        return known
+    named = sorted({slug_text(w) for c in ("oracle_tags", "art_tags") for w in _words(tree, c)})
+    return {r["alias"]: r["slug"] for r in known.where(F.col("alias").isin(named)).collect()} if named else {}
+
+
 def search(prepared: DataFrame, query: str, **options) -> Result:
     """The page of a query over a prepared table.  Options: see ``Options``; the query's directives go before them.
+    ``aliases`` of tags may be a table (alias, slug), of which only what the query names is read; which of the sets that
+    the query names hold extras is looked up unless ``sets_with_extras`` says so.
     ``lenient`` leaves out terms that cannot be honoured, with warnings (``plans.policy``), instead of raising.
 
     First the filter, then the choice of a representative among what it kept, then order and page.
@@ -154,8 +183,8 @@ def search(prepared: DataFrame, query: str, **options) -> Result:
     written = parsed.tree
     parsed = rewrite(parsed)
     o = _checked(apply_directives(parsed, Options(**options)))
-    tree = gate(parsed, written, o.include_extras, o.include_variations, o.sets_with_extras)
-    keep = condition(tree, o.aliases)
+    tree = gate(parsed, written, o.include_extras, o.include_variations, _sets_with_extras(prepared, written, o))
+    keep = condition(tree, _aliases(tree, o.aliases))
     if not (o.include_multilingual or widens(parsed.tree)):
         keep = keep & F.col("is_canonical")
     matches = representatives(prepared.where(keep), o.unique, o.prefer)

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from quillon.functions.columns import clean_id
 from quillon.functions.text import fold_accents, slug, title_words
 from quillon.operators.hierarchy import ancestors, latest
-from quillon.operators.prepare import cost_counts, stat
+from quillon.operators.prepare import cost_counts, current, stat
 from quillon.operators.ranks import name_percent_ranks, slot_ranks
 from quillon.plans.fields import RARITIES
 from quillon.plans.rewrite import FLAG_TAGS, MEMBER_TAGS
+from quillon.plans.skew import join_unique, left_join_unique
 from quillon.runtime import materialise
 
 _NONE = "array<string>"
 # Layouts and sets whose cards are extra.
 EXTRA_LAYOUTS = ("token", "double_faced_token", "emblem", "planar", "scheme", "vanguard", "art_series", "front_card")
 FUNNY_EXTRA_SETS = ("cmb1", "cmb2", "h17", "hho", "ph17", "ph18", "ph19", "ph20", "ph21", "ph22", "ph23", "phtr", "punk", "ulst", "unk")
+#: Flags of a printing that rows keep beside the properties made of them.
+FLAGS = ("booster", "digital", "full_art", "highres_image", "oversized", "promo", "reprint", "story_spotlight", "textless", "variation")
 REQUIRED = ("id", "oracle_id", "name", "released_at", "type_line", "colors", "color_identity", "legalities")
 
 
@@ -88,8 +91,8 @@ def transform(parsed: DataFrame) -> DataFrame:
     """Catalogue rows of parsed records (``sources.jsonl.parse_records``); records without a required field are left out.
 
     The faces of a record are merged into one row: lists are united, texts joined, power with toughness and loyalty
-    taken from the first face that has any; what a face lacks it has from the record.  A record whose list of faces is
-    empty gives no row.  In ``from_json`` a null field of a face is an absent one.
+    taken from the first face that has any; what a face lacks it has from the record, while a field that it has as null
+    stays null.  A record whose list of faces is empty gives no row.
     """
     r = lambda name: F.col(f"record.{name}")
     df = parsed.where(reduce(lambda a, b: a & b, (r(x).isNotNull() for x in REQUIRED)))
@@ -98,26 +101,28 @@ def transform(parsed: DataFrame) -> DataFrame:
     several = faces.isNotNull()
     empty = F.array().cast(_NONE)
 
+    def own(f: Column, i: Column, name: str) -> Column:
+        """A field of a face, the record's own where the face does not have it."""
+        return F.when(F.array_contains(F.get(F.col("face_keys"), i), name), f[name]).otherwise(r(name))
+
     def each(name: str) -> Column:
-        """A field of every face, the record's own where a face has none."""
-        return F.when(several, F.transform(faces, lambda f: F.coalesce(f[name], r(name)))).otherwise(F.array(r(name)))
+        """A field of every face."""
+        return F.when(several, F.transform(faces, lambda f, i: own(f, i, name))).otherwise(F.array(r(name)))
 
     def united(name: str) -> Column:
         return F.array_distinct(F.array_compact(F.flatten(F.transform(each(name), lambda x: F.coalesce(x, empty)))))
 
     types = F.transform(each("type_line"), lambda t: F.struct(type_words(t)[0].alias("types"), type_words(t)[1].alias("subtypes")))
-    stats = F.when(several, F.transform(faces, lambda f: F.struct(F.coalesce(f["power"], r("power")).alias("power"), F.coalesce(f["toughness"], r("toughness")).alias("toughness"), F.coalesce(f["loyalty"], r("loyalty")).alias("loyalty")))).otherwise(
-        F.array(F.struct(r("power").alias("power"), r("toughness").alias("toughness"), r("loyalty").alias("loyalty")))
-    )
+    stats = F.when(several, F.transform(faces, lambda f, i: F.struct(*(own(f, i, x).alias(x) for x in ("power", "toughness", "loyalty"))))).otherwise(F.array(F.struct(*(r(x).alias(x) for x in ("power", "toughness", "loyalty")))))
     fights = F.get(F.filter(stats, lambda s: s["power"].isNotNull() | s["toughness"].isNotNull()), F.lit(0))
     walks = F.get(F.filter(stats, lambda s: s["loyalty"].isNotNull()), F.lit(0))
     price = lambda *names: F.coalesce(*(number_or_null(F.try_element_at(r("prices"), F.lit(n))) for n in names))
     folded = lambda c: fold_accents(F.lower(c))
     faces_named = F.array_join(F.transform(faces, lambda f: F.coalesce(f["printed_name"], f["name"])), " // ")
     printed = F.when(F.exists(faces, lambda f: f["printed_name"].isNotNull()), faces_named).otherwise(r("printed_name"))
-    costs = F.when(several, F.get(F.transform(faces, lambda f: F.coalesce(f["mana_cost"], r("mana_cost"))), F.lit(0))).otherwise(r("mana_cost"))
+    costs = F.get(each("mana_cost"), F.lit(0))
     row = {
-        "scryfall_id": clean_id(r("id")), "oracle_id": clean_id(r("oracle_id")), "illustration_id": clean_id(F.coalesce(F.get(each("illustration_id"), F.lit(0)), r("illustration_id"))),
+        "scryfall_id": clean_id(r("id")), "oracle_id": clean_id(r("oracle_id")), "illustration_id": clean_id(F.get(each("illustration_id"), F.lit(0))),
         "card_name": r("name"), "card_name_folded": folded(r("name")), "card_lang": F.lower(r("lang")), "released_at": r("released_at"),
         "card_set_code": F.lower(r("set")), "set_name": r("set_name"), "card_set_type": F.lower(r("set_type")), "collector_number": r("collector_number"), "collector_number_int": digits_of(r("collector_number")).cast("bigint"),
         "card_rarity_int": rarity_number(r("rarity")).cast("bigint"), "card_border": F.lower(r("border_color")), "card_layout": F.lower(r("layout")),
@@ -134,11 +139,15 @@ def transform(parsed: DataFrame) -> DataFrame:
         "price_usd": price("usd", "usd_foil", "usd_etched"), "price_eur": price("eur", "eur_foil"), "price_tix": price("tix"),
         "printed_name": r("printed_name"), "printed_name_folded": folded(printed), "printed_type_line": r("printed_type_line"), "printed_text": r("printed_text"), "flavor_name": r("flavor_name"), "flavor_name_folded": folded(r("flavor_name")),
         "card_faces": F.coalesce(faces, F.array().cast(df.schema["record"].dataType["card_faces"].dataType)),
+        **{c: r(c) for c in ("frame", "set_id", "life_modifier", "hand_modifier", *FLAGS)}, "promo_types": F.coalesce(r("promo_types"), empty), "frame_effects": F.coalesce(r("frame_effects"), empty),
+        **{f"price_{n}": price(n) for n in ("usd_foil", "usd_etched", "eur_foil")}, "price_usd_plain": price("usd"), "price_eur_plain": price("eur"),
+        # a place for every face, null where its picture is unknown
+        "face_illustrations": F.when(several, F.transform(each("illustration_id"), clean_id)).otherwise(F.array(clean_id(r("illustration_id")))),
         "finishes": F.coalesce(r("finishes"), empty), "games": F.coalesce(r("games"), empty), "image_status": r("image_status"), "multiverse_ids": r("multiverse_ids"),
         "external_ids": F.map_filter(F.create_map(*(x for k in ("arena_id", "mtgo_id", "tcgplayer_id", "cardmarket_id") for x in (F.lit(k), whole_or_null(r(k))))), lambda _, v: v.isNotNull()),
         "residue": F.col("residue"), "is_canonical": F.lit(True),
     }
-    kept = [c for c in df.columns if c not in ("record", "residue", *row)]
+    kept = [c for c in df.columns if c not in ("record", "residue", "face_keys", *row)]
     return df.select(*kept, *(v.alias(k) for k, v in row.items()))
 
 
@@ -180,7 +189,8 @@ def off_style(art_tags: Column) -> Column:
 
 
 def components_score() -> Column:
-    """The part of a printing's preference that it has by itself; see the weights."""
+    """The part of a printing's preference that it has by itself."""
+    # The weights.
     has = lambda c, v: F.coalesce(F.array_contains(c, F.lit(v)), F.lit(False))
     w = lambda cond, value, other=0.0: F.when(F.coalesce(cond, F.lit(False)), float(value)).otherwise(other)
     frame = F.when(has("card_frame_data", "2015"), 42.0).when(has("card_frame_data", "2003"), 30.0).when(has("card_frame_data", "1997"), 25.0).when(has("card_frame_data", "1993"), 10.0).otherwise(0.0)
@@ -202,33 +212,35 @@ def components_score() -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame | None = None) -> DataFrame:
+def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame | None = None, version: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Catalogue rows with what only the whole catalogue can tell: tags, counts of artworks, ranks and scores.
 
-    Rows that repeat an id count as their last one in ``scryfall_id``'s order of the other columns; dedupe before where
-    deliveries have versions (``prepare.current``).  ``pinned`` (oracle_id, card_set_code, collector_number) names the
-    slots that go first.
+    Rows that repeat an id count as the one of greatest ``version`` columns.  ``pinned`` (oracle_id, card_set_code,
+    collector_number) names the slots that go first.  A card or artwork that holds a third of all rows is spread over
+    all tasks in every join.
     """
     empty = F.array().cast(_NONE)
-    df = rows.withColumn("_ills", illustrations(F.col("card_faces"), F.col("illustration_id")))
+    once, _ = materialise(current(rows, list(version)).withColumn("_ills", illustrations(F.col("card_faces"), F.col("illustration_id"))), "once")
+    size = once.count()
+    df = once
     if tags is None:
         df = df.withColumns({"card_oracle_tags": empty, "card_art_tags": empty})
     else:
         reached = tag_reach(tags)
         oracle = tag_lists(*reached, "oracle_id").withColumnRenamed("tags", "card_oracle_tags")
         art = tag_lists(*reached, "illustration_id")
-        of_rows = df.select("scryfall_id", F.explode("_ills").alias("illustration_id")).join(art, "illustration_id").groupBy("scryfall_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("card_art_tags"))
-        df = df.join(oracle, "oracle_id", "left").join(of_rows, "scryfall_id", "left").withColumns({"card_oracle_tags": F.coalesce("card_oracle_tags", empty), "card_art_tags": F.coalesce("card_art_tags", empty)})
+        of_rows = join_unique(df.select("scryfall_id", F.explode("_ills").alias("illustration_id")), art, "illustration_id", size).groupBy("scryfall_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("card_art_tags"))
+        df = left_join_unique(df, oracle, ["oracle_id"], size).join(of_rows, "scryfall_id", "left").withColumns({"card_oracle_tags": F.coalesce("card_oracle_tags", empty), "card_art_tags": F.coalesce("card_art_tags", empty)})
     regular = (F.col("card_lang") == "en") & (F.coalesce("card_set_type", F.lit("")) != "memorabilia") & ~F.coalesce("card_border", F.lit("")).isin("gold", "yellow") & F.col("illustration_id").isNotNull()
-    counted = df.where(regular).groupBy("illustration_id", "card_name").agg(F.count("*").alias("illustration_count"))
-    df = df.join(counted, ["illustration_id", "card_name"], "left").withColumn("illustration_count", F.coalesce("illustration_count", F.lit(0)))
-    df = df.join(name_percent_ranks(df, "card_name", "edhrec_rank").withColumnRenamed("score", "_pr"), "card_name", "left").withColumn("cubecobra_score", F.col("_pr").cast("float")).drop("_pr")
-    slots = df.select("oracle_id", F.col("card_set_code").alias("set_code"), "collector_number", F.col("released_at").try_cast("date").alias("released"), F.col("card_lang").alias("lang"))
+    counted = once.where(regular).groupBy("illustration_id", "card_name").agg(F.count("*").alias("illustration_count"))
+    df = left_join_unique(df, counted, ["illustration_id", "card_name"], size).withColumn("illustration_count", F.coalesce("illustration_count", F.lit(0)))
+    ranks = name_percent_ranks(once, "card_name", "edhrec_rank", version[0]).withColumnRenamed("score", "_pr")
+    df = left_join_unique(df, ranks, ["card_name"], size).withColumn("cubecobra_score", F.col("_pr").cast("float")).drop("_pr")
+    slots = once.select("oracle_id", F.col("card_set_code").alias("set_code"), "collector_number", F.col("released_at").try_cast("date").alias("released"), F.col("card_lang").alias("lang"))
     pins = None if pinned is None else pinned.select("oracle_id", F.col("card_set_code").alias("set_code"), "collector_number")
     ranked = slot_ranks(slots, pins).select("oracle_id", F.col("set_code").alias("card_set_code"), "collector_number", "rank", *([] if pins is None else ["pinned"]))
-    df = df.join(ranked, ["oracle_id", "card_set_code", "collector_number"], "left")
+    df = left_join_unique(df, ranked, ["oracle_id", "card_set_code", "collector_number"], size)
     bonus = F.lit(0.0) if pins is None else F.when(F.col("pinned"), 1000.0).otherwise(0.0)
     rank = F.least(F.coalesce("rank", F.lit(1024)), F.lit(1024))
     score = (F.lit(1024) - rank) * 2048 + components_score() + bonus
     return df.withColumn("prefer_score", score.cast("float")).drop("_ills", "rank", "pinned")
-

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.transform import finalize, tag_aliases, tag_lists, tag_reach, transform
+from quillon.operators.transform import tag_aliases, tag_lists, tag_reach, transform
 from quillon.search_queries import _sql, corpus
-from quillon.sinks.render import card_object, card_text, csv_columns
+from quillon.sinks.render import card_text, csv_columns
 from quillon.sources.jsonl import checked, parse_records
 from quillon.sources.tables import table
 
@@ -79,18 +79,6 @@ def prj_type_words_all(spark: SparkSession, d: str) -> DataFrame:
     return _type_words(rows(spark, d))
 
 
-@_query
-def prj_residue(spark: SparkSession, d: str) -> DataFrame:
-    """How many records keep each key that no column holds."""
-    return rows(spark, d).select(F.explode(F.map_keys("residue")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
-
-
-@_query
-def prj_final_rows(spark: SparkSession, d: str) -> DataFrame:
-    """The rows with tags, ranks and scores."""
-    return finalize(rows(spark, d), table(spark, d, "tags")).select("line_no", "scryfall_id", "illustration_count", F.round("cubecobra_score", 4).alias("cubecobra_score"), "prefer_score", F.size("card_oracle_tags").alias("n_tags"))
-
-
 _TAG_CTE = """
     latest AS (SELECT lower(trim(id)) AS id, trim(regexp_replace(lower(slug), '[^a-z0-9]+', '-', 'g'), '-') AS slug, parent_ids, aliases, taggings,
                       row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY updated_at DESC NULLS LAST, row_no DESC) AS newest FROM tags WHERE trim(id) <> ''),
@@ -144,10 +132,16 @@ SQL["jn_set_of_printing"] = _sql("SELECT c.scryfall_id, s.id AS set_id FROM cur
 @_query
 def snk_csv(spark: SparkSession, d: str) -> DataFrame:
     """The CSV columns of all printings."""
-    return csv_columns(corpus(spark, d)).select("scryfall_id", "set", "rarity", "name", "type_line", "artist", "lang")
+    return csv_columns(corpus(spark, d))
 
 
-SQL["snk_csv"] = _sql("SELECT scryfall_id, card_set_code AS set, CASE card_rarity_int WHEN 0 THEN 'common' WHEN 1 THEN 'uncommon' WHEN 2 THEN 'rare' WHEN 3 THEN 'special' WHEN 4 THEN 'mythic' WHEN 5 THEN 'bonus' END AS rarity, card_name AS name, type_line, card_artist AS artist, card_lang AS lang FROM cur")
+_DECIMAL = lambda c: f"CASE WHEN {c} = trunc({c}) AND abs({c}) < 1e7 THEN CAST(CAST({c} AS BIGINT) AS VARCHAR) || '.0' ELSE CAST({c} AS VARCHAR) END"
+_SLUG = "replace(replace(replace(replace(replace(replace(replace(url_encode(regexp_replace(regexp_replace(lower(card_name), '[''\",./“”]', '', 'g'), ' +', '-', 'g')), '%21', '!'), '%26', '&'), '%28', '('), '%29', ')'), '%2B', '+'), '%3A', ':'), '%3D', '=')"
+SQL["snk_csv"] = _sql(f"""
+    SELECT CAST(NULL AS VARCHAR) AS multiverse_id, CAST(NULL AS VARCHAR) AS mtgo_id, upper(card_set_code) AS set, collector_number, card_lang AS lang, CASE card_rarity_int WHEN 0 THEN 'C' WHEN 1 THEN 'U' WHEN 2 THEN 'R' WHEN 3 THEN 'S' WHEN 4 THEN 'M' WHEN 5 THEN 'B' END AS rarity, card_name AS name,
+           CASE WHEN len(card_faces) > 0 THEN array_to_string(list_filter(list_transform(card_faces, lambda f: f.mana_cost), lambda c: length(c) > 0), ' // ') END AS mana_cost, {_DECIMAL("cmc")} AS cmc, type_line, card_artist AS artist,
+           {_DECIMAL("price_usd")} AS usd_price, CAST(NULL AS VARCHAR) AS usd_foil_price, {_DECIMAL("price_eur")} AS eur_price, CAST(NULL AS VARCHAR) AS tix_price, '/images/large/front/' || scryfall_id[1] || '/' || scryfall_id[2] || '/' || scryfall_id || '.jpg' AS image_uri,
+           '/card/' || lower(card_set_code) || '/' || url_encode(collector_number) || CASE WHEN lower(card_lang) <> 'en' THEN '/' || lower(card_lang) ELSE '' END || '/' || {_SLUG} AS scryfall_uri, scryfall_id FROM cur""")
 
 
 @_query
@@ -156,13 +150,8 @@ def snk_text(spark: SparkSession, d: str) -> DataFrame:
     return corpus(spark, d).select("scryfall_id", card_text().alias("text"))
 
 
-SQL["snk_text"] = _sql("SELECT scryfall_id, concat_ws(chr(10), card_name, type_line) AS text FROM cur")
-
-
-@_query
-def snk_objects(spark: SparkSession, d: str) -> DataFrame:
-    """Every printing as a JSON object."""
-    return corpus(spark, d).select("scryfall_id", card_object().alias("object"))
+SQL["snk_text"] = _sql("""SELECT scryfall_id, CASE WHEN len(card_faces) > 0 THEN array_to_string(list_transform(card_faces, lambda f: concat_ws(chr(10), concat_ws(' ', coalesce(f.name, ''), nullif(f.mana_cost, '')), nullif(f.type_line, ''))), chr(10) || chr(10))
+    ELSE concat_ws(chr(10), card_name, nullif(type_line, '')) END AS text FROM cur""")
 
 
 @_query

@@ -11,6 +11,8 @@ import re
 from collections import Counter
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,14 +49,47 @@ def cost_of(text: str) -> Counter:
 
 
 def pattern_of(p: Pattern) -> str:
-    """The pattern for ``rlike``: any letter case, anywhere.  Refuses what linear-time engines refuse."""
+    """The pattern for ``rlike``: any letter case of any script, anywhere.
+
+    Refuses what engines that work in linear time refuse, what this one does not know, and repetitions of repetitions,
+    which it might not finish.
+    """
     if _REFUSED.search(p.value):
         raise QueryError(f"Look-around and back-references are not supported: /{p.value}/")
+    if _nested(p.value):
+        raise QueryError(f"A repetition within a repetition is not supported: /{p.value}/")
+    pattern = "(?iu)" + re.sub(r"\(\?P<", "(?<", p.value)
+    context = SparkContext._active_spark_context
     try:
-        re.compile(p.value)
-    except re.error as e:
-        raise QueryError(f"Invalid pattern /{p.value}/: {e}") from None
-    return "(?i)" + p.value
+        if context is None:
+            re.compile(p.value)
+        else:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (re.error, Py4JJavaError) as e:
+        why = str(e) if isinstance(e, re.error) else str(e.java_exception.getDescription())
+        raise QueryError(f"Invalid pattern /{p.value}/: {why}") from None
+    return pattern
+
+
+def _nested(pattern: str) -> bool:
+    """Whether a group that repeats something without an end is itself repeated without an end."""
+    inside = [False]
+    closed = False
+    bare = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "x", pattern, flags=re.S)
+    for i, c in enumerate(bare):
+        endless = c in "*+" and (i == 0 or bare[i - 1] not in "*+") or c == "{" and re.match(r"\{\d+,\}", bare[i:]) is not None
+        if endless and closed:
+            return True
+        if c == "(":
+            inside.append(False)
+        elif c == ")" and len(inside) > 1:
+            closed = inside.pop()
+            inside[-1] |= closed
+            continue
+        elif endless:
+            inside[-1] = True
+        closed = False
+    return False
 
 
 def _mask_test(m: Column, op: str, wanted: int) -> Column:
@@ -191,6 +226,8 @@ def _text(c: Compare, aliases: dict[str, str]) -> Column:
         p = pattern_of(value)
         return F.exists(column, lambda x: F.rlike(x, F.lit(p))) if listed else F.rlike(F.col("name_lower") if how == "name" else column, F.lit(p))
     word = value.value.lower()
+    if how == "exact":
+        return column == value.value
     if how == "name":
         return name_has(value.value, value.quoted)
     if how == "line":

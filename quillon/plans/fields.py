@@ -19,7 +19,6 @@ class Field:
     kind: str
     how: str
     said: str
-    sensitive: bool = False
 
 
 def _f(column: str, aliases: str, kind: str, how: str, said: str) -> Field:
@@ -53,7 +52,7 @@ FIELDS: tuple[Field, ...] = (
     _f("is_tags", "is has", TEXT, "member", "the property"),
     _f("rarity", "rarity r", RARITY, "number", "the rarity"),
     _f("set_code", "set s e", TEXT, "equal", "the set"),
-    _f("collector_number", "number cn", TEXT, "equal", "the collector number"),
+    _f("collector_number", "number cn", TEXT, "exact", "the collector number"),
     _f("legalities", "format f legal banned restricted", LEGALITY, "legality", "the format"),
     _f("lang", "lang language", TEXT, "lang", "the language"),
     _f("set_type", "set_type settype st", TEXT, "equal", "the set type"),

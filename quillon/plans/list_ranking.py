@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.runtime import drop, materialise
@@ -126,3 +126,26 @@ def running_total(df: DataFrame, by: str, value: str, out: str) -> DataFrame:
     own = F.coalesce(F.sum(value).over(Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = df.sparkSession.createDataFrame(offsets, "_pid int, _start bigint")
     return spread.withColumn("_own", own).join(F.broadcast(starts), "_pid").withColumn(out, F.col("_own") + F.col("_start")).drop("_pid", "_own", "_start")
+
+
+def row_numbers(df: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """``df`` with ``out``: each row's place, from 1, within its ``group`` in this order; rows without a group are left out.
+
+    The rows are range-partitioned by group and order, so a large group is spread over many tasks; a partition adds to
+    the places of its first group what the partitions before it hold of that group, one number a partition.
+    """
+    spread, _ = materialise(df.where(F.col(group).isNotNull()).repartitionByRange(F.col(group).asc(), *order).withColumn("_pid", F.spark_partition_id()), "places")
+    counts = spread.groupBy("_pid", group).agg(F.count("*").alias("n"))
+    edges = counts.groupBy("_pid").agg(F.min(group).alias("first"), F.min_by("n", group).alias("n_first"), F.max(group).alias("last"), F.max_by("n", group).alias("n_last")).collect()
+    offsets, open_group, held = [], None, 0
+    for r in sorted(edges, key=lambda r: r["_pid"]):
+        if r["first"] != open_group:
+            held = 0
+        offsets.append((r["_pid"], r["first"], held))
+        held = held + r["n_first"] if r["first"] == r["last"] else r["n_last"]
+        open_group = r["last"]
+    kind = dict(df.dtypes)[group]
+    begins = df.sparkSession.createDataFrame(offsets, f"_pid int, _first {kind}, _held bigint")
+    place = F.row_number().over(Window.partitionBy("_pid", group).orderBy(*order))
+    led = spread.withColumn("_place", place).join(F.broadcast(begins), "_pid", "left")
+    return led.withColumn(out, (F.col("_place") + F.when(F.col("_first") == F.col(group), F.col("_held")).otherwise(0)).cast("int")).drop("_pid", "_first", "_held", "_place")

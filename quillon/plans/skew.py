@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +23,21 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, rows: int, heavy_ro
     few = F.broadcast(right.join(F.broadcast(heavy), key, "left_semi"))
     rest = left.join(F.broadcast(heavy), key, "left_anti")
     return left.join(few, key).unionByName(rest.join(right, key))
+
+
+def left_join_unique(left: DataFrame, right: DataFrame, keys: list[str], rows: int, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """The left outer join on ``keys``, of which ``right`` has each combination once.
+
+    Rows without a key have no partner and are never shuffled to find that out; keys with many rows meet theirs by
+    broadcast, as in ``join_unique``.
+    """
+    if rows <= heavy_rows:
+        return left.join(right, keys, "left")
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    more = [f for f in right.schema.fields if f.name not in keys]
+    heavy = left.where(known).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(heavy_rows, rows * SHARE)).select(*keys)
+    few = F.broadcast(heavy.join(right, keys, "left"))
+    columns = [*left.columns, *(f.name for f in more)]
+    alone = left.where(~known).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more))
+    some, rest = left.where(known).join(few, keys), left.where(known).join(F.broadcast(heavy), keys, "left_anti").join(right, keys, "left")
+    return alone.select(*columns).unionByName(some.select(*columns)).unionByName(rest.select(*columns))

@@ -73,20 +73,20 @@ FILTERS: dict[str, tuple[str, str]] = {
     "par_division": ("usd/eur>1.1", "price_usd / nullif(price_eur, 0) > 1.1"),
     "par_cross_column": ("usd>eur", "price_usd > price_eur"),
     "par_signed": ("cmc>-1", "cmc > -1"),
-    "par_directives": ("t:goblin-none order:cmc or t:land prefer:newest", "lower(type_line) LIKE '%goblin-none%' OR lower(type_line) LIKE '%land%'"),
     "cmp_numeric_eq": ("cmc=3", "cmc = 3"),
     "cmp_numeric_ne": ("mv!=3", "cmc <> 3"),
     "cmp_numeric_lt": ("manavalue<2", "cmc < 2"),
     "cmp_rarity": ("r>=mythic", "card_rarity_int >= 4"),
     "cmp_rarity_letter": ("rarity:u", "card_rarity_int = 1"),
     "cmp_date_day": ("date>=2015-06-15", "try_cast(released_at AS DATE) >= DATE '2015-06-15'"),
-    "cmp_date_month": ("date:2012-03", "try_cast(released_at AS DATE) BETWEEN DATE '2012-03-01' AND DATE '2012-03-31'"),
+    "cmp_date_month": ("date:1996-03", "try_cast(released_at AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-03-31'"),
     "cmp_date_window": ("date<=2010", "try_cast(released_at AS DATE) <= DATE '2010-12-31'"),
     "cmp_year_ne": ("year!=2014", "NOT (try_cast(released_at AS DATE) BETWEEN DATE '2014-01-01' AND DATE '2014-12-31')"),
     "cmp_year_after": ("year>2018", "try_cast(released_at AS DATE) > DATE '2018-12-31'"),
     "cmp_price": ("usd>=5 eur<20", "price_usd >= 5 AND price_eur < 20"),
     "cmp_number_int": ("cn>=350", "collector_number_int >= 350"),
-    "cmp_number_text": ("number:a12", "lower(collector_number) = 'a12' AND collector_number = 'a12'"),
+    "cmp_number_text": ("cn:A-182 or number:97s", "collector_number IN ('A-182', '97s')"),
+    "cmp_number_case": ("cn:a-182 or number:A-182", "collector_number IN ('a-182', 'A-182')"),
     "col_superset": ("c:wu", "mask & 3 = 3"),
     "col_exact": ("c=br", "mask = 12"),
     "col_subset": ("c<=gw", "mask & 17 = mask"),
@@ -98,8 +98,8 @@ FILTERS: dict[str, tuple[str, str]] = {
     "col_many": ("c:multicolor", "bit_count(mask) >= 2"),
     "col_few": ("c!=m", "bit_count(mask) < 2"),
     "txt_name_bare": ("lantern", "name_key LIKE '%lantern%'"),
-    "txt_name_accents": ("name:drosow", "name_key LIKE '%drosow%'"),
-    "txt_name_quoted": ("\"of the\"", "lower(card_name) LIKE '%of the%'"),
+    "txt_name_accents": ("name:brasuna or name:Kömöm", "name_key LIKE '%brasuna%' OR name_key LIKE '%komom%'"),
+    "txt_name_quoted": ("\"er of \" or \"Cálr\"", "lower(card_name) LIKE '%er of %' OR lower(card_name) LIKE '%cálr%'"),
     "txt_name_words": ("warden of", "name_key LIKE '%warden%' AND name_key LIKE '%of%'"),
     "txt_name_exact": ("!\"Nirnen Basin\"", "name_key = 'nirnenbasin'"),
     "txt_name_regex": ("name:/^s.*n$/", "regexp_matches(lower(card_name), '^s[^\\n]*n$')"),
@@ -108,7 +108,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "txt_regex_plain": ("t:/token creature/", "lower(type_line) LIKE '%token creature%'"),
     "txt_type_part": ("t:creat", "lower(type_line) LIKE '%creat%'"),
     "txt_type_phrase": ("t:\"basic land\"", "lower(type_line) LIKE '%basic land%'"),
-    "txt_artist": ("a:vernund", "regexp_replace(lower(strip_accents(card_artist)), '[^\\p{L}\\p{N}]+', '', 'g') LIKE '%vernund%'"),
+    "txt_artist": ("a:soamane or a:\"lilor jyth\"", "regexp_matches(regexp_replace(lower(strip_accents(card_artist)), '[^\\p{L}\\p{N}]+', '', 'g'), 'soamane|lilorjyth')"),
     "txt_lang": ("lang:ja", "lower(card_lang) = 'ja'"),
     "txt_lang_any": ("lang:any cmc=1", "cmc = 1"),
     "txt_border": ("border:borderless", "lower(card_border) = 'borderless'"),
@@ -123,7 +123,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "leg_legal": ("f:modern", "card_legalities['modern'] IN ('legal', 'restricted')"),
     "leg_letter": ("legal:v", "card_legalities['vintage'] IN ('legal', 'restricted')"),
     "leg_banned": ("banned:brawl", "card_legalities['brawl'] = 'banned'"),
-    "leg_restricted": ("restricted:vintage", "card_legalities['vintage'] = 'restricted'"),
+    "leg_restricted": ("restricted:pauper", "card_legalities['pauper'] = 'restricted'"),
     "man_contains": ("m:{1}{R}", f"len(list_filter({_COST}, lambda c: {_R} >= 1 AND {_GENERIC} >= 1)) > 0"),
     "man_exact": ("m={1}{R}", f"len(list_filter({_COST}, lambda c: {_R} = 1 AND {_GENERIC} = 1 AND {_OTHER})) > 0"),
     "man_at_most": ("m<={3}{R}", f"len(list_filter({_COST}, lambda c: {_R} <= 1 AND {_GENERIC} <= 3 AND {_OTHER})) > 0"),
@@ -184,7 +184,7 @@ def _order_sql(orderby: str, direction: str) -> str:
     down = direction == "desc" or direction == "auto" and orderby in ("released", "rarity", "usd", "tix", "eur")
     nulls = ("LAST" if down else "FIRST") if side == "low" else ("FIRST" if down else "LAST")
     named = [f"{k} {'DESC' if down else 'ASC'} NULLS {nulls}" for k in _split(keys) if k != "NULL"]
-    return ", ".join([*named, "is_canonical DESC", "name_key ASC NULLS LAST", "scryfall_id ASC"])
+    return ", ".join([*named, "name_key ASC NULLS LAST", "is_canonical DESC", "CASE WHEN NOT is_canonical THEN lower(card_lang) END ASC NULLS FIRST", "scryfall_id ASC"])
 
 
 def _paged(query: str, where: str, unique: str, prefer: str, orderby: str, direction: str, limit: int, offset: int, multilingual: bool = False):
@@ -209,9 +209,9 @@ def _whole(query: str, where: str, unique: str, prefer: str, multilingual: bool
 
 _CREATURES = ("t:creature cmc<=4", "lower(type_line) LIKE '%creature%' AND cmc <= 4")
 _PAGES = {f"ord_{o}_{way}": _paged(*_CREATURES, "card", "default", o, way, 40, 10) for o in ("artist", "cmc", "color", "edhrec", "eur", "name", "rarity", "released", "set", "usd") for way in ("asc", "desc")}
-_PAGES |= {f"ord_{o}_auto": _paged(*_CREATURES, "printing", "default", o, "auto", 60, 0) for o in ("cubecobra", "power", "tix", "toughness", "released", "name")}
+_PAGES |= {f"ord_{o}_auto": _paged(*_CREATURES, "printing", "default", o, "auto", 60, 0) for o in ("released", "name")}
 _PAGES |= {f"unq_{u}_{'all' if m else 'en'}": _whole(*_CREATURES, u, "default", m) for u in ("card", "printing", "artwork") for m in (False, True)}
-_PAGES |= {f"prf_{p}": _whole(*_CREATURES, "card", p) for p in ("oldest", "newest", "usd_low", "usd_high", "promo")}
+_PAGES |= {f"prf_{p}": _whole(*_CREATURES, "card", p) for p in ("oldest", "newest", "usd_low", "usd_high")}
 _PAGES |= {f"lim_page_{n}": _paged("r>=rare", "card_rarity_int >= 2", "printing", "default", "name", "auto", PAGE, (n - 1) * PAGE) for n in (1, 2, 3)}
 
 
@@ -340,10 +340,10 @@ def win_percent_rank(spark: SparkSession, d: str) -> DataFrame:
     """Every name's percent rank by play rank, times 25."""
     from quillon.operators.ranks import name_percent_ranks
 
-    return name_percent_ranks(corpus(spark, d), "card_name", "edhrec_rank").select("card_name", F.round("score", 6).alias("score"))
+    return name_percent_ranks(corpus(spark, d), "card_name", "edhrec_rank", "row_no").select("card_name", F.round("score", 6).alias("score"))
 
 
-SQL["win_percent_rank"] = _sql("SELECT card_name, round(25 * percent_rank() OVER (ORDER BY edhrec_rank ASC NULLS LAST), 6) AS score FROM (SELECT card_name, min(edhrec_rank) AS edhrec_rank FROM cur WHERE card_name IS NOT NULL GROUP BY 1)")
+SQL["win_percent_rank"] = _sql("SELECT card_name, round(25 * percent_rank() OVER (ORDER BY edhrec_rank ASC NULLS LAST), 6) AS score FROM (SELECT card_name, first(edhrec_rank ORDER BY row_no) AS edhrec_rank FROM cur WHERE card_name IS NOT NULL GROUP BY 1)")
 
 
 @_query

@@ -50,14 +50,21 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 def publish(rows: DataFrame, folder: str, partitions: int | None = None, sort: tuple[str, ...] = ("oracle_id", "scryfall_id")) -> dict:
     """Writes ``rows`` as a new build of ``folder``, makes it current, and drops all but the last builds.
 
-    Rows are partitioned by ``oracle_id``, so a card's rows lie together, and sorted within files, so that ids prune.
+    Rows are partitioned by ``oracle_id``, so a card's rows lie together, and sorted within files, so that ids prune; a card
+    of more rows than a partition should hold, and rows of no card, are spread over as many as they need.
     Returns the manifest.  A build without its manifest is not one: a run that dies leaves the current build as it was.
     """
     spark = rows.sparkSession
     build = uuid.uuid4().hex
     n = partitions or max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
     path = f"{folder.rstrip('/')}/build={build}"
-    rows.repartition(n, "oracle_id").sortWithinPartitions(*sort).write.mode("error").parquet(path)
+    total = rows.count()
+    part = F.when(F.col("oracle_id").isNull(), F.pmod(F.xxhash64("scryfall_id"), F.lit(n))).otherwise(0)
+    most = max(1, total // n)
+    large = rows.groupBy("oracle_id").agg(F.count("*").alias("_n")).where(F.col("oracle_id").isNotNull() & (F.col("_n") > max(most, ROWS_PER_PARTITION // 20))).select("oracle_id", F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    # at most n cards are as large as a partition
+    spread = rows.join(F.broadcast(large), "oracle_id", "left").withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("scryfall_id"), F.col("_parts"))).otherwise(part))
+    spread.repartition(n, "oracle_id", "_part").select(*rows.columns).sortWithinPartitions(*sort).write.mode("error").parquet(path)
     written = spark.read.parquet(path)
     printings, cards = written.agg(F.count("*"), F.count_distinct("oracle_id")).first()
     before = history(spark, folder)

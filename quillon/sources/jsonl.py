@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +49,25 @@ def record_schema() -> str:
     return f"struct<{_ddl(head.rstrip(', '))},card_faces:array<struct<{_ddl(FACE_FIELDS)}>>>"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line) of text files; compressed ones by their suffix.  Lines of large files are read in parallel splits."""
-    return spark.read.text(path).withColumnRenamed("value", "line")
+def read_lines(spark: SparkSession, path: str, sniff: bool = False) -> DataFrame:
+    """(line) of text files; compressed ones by their suffix.  Lines of large files are read in parallel splits.
+
+    ``sniff`` also takes files for compressed that begin as such, whatever they are called; each such file, of one or
+    more members, is then read by one task.
+    """
+    if not sniff:
+        return spark.read.text(path).withColumnRenamed("value", "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                raw = content.as_buffer()
+                whole = gzip.decompress(raw) if raw[:2].to_pybytes() == b"\x1f\x8b" else raw.to_pybytes()
+                lines = whole.decode("utf-8", "replace").splitlines()
+                for lo in range(0, len(lines), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(lines[lo : lo + 10_000], pa.string())], ["line"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string")
 
 
 def local_dump(folder: str, kind: str) -> str:
@@ -62,16 +81,20 @@ def local_dump(folder: str, kind: str) -> str:
 
 
 def parse_records(lines: DataFrame, line: str = "line") -> DataFrame:
-    """The table with ``record`` (null where the line is no JSON object) and ``residue``, the other keys as JSON texts.
+    """The table with ``record`` (null where the line is no JSON object), ``face_keys`` (the keys that each face has, those
+    with a null value too) and ``residue``, the other keys as JSON texts.
 
     A field of another type than expected is null in its record; the record's other fields are kept.
     """
     text = F.btrim(F.col(line), F.lit(" \t\r\n,"))
     as_map = F.from_json(text, "map<string,string>")
     known = [f.split(":")[0].strip("`") for f in record_schema()[7:].split(",") if f.startswith("`")] + ["card_faces"]
-    return lines.withColumn("record", F.when(F.startswith(text, F.lit("{")), F.from_json(text, record_schema(), {"mode": "PERMISSIVE"}))).withColumn(
-        "residue", F.map_filter(as_map, lambda k, _: ~k.isin(*set(known)))
-    )
+    faces = F.from_json(F.try_element_at(as_map, F.lit("card_faces")), "array<map<string,string>>")
+    return lines.withColumns({
+        "record": F.when(F.startswith(text, F.lit("{")), F.from_json(text, record_schema(), {"mode": "PERMISSIVE"})),
+        "face_keys": F.transform(faces, F.map_keys),
+        "residue": F.map_filter(as_map, lambda k, _: ~k.isin(*set(known))),
+    })
 
 
 def checked(parsed: DataFrame, line: str = "line") -> DataFrame:

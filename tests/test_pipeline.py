@@ -107,10 +107,10 @@ def test_finalize_counts_over_the_whole_catalogue(spark):
 
 
 def test_percent_ranks_need_the_whole(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 3), ("d", None), ("a", 9)], "name string, rank int")
-    assert {r["name"]: round(r["score"], 4) for r in name_percent_ranks(df, "name", "rank").collect()} == {"a": 0.0, "b": 0.0, "c": 16.6667, "d": 25.0}
-    assert name_percent_ranks(df.limit(1), "name", "rank").first()["score"] == 0.0
-    assert name_percent_ranks(df.where("false"), "name", "rank").count() == 0
+    df = spark.createDataFrame([("a", 1), ("b", 1), ("c", 3), ("d", None), ("a", 9)], "name string, rank int").coalesce(1).withColumn("seen", F.monotonically_increasing_id())
+    assert {r["name"]: round(r["score"], 4) for r in name_percent_ranks(df, "name", "rank", "seen").collect()} == {"a": 0.0, "b": 0.0, "c": 16.6667, "d": 25.0}
+    assert name_percent_ranks(df.limit(1), "name", "rank", "seen").first()["score"] == 0.0
+    assert name_percent_ranks(df.where("false"), "name", "rank", "seen").count() == 0
 
 
 def test_slots_rank_as_people_count(spark):
@@ -140,18 +140,18 @@ def test_rendering(spark):
         with pytest.raises(QueryError):
             render.select_fields(p, bad)
     text = render.csv_text(p.orderBy("scryfall_id")).split("\n")
-    assert text[0].startswith("set,collector_number") and '"Say ""x"", y"' in text[2] and text[1].endswith(",1.5,,,a1")
+    assert text[0].startswith("multiverse_id,mtgo_id,set,collector_number") and '"Say ""x"", y"' in text[2] and text[1].endswith("/fire-ice,a1") and ",,1.5,,," in text[1]
     assert render.csv_cell("") == '""' and render.csv_cell(None) == "" and render.csv_cell("a") == "a"
     lines = p.select(F.col("scryfall_id"), render.card_text().alias("t")).orderBy("scryfall_id").collect()
-    assert lines[0]["t"].split("\n")[0] == "Fire // Ice {1}{R}" and lines[0]["t"].endswith("2/1")
+    assert lines[0]["t"].split("\n")[0] == "Fire {1}{R}" and "2/1" in lines[0]["t"] and "\n\nIce" in lines[0]["t"]
     obj = json.loads(p.where("scryfall_id = 'a1'").select(render.card_object().alias("o")).first()["o"])
-    assert obj["colors"] == ["U", "R"] and obj["prices"] == {"usd": "1.50"} and obj["uri"].endswith("/fire-ice") and obj["rarity"] == "uncommon"
+    assert obj["colors"] == ["U", "R"] and obj["prices"]["usd"] is None and obj["prices"]["usd_foil"] == "1.50" and len(obj["prices"]) == 6 and obj["mana_cost"] == "{1}{R} // {1}{U}" and [f["name"] for f in obj["card_faces"]] == ["Fire", "Ice"] and obj["scryfall_uri"].endswith("/fire-ice") and obj["rarity"] == "uncommon"
     found = search(p, "t:instant")
     columns = json.loads(render.columns_json(render.select_fields(found.rows, ["name"]), []))
     assert len(columns["name"]) == 2
     assert json.loads(render.rows_json(render.select_fields(p, ["name", "power"])).orderBy("value").first()["value"]).keys() == {"name", "power"}
     page = render.list_object(found, ["x"], size=1)
-    assert page["has_more"] and page["next_page"] == 2 and page["total_cards"] == 2
+    assert page["has_more"] and page["next_page"]["page"] == 2 and page["next_page"]["order"] == "edhrec" and page["total_cards"] == 2
     assert render.list_object(search(p, "cmc>90"), [])["status"] == 404 and render.list_object(found, [], number=9)["status"] == 422
     assert [render.page_number(x) for x in (None, "2", "3x", "-1", "x")] == [1, 2, 3, 1, 1]
     assert {r["type"]: r["n_cards"] for r in type_counts(p).collect()}["Instant"] == 2
