@@ -14,7 +14,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,6 @@ SHORT_LATIN, SHORT_OTHER = 2, 3
 #: Strength of the prior against the pages, in lines.
 PRIOR_LINES = 3000.0
 FIT_ROUNDS = 8
-#: Lines of a page whose states are kept for pages of the same symbols, and how many such pages a task keeps.
-KNOWN_LINES, KNOWN_PAGES = 16, 50_000
 #: Words of a run into which a line without sentences is cut.
 RUN = 20
 
@@ -245,40 +243,60 @@ def prior() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array([0.94, 0.02, 0.02, 0.02]), move, emit
 
 
-def posterior(symbols: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each line's probability of each state, and the expected transitions, by forward-backward."""
-    n = len(symbols)
-    likely = emit[:, symbols].T
-    ahead, back = np.empty((n, 4)), np.ones((n, 4))
-    at = start * likely[0]
-    ahead[0] = at = at / at.sum()
-    for t in range(1, n):
-        at = (at @ move) * likely[t]
-        at /= at.sum()
-        ahead[t] = at
-    at = back[n - 1]
-    for t in range(n - 2, -1, -1):
-        at = move @ (likely[t + 1] * at)
-        at /= at.sum()
-        back[t] = at
-    state = ahead * back
-    state /= state.sum(1, keepdims=True)
-    if n < 2:
-        return state, np.zeros((4, 4))
-    pairs = ahead[:-1, :, None] * move[None] * (likely[1:] * back[1:])[:, None, :]
-    return state, (pairs / pairs.sum((1, 2), keepdims=True)).sum(0)
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths)])
 
 
-def expected(pages: Iterable[tuple[np.ndarray, int]], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Expected starts, transitions and emissions, one after the other, over (symbols, times) of pages."""
-    s, m, e = np.zeros(4), np.zeros((4, 4)), np.zeros((4, SYMBOLS))
-    for symbols, times in pages:
-        state, moved = posterior(symbols, *model)
-        s += state[0] * times
-        m += moved * times
-        for k in range(4):
-            e[k] += np.bincount(symbols, state[:, k], SYMBOLS) * times
-    return np.concatenate([s, m.ravel(), e.ravel()])
+def posterior(symbols: np.ndarray, lengths: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's probability of each state, and the expected transitions, each page ``times`` over, by forward-backward.
+
+    ``symbols`` holds the lines of pages of these ``lengths`` (none of them 0) one page after the other.  All pages move
+    on by a line at a time together, the longer ones first in order, so that those still going on are a beginning.
+    """
+    order = np.argsort(-lengths, kind="stable")
+    first, size = _bounds(lengths)[:-1][order], lengths[order]
+    going = np.searchsorted(-size, -np.arange(1, (size[0] if len(size) else 0) + 1), "right")  # pages of at least so many lines
+    likely = emit.T[symbols]
+    ahead, back = np.empty_like(likely), np.ones_like(likely)
+    at = start * likely[first]
+    for t, k in enumerate(going):
+        here = first[:k] + t
+        if t:
+            at = (at[:k] @ move) * likely[here]
+        at = at / at.sum(1, keepdims=True)
+        ahead[here] = at
+    for t in range(len(going) - 2, -1, -1):
+        here = first[: going[t + 1]] + t
+        at = (likely[here + 1] * back[here + 1]) @ move.T
+        back[here] = at / at.sum(1, keepdims=True)
+    state = ahead * back
+    state /= state.sum(1, keepdims=True)
+    last = np.zeros(len(symbols), bool)
+    last[first + size - 1] = True
+    from_ = np.flatnonzero(~last)
+    weight = np.ones(len(from_)) if times is None else np.repeat(times, lengths)[from_]
+    moved = np.zeros((4, 4))
+    for lo in range(0, len(from_), 100_000):
+        i = from_[lo : lo + 100_000]
+        pairs = ahead[i][:, :, None] * move[None] * (likely[i + 1] * back[i + 1])[:, None, :]
+        moved += (pairs * (weight[lo : lo + 100_000] / pairs.sum((1, 2)))[:, None, None]).sum(0)
+    return state, moved
+
+
+def expected(symbols: np.ndarray, lengths: np.ndarray, times: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """Expected starts, transitions and emissions, one after the other, over pages that occur so many ``times``."""
+    if not len(lengths):
+        return np.zeros(20 + 4 * SYMBOLS)
+    state, moved = posterior(symbols, lengths, *model, times)
+    weighted = state * np.repeat(times, lengths)[:, None]
+    emitted = [np.bincount(symbols, weighted[:, k], SYMBOLS) for k in range(4)]
+    return np.concatenate([weighted[_bounds(lengths)[:-1]].sum(0), moved.ravel(), *emitted])
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column one after the other, and how many each value has."""
+    values = [np.frombuffer(v, np.uint8) for v in column.to_pylist()]
+    return (np.concatenate(values) if values else np.zeros(0, np.uint8)), np.array([len(v) for v in values], np.int64)
 
 
 def _maximise(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -291,28 +309,21 @@ def _maximise(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(pages: list[np.ndarray], rounds: int = FIT_ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation maximisation over the symbols of some pages, with the prior as that many lines more."""
     model = prior()
-    different = [(np.array(p), n) for p, n in sorted(Counter(tuple(p) for p in pages if len(p)).items())]
+    counted = Counter(p.tobytes() for p in pages if len(p))
+    symbols, lengths = _flat(pa.array(list(counted), pa.binary()))
+    times = np.array(list(counted.values()), np.float64)
     for _ in range(rounds):
-        model = _maximise(expected(different, model))
+        model = _maximise(expected(symbols, lengths, times, model))
     return model
 
 
-def states(symbols: bytes, model: tuple[np.ndarray, np.ndarray, np.ndarray], known: dict[bytes, np.ndarray]) -> np.ndarray:
-    """The most probable state of each line; ``known`` keeps those of short pages, whose symbols often recur."""
-    found = known.get(symbols)
-    if found is None:
-        found = posterior(np.frombuffer(symbols, np.uint8), *model)[0].argmax(1)
-        if len(symbols) <= KNOWN_LINES and len(known) < KNOWN_PAGES:
-            known[symbols] = found
-    return found
-
-
 def shares(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[int, np.ndarray]:
-    """A page's words, and how many of them lie in lines of each state."""
+    """A page's words, and how many of them lie in lines of each state (by each line's most probable one)."""
     symbols, sizes = encode(text)
     if not len(symbols):
         return 0, np.zeros(4, np.int64)
-    return int(sizes.sum()), np.bincount(states(symbols.tobytes(), model, {}), sizes, 4).astype(np.int64)
+    state = posterior(symbols, np.array([len(symbols)]), *model)[0].argmax(1)
+    return int(sizes.sum()), np.bincount(state, sizes, 4).astype(np.int64)
 
 
 def page_symbols(documents: DataFrame) -> DataFrame:
@@ -336,7 +347,7 @@ def fit_model(pages: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for _ in range(FIT_ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            sums = sum(expected(((np.frombuffer(p, np.uint8), n) for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)), model) for b in batches)
+            sums = sum(expected(*_flat(b.column(0)), b.column(1).to_numpy().astype(np.float64), model) for b in batches)
             if np.ndim(sums):
                 yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64()))], ["sums"])
 
@@ -356,13 +367,14 @@ def page_kinds(documents: DataFrame) -> DataFrame:
     model = fit_model(pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            words, kinds = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 4), np.int64)
-            for i, (symbols, sizes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                if symbols:
-                    size = np.frombuffer(sizes, np.uint32)
-                    words[i], kinds[i] = size.sum(), np.bincount(states(symbols, model, known), size, 4)
+            symbols, lengths = _flat(batch.column(1))
+            some = lengths[lengths > 0]
+            state = posterior(symbols, some, *model)[0].argmax(1) if len(some) else np.zeros(0, np.int64)
+            size = _flat(batch.column(2))[0].view(np.uint32)
+            page = np.repeat(np.arange(batch.num_rows), lengths)
+            kinds = np.bincount(page * 4 + state, size, 4 * batch.num_rows).astype(np.int64).reshape(-1, 4)
+            words = kinds.sum(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), *(pa.array(np.ascontiguousarray(kinds[:, k])) for k in range(4))], ["doc_id", "n_words", *STATES])
 
     return pages.mapInArrow(run, "doc_id bigint, n_words bigint, " + ", ".join(f"{s} bigint" for s in STATES))

@@ -327,13 +327,18 @@ def test_a_very_long_page():
 def test_forward_backward_sums_over_paths():
     start, move, emit = pages.prior()
     symbols = np.array([0, 5, 40])
+    other = np.array([7, 7, 7, 3, 100], np.int64)
     paths = {}
     for a in range(4):
         for b in range(4):
             for c in range(4):
                 paths[a, b, c] = start[a] * emit[a, symbols[0]] * move[a, b] * emit[b, symbols[1]] * move[b, c] * emit[c, symbols[2]]
     total = sum(paths.values())
-    state, moved = pages.posterior(symbols, start, move, emit)
+    # between pages that are longer and shorter
+    alone = pages.posterior(other, np.array([5]), start, move, emit)
+    state, moved = pages.posterior(np.concatenate([other, symbols, [9], other]), np.array([5, 3, 1, 5]), start, move, emit, np.array([0.0, 1.0, 3.0, 0.0]))
+    assert state[:5] == pytest.approx(alone[0]) and state[9:] == pytest.approx(alone[0])
+    state = state[5:8]
     for t in range(3):
         for k in range(4):
             assert state[t, k] == pytest.approx(sum(p for path, p in paths.items() if path[t] == k) / total)
