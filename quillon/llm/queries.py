@@ -72,7 +72,18 @@ def p8_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p6_found, p6_edited, p6_items, p7_mix, p7_report, p7_whole, p7_whole_report, p8_found, p8_kinds)}
 
+_WORDS = "list_filter(string_split_regex(lower(regexp_replace(strip_accents({0}), '[\\p{{Cf}}]', '', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+_HELD = f"""
+    item AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) > 0),
+    doc AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+    passage AS (SELECT DISTINCT item_id, least(n, 12) AS size, array_to_string(w[i:i + least(n, 12) - 1], ' ') AS p FROM (SELECT *, unnest(range(1, greatest(n - 12, 0) + 2)) AS i FROM item)),
+    sizes AS (SELECT DISTINCT size FROM passage),
+    run AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + size - 1], ' ') AS p FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM doc, sizes WHERE len(w) >= size)),
+    held AS (SELECT r.doc_id, q.item_id, count(*) AS passages, (SELECT count(*) FROM passage o WHERE o.item_id = q.item_id) AS of_passages FROM run r JOIN passage q ON r.p = q.p GROUP BY 1, 2)"""
 ORACLE = {
+    "p6_found": f"WITH {_HELD} SELECT doc_id, item_id FROM held",
+    "p6_items": f"""WITH {_HELD} SELECT e.item_id, e.suite, coalesce(h.n_documents, 0) AS n_documents, coalesce(h.n_whole, 0) AS n_whole FROM eval_items e
+        LEFT JOIN (SELECT item_id, count(DISTINCT doc_id) AS n_documents, count(*) FILTER (passages = of_passages) AS n_whole FROM held GROUP BY 1) h USING (item_id)""",
     "p1_found": """
         WITH deliveries AS (
             SELECT lower(trim(scryfall_id)) AS scryfall_id, nullif(lower(trim(oracle_id)), '') AS oracle_id, prefer_score,
