@@ -79,6 +79,13 @@ def prj_type_words_all(spark: SparkSession, d: str) -> DataFrame:
     return _type_words(rows(spark, d))
 
 
+SQL["prj_type_words_all"] = f"""
+    WITH r AS (SELECT line_no, unnest(CASE WHEN {_TYPED('card_faces', 'ARRAY')} THEN list_transform(json_extract(line, '$.card_faces[*]'), lambda f: CASE WHEN json_exists(f, '$.type_line') THEN json_extract_string(f, '$.type_line') ELSE {_J('type_line')} END) ELSE [{_J('type_line')}] END) AS t FROM bulk_lines WHERE {_WHOLE}),
+    w AS (SELECT line_no, 'type' AS kind, unnest(regexp_split_to_array(split_part(t, '—', 1), '\\s+')) AS word FROM r
+          UNION ALL SELECT line_no, 'subtype', unnest(regexp_split_to_array(split_part(t, '—', 2), '\\s+')) FROM r)
+    SELECT DISTINCT line_no, kind, word FROM w WHERE word <> ''"""
+
+
 _TAG_CTE = """
     latest AS (SELECT lower(trim(id)) AS id, trim(regexp_replace(lower(slug), '[^a-z0-9]+', '-', 'g'), '-') AS slug, parent_ids, aliases, taggings,
                       row_number() OVER (PARTITION BY lower(trim(id)) ORDER BY updated_at DESC NULLS LAST, row_no DESC) AS newest FROM tags WHERE trim(id) <> ''),

@@ -146,13 +146,20 @@ def _cost(c: Compare) -> Column:
     return F.exists(costs, tests[c.op])
 
 
+def devotion_to(text: str) -> tuple[set[str], int]:
+    """The colours of a devotion and how many of them; raises QueryError unless they are one colour or one pair."""
+    wanted = cost_of(text)
+    pairs = {frozenset(k.split("/")) for k in wanted}
+    letters = set().union(*pairs)
+    if len(pairs) != 1 or not letters or not letters <= set(COLORS.upper()) or len(letters) > 2:
+        raise QueryError(f'Devotion is to one color or one pair: "{text}"')
+    return letters, sum(wanted.values())
+
+
 def _devotion(c: Compare) -> Column:
-    wanted = cost_of(c.right.value)
-    letters = {x for k in wanted for x in k.split("/")}
-    if not wanted or not letters <= set(COLORS.upper()) or len(letters) > 2 or len(letters) == 2 and len(wanted) > 1:
-        raise QueryError(f'Devotion is to one color or one pair: "{c.right.value}"')
-    pips = F.size(F.filter(F.col(c.left.field.column), lambda s: reduce(operator.or_, (F.array_contains(F.split(s, "/"), F.lit(x)) for x in letters))))
-    return _OPS[">=" if c.op == ":" else c.op](pips, F.lit(sum(wanted.values()))) & F.col(c.left.field.column).isNotNull()
+    letters, wanted = devotion_to(c.right.value)
+    pips = F.size(F.filter(F.col(c.left.field.column), lambda s: reduce(operator.or_, (F.array_contains(F.split(s, "/"), F.lit(x)) for x in sorted(letters)))))
+    return _OPS[">=" if c.op == ":" else c.op](pips, F.lit(wanted)) & F.col(c.left.field.column).isNotNull()
 
 
 def _numbers(left, op: str, right) -> Column:

@@ -46,6 +46,8 @@ def _of_faces(key: str) -> str:
     return f"CASE WHEN len(faces) > 0 THEN list_transform(faces, lambda f: {own}) ELSE [{_j(key)}] END"
 
 
+#: A face without colours has those of the row, which unites what its faces have or take from the record.
+_MERGED = f"flatten(list_transform(faces, lambda g: CASE WHEN json_exists(g, '$.colors') THEN {_list('colors', 'g')} ELSE {_list('colors')} END))"
 _NUMBER = "^([^0-9]*)([0-9]*)(.*)$"
 _TYPES = "list_filter(regexp_split_to_array(split_part(t, '—', 1), '\\s+'), lambda w: length(w) > 0)"
 #: ``cur``: a row a printing, from its last line; ``fin``: with tags, ranks and scores.
@@ -59,7 +61,7 @@ _RECORDS = f"""
                array_to_string(list_filter({_of_faces('oracle_text')}, lambda x: length(x) > 0), chr(10) || '//' || chr(10)) AS rules, array_to_string(list_filter({_of_faces('type_line')}, lambda x: length(x) > 0), ' // ') AS type_line,
                list_transform({_of_faces('type_line')}, lambda t: {_TYPES}) AS face_types, {_of_faces('oracle_text')} AS face_rules, {_of_faces('mana_cost')} AS face_costs, coalesce(array_to_string(list_filter({_of_faces('flavor_text')}, lambda x: length(x) > 0), chr(10) || '//' || chr(10)), '') AS flavor,
                {_list('colors')} AS colors, {_list('color_identity')} AS ident, {_list('keywords')} AS keywords, {_list('finishes')} AS finishes, {_list('games')} AS games,
-               CASE WHEN len(list_filter(faces, lambda f: json_exists(f, '$.colors'))) > 0 THEN list_transform(faces, lambda f: {_mask(f"CASE WHEN json_exists(f, '$.colors') THEN {_list('colors', 'f')} ELSE {_list('colors')} END")}) ELSE [{_mask(_list('colors'))}] END AS face_masks,
+               CASE WHEN len(list_filter(faces, lambda f: json_exists(f, '$.colors'))) > 0 THEN list_transform(faces, lambda f: {_mask(f"CASE WHEN json_exists(f, '$.colors') THEN {_list('colors', 'f')} ELSE {_MERGED} END")}) ELSE [{_mask(_list('colors'))}] END AS face_masks,
                lower(regexp_replace(array_to_string(list_filter({_of_faces('oracle_text')}, lambda x: length(x) > 0), chr(10) || '//' || chr(10)), '\\([^)]*\\)', '', 'g')) AS bare,
                regexp_replace(lower(strip_accents({_j('name')})), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS name_key,
                coalesce(lower({_j('set_type')}) = 'funny' AND lower({_j('set')}) IN {FUNNY_EXTRA_SETS}, false) OR coalesce({_j('border_color')} = 'silver' AND {_j('set_type')} = 'promo', false)

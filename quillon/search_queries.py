@@ -400,10 +400,26 @@ def nam_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return lookup.fuzzy(corpus(spark, d), "Nirnen Bassin").select("card_name", "ambiguous")
 
 
+_GRAMS = lambda x: f"list_distinct(list_transform(range(1, length({x}) + 2), lambda i: ('  ' || {x} || ' ')[i:i + 2]))"
+_LIKE = lambda a, b: f"len(list_intersect({_GRAMS(a)}, {_GRAMS(b)})) / len(list_distinct(list_concat({_GRAMS(a)}, {_GRAMS(b)})))"
+_ONE_NAME = f"one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY {_SCORE}) AS best FROM cur WHERE is_canonical AND name_key <> '') WHERE best = 1)"
+SQL["nam_fuzzy"] = _sql(
+    "SELECT card_name, coalesce(similarity - lead(similarity) OVER (ORDER BY similarity DESC, name_key) < 0.002, false) AS ambiguous FROM two QUALIFY row_number() OVER (ORDER BY similarity DESC, name_key) = 1",
+    f"{_ONE_NAME}, two AS (SELECT * FROM (SELECT *, {_LIKE('name_key', chr(39) + 'nirnenbassin' + chr(39))} AS similarity FROM one) WHERE similarity >= 0.625 ORDER BY similarity DESC, name_key LIMIT 2)",
+)
+
+
 @_query
 def nam_autocomplete(spark: SparkSession, d: str) -> DataFrame:
     """Names that go on from a beginning."""
-    return lookup.autocomplete(corpus(spark, d), "war")
+    return lookup.autocomplete(corpus(spark, d), "war").select("card_name", F.col("position").cast("bigint").alias("position"))
+
+
+SQL["nam_autocomplete"] = _sql(
+    "SELECT card_name, row_number() OVER (ORDER BY starts DESC, similarity DESC, name_key) - 1 AS position FROM hit QUALIFY row_number() OVER (ORDER BY starts DESC, similarity DESC, name_key) <= 20",
+    f"""names AS (SELECT name_key, min(card_name) AS card_name FROM cur WHERE is_canonical AND NOT is_extra GROUP BY 1),
+        hit AS (SELECT *, starts_with(name_key, 'war') AS starts, round({_LIKE('name_key', chr(39) + 'war' + chr(39))}, 9) AS similarity FROM names WHERE name_key LIKE '%war%')""",
+)
 
 
 @_query
