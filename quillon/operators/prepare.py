@@ -73,10 +73,14 @@ def stat(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"^[+-]?[0-9]*\.?[0-9]+([+-][0-9]*\.?[0-9]+)*$")), total)
 
 
+def _face_fields(df: DataFrame) -> set[str]:
+    kind = df.schema["card_faces"].dataType if "card_faces" in df.columns else None
+    return {f.name for f in kind.elementType.fields} if isinstance(kind, T.ArrayType) else set()
+
+
 def _faces(df: DataFrame) -> Column:
     """The faces with the fields of ``FACE``, null where absent."""
-    kind = df.schema["card_faces"].dataType if "card_faces" in df.columns else None
-    have = {f.name for f in kind.elementType.fields} if isinstance(kind, T.ArrayType) else set()
+    have = _face_fields(df)
     if not have:
         return F.array().cast("array<struct<" + ",".join(f"{k}:{v}" for k, v in FACE.items()) + ">>")
     pick = lambda f: F.struct(*((f[k] if k in have else F.lit(None)).cast(v).alias(k) for k, v in FACE.items()))
@@ -112,6 +116,10 @@ def prepare(rows: DataFrame) -> DataFrame:
     costs = F.array_compact(F.when(F.exists(f, lambda x: F.length(x["mana_cost"]) > 0), F.transform(f, lambda x: cost_counts(x["mana_cost"]))).otherwise(F.array(cost_counts(F.col("mana_cost_text")))))
     permanent = F.rlike(lower("type_line"), F.lit("creature|artifact|enchantment|land|planeswalker|battle"))
     text = F.col("oracle_text")
+    # no text is a text of its own where a table has texts; faces without the field have the row's
+    front_text = F.coalesce(text, F.lit("")) if "oracle_text" in rows.columns else text
+    if "oracle_text" in _face_fields(rows):
+        front_text = F.when(F.size(f) > 0, F.coalesce(F.get(f, F.lit(0))["oracle_text"], F.lit(""))).otherwise(front_text)
     search = {
         "name_lower": lower("card_name"),
         "name_collated": collate(F.col("card_name")),
@@ -123,8 +131,7 @@ def prepare(rows: DataFrame) -> DataFrame:
         "oracle_text_lower": F.lower(text),
         "oracle_text_bare": F.lower(F.regexp_replace(text, r"\([^)]*\)", "")),
         # the front face alone decides whether a card has no text
-        "front_text_bare": F.regexp_replace(F.when(F.exists(f, lambda x: x["oracle_text"].isNotNull()), F.coalesce(F.get(f, F.lit(0))["oracle_text"], F.lit(""))).otherwise(text), r"\([^)]*\)", ""),
-        "flavor_text_lower": lower("flavor_text"),
+        "front_text_bare": F.regexp_replace(front_text, r"\([^)]*\)", ""),
         "mana_cost_joined": F.when(F.size(f) > 0, F.array_join(F.filter(F.transform(f, lambda x: x["mana_cost"]), lambda c: F.length(c) > 0), " // ")).otherwise(F.col("mana_cost_text")),
         "face_color_masks": F.when(F.exists(f, lambda x: x["colors"].isNotNull()), F.transform(f, lambda x: mask(F.coalesce(x["colors"], F.col("card_colors"))).bitwiseAND(F.lit(31)))).otherwise(F.array(mask(F.col("card_colors")).bitwiseAND(F.lit(31)))),
         "color_mask": mask(F.col("card_colors")).bitwiseAND(F.lit(31)),

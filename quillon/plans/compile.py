@@ -11,8 +11,9 @@ import re
 from collections import Counter
 from functools import reduce
 
-from py4j.protocol import Py4JJavaError
+from py4j.protocol import Py4JError
 from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,9 +66,8 @@ def pattern_of(p: Pattern) -> str:
             re.compile(p.value)
         else:
             context._jvm.java.util.regex.Pattern.compile(pattern)
-    except (re.error, Py4JJavaError) as e:
-        why = str(e) if isinstance(e, re.error) else str(e.java_exception.getDescription())
-        raise QueryError(f"Invalid pattern /{p.value}/: {why}") from None
+    except (re.error, Py4JError, PySparkException) as e:
+        raise QueryError(f"Invalid pattern /{p.value}/: {str(e).splitlines()[0]}") from None
     return pattern
 
 

@@ -115,6 +115,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "rtx_is_new": ("is:new", "frame IN ('2003', '2015', 'future')"),
     "rtx_extra": ("is:extra", "is_extra"),
     "rtx_funny": ("is:funny", "set_type = 'funny'"),
+    "rtx_vanilla": ("is:vanilla", "lower(type_line) LIKE '%creature%' AND NOT lower(type_line) LIKE '%land%' AND trim(regexp_replace(coalesce(face_rules[1], ''), '\\([^)]*\\)', '', 'g')) = ''"),
     "rtx_otag": ("otag:burning-bridge-157 or otag:quiet-curse-13 or function:twin-orchard-34", "list_has_any(otags, ['burning-bridge-157', 'quiet-curse-13', 'twin-orchard-34'])"),
     "rtx_otag_alias": ("otag:\"Alt Painted Ramp 133\" or otag:alt-painted-flame-9", f"list_has_any(otags, (SELECT list(slug) FROM ({_ALIASES}) WHERE alias IN ('alt-painted-ramp-133', 'alt-painted-flame-9')))"),
     "rtx_otag_regex": ("otag:/^burning/", "len(list_filter(otags, lambda t: regexp_matches(t, '^burning'))) > 0"),

@@ -182,7 +182,7 @@ def card_object(links: dict[str, str] | None = None, images: str = "/images", ba
     two = faced & F.coalesce(c("card_layout").isin(*TWO_PICTURES), lit(False))
     reversible = F.coalesce(c("card_layout") == "reversible_card", lit(False))
     one = lambda x: F.when(~two, x)
-    sold = F.col("games").isNull() | F.arrays_overlap(listed("games"), F.array(lit("paper"), lit("mtgo")))
+    sold = (F.size(listed("games")) == 0) | F.arrays_overlap(listed("games"), F.array(lit("paper"), lit("mtgo")))
     front = F.when(faced & ~F.coalesce(c("card_layout").isin(*JOINED_NAMES), lit(False)), F.substring_index("card_name", " // ", 1)).otherwise(c("card_name"))
     related = [F.concat(lit(prefix), F.url_encode(front)).alias(k) for k, prefix in (links or {}).items()]
     other = lambda k: F.try_element_at("external_ids", lit(k)).alias(k)

@@ -155,7 +155,7 @@ def test_rendering(spark):
     assert render.list_object(search(p, "cmc>90"), [])["status"] == 404 and render.list_object(found, [], number=9)["status"] == 422
     assert [render.page_number(x) for x in (None, "2", "3x", "-1", "x")] == [1, 2, 3, 1, 1]
     assert {r["type"]: r["n_cards"] for r in type_counts(p).collect()}["Instant"] == 2
-    assert keyword_counts(p).count() == 0 and len(order_keys("set")) == 5
+    assert keyword_counts(p).count() == 0 and len(order_keys("set")) == 6
 
 
 def test_write_csv_reads_back(spark, tmp_path):
