@@ -44,15 +44,26 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source + gone), "".join(target), several
 
 
+def _ranges(characters: str) -> str:
+    """Characters as the ranges of a pattern's class."""
+    codes, out = sorted(map(ord, characters)), []
+    for code in codes:
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{lo:x}}}-\\x{{{hi:x}}}" for lo, hi in out)
+
+
 def fold_accents(c: Column) -> Column:
     """Text after NFKD without combining marks and ligatures, letter case kept; Hangul syllables stay whole."""
     source, target, several = _tables()
-    # the few that become more than one character are looked up only in texts that hold one
+    # most texts are plain and left alone; the few characters that become several are looked up only in texts with one
     spelled = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
     letters = F.regexp_extract_all(c, F.lit("([\\s\\S])"), 1)
-    some = F.rlike(c, F.lit("[" + "".join(several) + "]"))
-    c = F.when(some, F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")).otherwise(c)
-    return F.when(F.rlike(c, F.lit("[^\\x00-\\x7f]")), F.translate(c, source, target)).otherwise(c)
+    some = F.rlike(c, F.lit(f"[{_ranges(''.join(several))}]"))
+    long = F.array_join(F.transform(letters, lambda x: F.coalesce(F.try_element_at(spelled, x), x)), "")
+    return F.when(F.rlike(c, F.lit("[^\\x00-\\x7f]")), F.translate(F.when(some, long).otherwise(c), source, target)).otherwise(c)
 
 
 def fold_text(s: str) -> str:
