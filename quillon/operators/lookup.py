@@ -56,15 +56,16 @@ def _one_per_name(prepared: DataFrame) -> DataFrame:
 def fuzzy(prepared: DataFrame, name: str) -> DataFrame:
     """The row of the name most like this one, with ``similarity`` and ``ambiguous``; none below the floor.
 
-    Similarity is the Jaccard index of trigrams of collated names.  A hit is ambiguous if a card of another name comes
-    within the lead.
+    Similarity is the Jaccard index of trigrams of collated names.  A hit is ambiguous if another card of another name
+    comes within the lead.
     """
-    like = _one_per_name(prepared).withColumn("similarity", trigram_similarity(F.col("name_collated"), F.lit(collate_text(name))))
-    best = like.where(F.col("similarity") >= FUZZY_FLOOR).orderBy(F.col("similarity").desc(), "name_collated").limit(2)
-    over = Window.orderBy(F.col("similarity").desc(), "name_collated")
-    raced = best.withColumn("runner_up", F.lead("similarity").over(over)).withColumn("_place", F.row_number().over(over))
-    close = F.col("similarity") - F.col("runner_up") < FUZZY_LEAD
-    return raced.where("_place = 1").withColumn("ambiguous", F.coalesce(close, F.lit(False))).drop("_place", "runner_up")
+    like = _one_per_name(prepared).withColumn("similarity", trigram_similarity(F.col("name_collated"), F.lit(collate_text(name)))).where(F.col("similarity") >= FUZZY_FLOOR)
+    best = like.orderBy(F.col("similarity").desc(), "name_collated").limit(1)
+    # two numbers and a key decide, so they are asked for first
+    found = best.select("card_key", "similarity").first()
+    rival = like.where(F.col("card_key") != found["card_key"]).agg(F.max("similarity")).first()[0] if found else None
+    close = rival is not None and found["similarity"] - rival < FUZZY_LEAD
+    return best.withColumn("ambiguous", F.lit(close))
 
 
 def containing(prepared: DataFrame, words: str) -> DataFrame:

@@ -212,6 +212,13 @@ def components_score() -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
+def pinned_slots(rows: DataFrame, labels: DataFrame, key: str = "scryfall_id") -> DataFrame:
+    """(oracle_id, card_set_code, collector_number): the slots of the printings whose ids ``labels`` (id) names as those that
+    stand for their cards; for ``finalize``."""
+    named = labels.select(clean_id("id").alias(key)).where(F.col(key).isNotNull()).distinct()
+    return rows.join(named, key, "left_semi").select("oracle_id", "card_set_code", "collector_number").distinct()
+
+
 def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame | None = None, version: tuple[str, ...] = ("line_no",)) -> DataFrame:
     """Catalogue rows with what only the whole catalogue can tell: tags, counts of artworks, ranks and scores.
 

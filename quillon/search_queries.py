@@ -404,8 +404,8 @@ _GRAMS = lambda x: f"list_distinct(list_transform(range(1, length({x}) + 2), lam
 _LIKE = lambda a, b: f"len(list_intersect({_GRAMS(a)}, {_GRAMS(b)})) / len(list_distinct(list_concat({_GRAMS(a)}, {_GRAMS(b)})))"
 _ONE_NAME = f"one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY {_SCORE}) AS best FROM cur WHERE is_canonical AND name_key <> '') WHERE best = 1)"
 SQL["nam_fuzzy"] = _sql(
-    "SELECT card_name, coalesce(similarity - lead(similarity) OVER (ORDER BY similarity DESC, name_key) < 0.002, false) AS ambiguous FROM two QUALIFY row_number() OVER (ORDER BY similarity DESC, name_key) = 1",
-    f"{_ONE_NAME}, two AS (SELECT * FROM (SELECT *, {_LIKE('name_key', chr(39) + 'nirnenbassin' + chr(39))} AS similarity FROM one) WHERE similarity >= 0.625 ORDER BY similarity DESC, name_key LIMIT 2)",
+    "SELECT b.card_name, coalesce(b.similarity - (SELECT max(similarity) FROM hit WHERE card <> b.card) < 0.002, false) AS ambiguous FROM (SELECT * FROM hit ORDER BY similarity DESC, name_key LIMIT 1) b",
+    f"{_ONE_NAME}, hit AS (SELECT * FROM (SELECT *, coalesce(oracle_id, 'row ' || scryfall_id) AS card, {_LIKE('name_key', chr(39) + 'nirnenbassin' + chr(39))} AS similarity FROM one) WHERE similarity >= 0.625)",
 )
 
 

@@ -138,3 +138,14 @@ def test_compressed_lines_whatever_their_name(spark, tmp_path):
     (tmp_path / "dump.jsonl").write_bytes(gzip.compress(b'{"a":1}\n') + gzip.compress(b'{"b":2}\n'))
     (tmp_path / "plain.jsonl").write_text("x\ny\n")
     assert sorted(r["line"] for r in read_lines(spark, str(tmp_path), sniff=True).collect()) == ["x", "y", '{"a":1}', '{"b":2}']
+
+
+def test_labels_pin_their_slots(spark):
+    from quillon.operators.transform import pinned_slots
+
+    lines = spark.createDataFrame([(i, json.dumps(record(id=f"r{i}", oracle_id="o", collector_number=str(i)))) for i in range(4)], "line_no int, line string")
+    rows = transform(parse_records(lines))
+    pins = pinned_slots(rows, spark.createDataFrame([(" R3 ",), (None,), ("none",)], "id string"))
+    assert [tuple(r) for r in pins.collect()] == [("o", "one", "3")]
+    scores = {r["scryfall_id"]: r["prefer_score"] for r in finalize(rows, pinned=pins).collect()}
+    assert max(scores, key=scores.get) == "r3" and scores["r3"] > scores["r0"] + 1000
