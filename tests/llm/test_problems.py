@@ -349,3 +349,20 @@ def test_queries_of_the_package_run(spark, data):
     for name, query in llm.QUERIES.items():
         df = query(spark, data)
         assert df.count() > 0, name
+
+
+def test_a_missing_dependency_is_an_error_of_its_own(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    assert {"p1_found", "p6_found", "p7_mix", "p8_found"} <= set(entry.queries())
+    for name in [n for n in sys.modules if n.startswith("quillon.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.delattr(sys.modules["quillon"], "llm", raising=False)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    with pytest.raises(ImportError):
+        importlib.reload(entry)
+    monkeypatch.undo()
+    importlib.reload(entry)
