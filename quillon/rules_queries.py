@@ -145,7 +145,7 @@ def _query(f):
 def _filter(query: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         options = {"aliases": tag_aliases(table(spark, d, "tags"))} if "otag" in query else {}
-        return search(rules_corpus(spark, d), query, **_ALL, **options).rows.select("scryfall_id", "card_name")
+        return search(rules_corpus(spark, d), query, **_ALL, **options).matches.select("scryfall_id", "card_name")
 
     run.__doc__ = f"All printings of the raw records that match {query!r}."
     return run
@@ -173,7 +173,7 @@ QUERIES["rtx_card_cmc"], SQL["rtx_card_cmc"] = _ordered("t:creature", "lower(typ
 def rtx_gate(spark: SparkSession, d: str) -> DataFrame:
     """A query that names a set with extras gets them; one for a type does not."""
     found = search(rules_corpus(spark, d), "e:mh7 or e:pbp or e:f8g or e:m3m", unique="printing", limit=None, include_multilingual=True)
-    return found.rows.select("scryfall_id")
+    return found.matches.select("scryfall_id")
 
 
 SQL["rtx_gate"] = _sql("SELECT scryfall_id FROM fin WHERE set_code IN ('mh7', 'pbp', 'f8g', 'm3m') AND (NOT is_extra OR EXISTS (SELECT 1 FROM fin x WHERE x.is_extra AND x.set_code IN ('mh7', 'pbp', 'f8g', 'm3m')))")

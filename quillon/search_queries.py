@@ -138,7 +138,7 @@ FILTERS: dict[str, tuple[str, str]] = {
 
 def _filter(query: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return search(corpus(spark, d), query, **_ALL).rows.select("scryfall_id", "card_name")
+        return search(corpus(spark, d), query, **_ALL).matches.select("scryfall_id", "card_name")
 
     run.__doc__ = f"All printings that match {query!r}."
     return run
@@ -200,7 +200,7 @@ def _paged(query: str, where: str, unique: str, prefer: str, orderby: str, direc
 
 def _whole(query: str, where: str, unique: str, prefer: str, multilingual: bool = False):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return search(corpus(spark, d), query, unique=unique, prefer=prefer, limit=None, include_multilingual=multilingual).rows.select("scryfall_id", "card_name")
+        return search(corpus(spark, d), query, unique=unique, prefer=prefer, limit=None, include_multilingual=multilingual).matches.select("scryfall_id", "card_name")
 
     run.__doc__ = f"All results of {query!r}, unique by {unique}, preferring {prefer}."
     lane = f"({where}) AND NOT is_extra" + ("" if multilingual else " AND is_canonical")
@@ -227,7 +227,7 @@ SQL = {name: _sql(f"SELECT scryfall_id, card_name FROM cur WHERE {where}") for n
 @_query
 def par_directive_unique(spark: SparkSession, d: str) -> DataFrame:
     """Directives in the query go before the options: here, artworks by their newest printing."""
-    return search(corpus(spark, d), "t:land unique:art prefer:newest", **_ALL).rows.select("scryfall_id", "card_name")
+    return search(corpus(spark, d), "t:land unique:art prefer:newest", **_ALL).matches.select("scryfall_id", "card_name")
 
 
 SQL["par_directive_unique"] = _sql(f"SELECT scryfall_id, card_name FROM ({_choice_sql("lower(type_line) LIKE '%land%'", 'artwork', 'newest')})")
@@ -236,7 +236,7 @@ SQL["par_directive_unique"] = _sql(f"SELECT scryfall_id, card_name FROM ({_choic
 @_query
 def gate_default_lane(spark: SparkSession, d: str) -> DataFrame:
     """What a plain query leaves out: extras, variants and other languages."""
-    return search(corpus(spark, d), "t:creature", unique="printing", limit=None).rows.select("scryfall_id")
+    return search(corpus(spark, d), "t:creature", unique="printing", limit=None).matches.select("scryfall_id")
 
 
 SQL["gate_default_lane"] = _sql("SELECT scryfall_id FROM cur WHERE lower(type_line) LIKE '%creature%' AND NOT is_extra AND is_canonical")
@@ -245,7 +245,7 @@ SQL["gate_default_lane"] = _sql("SELECT scryfall_id FROM cur WHERE lower(type_li
 @_query
 def gate_asked_for_extras(spark: SparkSession, d: str) -> DataFrame:
     """A query that names tokens gets them, and one that names a language gets its rows."""
-    return search(corpus(spark, d), "t:token lang:de", unique="printing", limit=None).rows.select("scryfall_id")
+    return search(corpus(spark, d), "t:token lang:de", unique="printing", limit=None).matches.select("scryfall_id")
 
 
 SQL["gate_asked_for_extras"] = _sql("SELECT scryfall_id FROM cur WHERE lower(type_line) LIKE '%token%' AND lower(card_lang) = 'de'")
@@ -329,7 +329,7 @@ SQL["agg_distinct_artists"] = _sql("SELECT DISTINCT card_artist AS value FROM cu
 @_query
 def der_unique(spark: SparkSession, d: str) -> DataFrame:
     """Printings of cards that were printed in one set only."""
-    return search(with_unique_tag(corpus(spark, d)), "is:unique", **_ALL).rows.select("scryfall_id")
+    return search(with_unique_tag(corpus(spark, d)), "is:unique", **_ALL).matches.select("scryfall_id")
 
 
 SQL["der_unique"] = _sql("SELECT scryfall_id FROM cur WHERE oracle_id IN (SELECT oracle_id FROM cur GROUP BY 1 HAVING count(DISTINCT lower(card_set_code)) = 1)")

@@ -56,9 +56,9 @@ def publish(rows: DataFrame, folder: str, partitions: int | None = None, sort: t
     """
     spark = rows.sparkSession
     build = uuid.uuid4().hex
-    n = partitions or max(1, math.ceil(rows.count() / ROWS_PER_PARTITION))
-    path = f"{folder.rstrip('/')}/build={build}"
     total = rows.count()
+    n = partitions or max(1, math.ceil(total / ROWS_PER_PARTITION))
+    path = f"{folder.rstrip('/')}/build={build}"
     part = F.when(F.col("oracle_id").isNull(), F.pmod(F.xxhash64("scryfall_id"), F.lit(n))).otherwise(0)
     most = max(1, total // n)
     large = rows.groupBy("oracle_id").agg(F.count("*").alias("_n")).where(F.col("oracle_id").isNotNull() & (F.col("_n") > max(most, ROWS_PER_PARTITION // 20))).select("oracle_id", F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
