@@ -17,6 +17,7 @@ from quillon.functions.text import collate, natural_key
 from quillon.plans.compile import GENERIC
 from quillon.plans.fields import COLORS
 from quillon.plans.skew import left_join_unique
+from quillon.runtime import materialise
 
 _STRINGS, _COUNTS = "array<string>", "map<string,int>"
 #: Columns of a catalogue row that queries can use, with their types; those a table lacks are taken as null.
@@ -177,40 +178,75 @@ def prepare(rows: DataFrame) -> DataFrame:
     }).drop("printed_name_tag", "front_text_bare")
 
 
-def with_artist_spellings(df: DataFrame, artist_ids: str) -> DataFrame:
-    """Prepared rows whose artists also answer to the other spellings under which the same artist id occurs.
-
-    ``artist_ids`` is an array of ids in the order of the credits, which " & " separates; one id stands for the whole
-    credit, and credits that do not match their ids in number name nobody.
-    """
+def _spellings(df: DataFrame, artist_ids: str) -> DataFrame:
+    """(scryfall_id, more): the spellings of a row's artists, where there are several."""
     credits = F.split(F.col("card_artist"), " & ")
     ids = F.col(artist_ids)
     pairs = F.when(F.size(ids) == 1, F.array(F.struct(ids[0].alias("id"), F.col("card_artist").alias("credit")))).when(F.size(ids) == F.size(credits), F.zip_with(ids, credits, lambda i, c: F.struct(i.alias("id"), c.alias("credit"))))
     named = df.select("scryfall_id", F.explode(pairs).alias("p")).select("scryfall_id", F.col("p.id").alias("artist"), collate(F.col("p.credit")).alias("spelling"))
     spellings = named.groupBy("artist").agg(F.collect_set("spelling").alias("spellings")).where(F.size("spellings") > 1)
-    more = named.join(spellings, "artist").groupBy("scryfall_id").agg(F.array_distinct(F.flatten(F.collect_list("spellings"))).alias("more"))
+    return named.join(spellings, "artist").groupBy("scryfall_id").agg(F.array_distinct(F.flatten(F.collect_list("spellings"))).alias("more"))
+
+
+def _spelt(df: DataFrame, more: DataFrame) -> DataFrame:
     return df.join(more, "scryfall_id", "left").withColumn("artist_entities", F.array_union("artist_entities", F.coalesce("more", F.array().cast(_STRINGS)))).drop("more")
 
 
-def with_unique_tag(df: DataFrame) -> DataFrame:
-    """Prepared rows with the property ``unique`` where a card was printed in one set only, whatever the language."""
+def with_artist_spellings(df: DataFrame, artist_ids: str) -> DataFrame:
+    """Prepared rows whose artists also answer to the other spellings under which the same artist id occurs.
+
+    ``artist_ids`` is an array of ids in the order of the credits, which " & " separates; one id stands for the whole
+    credit, and credits that do not match their ids in number name nobody.
+    """
+    return _spelt(df, _spellings(df, artist_ids))
+
+
+def _once_printed(df: DataFrame) -> DataFrame:
+    """``df``, which needs an ``oracle_id`` and a ``set_code``, with ``one``: whether the card was printed in one set only."""
     sets = df.groupBy("oracle_id").agg((F.count_distinct("set_code") == 1).alias("one")).where("oracle_id is not null")
-    tagged = F.when(F.col("one"), F.array_union("is_tags", F.array(F.lit("unique")))).otherwise(F.col("is_tags"))
-    return left_join_unique(df, sets, ["oracle_id"], df.count()).withColumn("is_tags", tagged).drop("one")
+    return left_join_unique(df, sets, ["oracle_id"], df.count())
 
 
-def with_unified_artworks(df: DataFrame) -> DataFrame:
-    """Prepared rows whose faces' illustrations are partly unknown, under the artwork of a row of the same card that they
-    fit: equal wherever both are known.  Of several the least; rows of which nothing is known stay together.
+def _tagged(df: DataFrame) -> DataFrame:
+    return df.withColumn("is_tags", F.when(F.col("one"), F.array_union("is_tags", F.array(F.lit("unique")))).otherwise(F.col("is_tags"))).drop("one")
 
-    ``df`` needs ``face_illustrations``, an array with a place for every face, null where unknown.
-    """
+
+def with_unique_tag(df: DataFrame) -> DataFrame:
+    """Prepared rows with the property ``unique`` where a card was printed in one set only, whatever the language."""
+    return _tagged(_once_printed(df))
+
+
+def _fitting(df: DataFrame) -> DataFrame:
+    """(scryfall_id, _fits): the artwork that a row with unknown illustrations fits."""
     ids = F.col("face_illustrations")
     known = F.filter(ids, lambda i: i.isNotNull())
     incomplete = df.where(F.exists(ids, lambda i: i.isNull()) & (F.size(known) > 0)).select("scryfall_id", "card_key", ids.alias("part"), known[0].alias("one"))
     whole = df.where(~F.exists(ids, lambda i: i.isNull()) & (F.size(ids) > 0)).select("card_key", ids.alias("all")).distinct()
     places = whole.select("card_key", "all", F.explode(F.array_distinct("all")).alias("one"))
     fits = F.forall(F.zip_with("part", "all", lambda p, a: F.coalesce(p == a, F.lit(True))), lambda x: x) & (F.size("part") == F.size("all"))
-    chosen = incomplete.join(places, ["card_key", "one"]).where(fits).groupBy("scryfall_id").agg(F.min("all").alias("_fits"))
-    out = df.join(chosen, "scryfall_id", "left")
-    return out.withColumn("artwork", F.coalesce("_fits", F.array_compact(ids))).drop("_fits")
+    return incomplete.join(places, ["card_key", "one"]).where(fits).groupBy("scryfall_id").agg(F.min("all").alias("_fits"))
+
+
+def _unified(df: DataFrame, chosen: DataFrame) -> DataFrame:
+    return df.join(chosen, "scryfall_id", "left").withColumn("artwork", F.coalesce("_fits", F.array_compact("face_illustrations"))).drop("_fits")
+
+
+def with_unified_artworks(df: DataFrame) -> DataFrame:
+    """Prepared rows whose faces' illustrations are partly unknown, under the artwork of a row of the same card that they
+    fit: equal wherever both are known.  Of several the least; rows of which nothing is known stay together.
+
+    ``df`` needs ``face_illustrations``, an array with a place for every face, null where unknown.
+    """
+    return _unified(df, _fitting(df))
+
+
+def with_card_facts(df: DataFrame, artist_ids: str) -> DataFrame:
+    """``with_artist_spellings``, ``with_unified_artworks`` and ``with_unique_tag`` in one.
+
+    Each of them reads its rows several times, so one on top of the other multiplies the plan of the rows.  Here all
+    three read ``df``, which should be a kept table, and what they find is kept and joined once.
+    """
+    more, _ = materialise(_spellings(df, artist_ids), "spellings")
+    chosen, _ = materialise(_fitting(df), "fitting")
+    one, _ = materialise(_once_printed(df.select("scryfall_id", "oracle_id", "set_code")).select("scryfall_id", "one"), "unique")
+    return _tagged(_unified(_spelt(df, more), chosen).join(one, "scryfall_id", "left"))

@@ -229,24 +229,30 @@ def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame |
     empty = F.array().cast(_NONE)
     once, _ = materialise(current(rows, list(version)).withColumn("_ills", illustrations(F.col("card_faces"), F.col("illustration_id"))), "once")
     size = once.count()
-    df = once
-    if tags is None:
-        df = df.withColumns({"card_oracle_tags": empty, "card_art_tags": empty})
-    else:
+    facts = []
+
+    def add(right: DataFrame, keys: list[str]) -> None:
+        """Keeps the columns of ``right`` by printing.  A skew-proof join reads its left side four times, so joins on top of
+        each other would read the rows, and plan them, four times as often with each; only narrow rows take part."""
+        facts.append(materialise(left_join_unique(once.select("scryfall_id", *keys), right, keys, size).drop(*keys), "facts")[0])
+
+    if tags is not None:
         reached = tag_reach(tags)
-        oracle = tag_lists(*reached, "oracle_id").withColumnRenamed("tags", "card_oracle_tags")
+        add(tag_lists(*reached, "oracle_id").withColumnRenamed("tags", "card_oracle_tags"), ["oracle_id"])
         art = tag_lists(*reached, "illustration_id")
-        of_rows = join_unique(df.select("scryfall_id", F.explode("_ills").alias("illustration_id")), art, "illustration_id", size).groupBy("scryfall_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("card_art_tags"))
-        df = left_join_unique(df, oracle, ["oracle_id"], size).join(of_rows, "scryfall_id", "left").withColumns({"card_oracle_tags": F.coalesce("card_oracle_tags", empty), "card_art_tags": F.coalesce("card_art_tags", empty)})
+        of_rows = join_unique(once.select("scryfall_id", F.explode("_ills").alias("illustration_id")), art, "illustration_id", size).groupBy("scryfall_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("card_art_tags"))
+        facts.append(materialise(of_rows, "facts")[0])
     regular = (F.col("card_lang") == "en") & (F.coalesce("card_set_type", F.lit("")) != "memorabilia") & ~F.coalesce("card_border", F.lit("")).isin("gold", "yellow") & F.col("illustration_id").isNotNull()
-    counted = once.where(regular).groupBy("illustration_id", "card_name").agg(F.count("*").alias("illustration_count"))
-    df = left_join_unique(df, counted, ["illustration_id", "card_name"], size).withColumn("illustration_count", F.coalesce("illustration_count", F.lit(0)))
-    ranks = name_percent_ranks(once, "card_name", "edhrec_rank", version[0]).withColumnRenamed("score", "_pr")
-    df = left_join_unique(df, ranks, ["card_name"], size).withColumn("cubecobra_score", F.col("_pr").cast("float")).drop("_pr")
+    add(once.where(regular).groupBy("illustration_id", "card_name").agg(F.count("*").alias("illustration_count")), ["illustration_id", "card_name"])
+    add(name_percent_ranks(once, "card_name", "edhrec_rank", version[0]).withColumnRenamed("score", "_pr"), ["card_name"])
     slots = once.select("oracle_id", F.col("card_set_code").alias("set_code"), "collector_number", F.col("released_at").try_cast("date").alias("released"), F.col("card_lang").alias("lang"))
     pins = None if pinned is None else pinned.select("oracle_id", F.col("card_set_code").alias("set_code"), "collector_number")
     ranked = slot_ranks(slots, pins).select("oracle_id", F.col("set_code").alias("card_set_code"), "collector_number", "rank", *([] if pins is None else ["pinned"]))
-    df = left_join_unique(df, ranked, ["oracle_id", "card_set_code", "collector_number"], size)
+    add(ranked, ["oracle_id", "card_set_code", "collector_number"])
+    df = reduce(lambda rows, fact: rows.join(fact, "scryfall_id", "left"), facts, once)
+    given = (lambda c: F.coalesce(c, empty)) if tags is not None else lambda c: empty
+    df = df.withColumns({c: given(c) for c in ("card_oracle_tags", "card_art_tags")})
+    df = df.withColumn("illustration_count", F.coalesce("illustration_count", F.lit(0))).withColumn("cubecobra_score", F.col("_pr").cast("float")).drop("_pr")
     bonus = F.lit(0.0) if pins is None else F.when(F.col("pinned"), 1000.0).otherwise(0.0)
     rank = F.least(F.coalesce("rank", F.lit(1024)), F.lit(1024))
     score = (F.lit(1024) - rank) * 2048 + components_score() + bonus

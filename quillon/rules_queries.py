@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from quillon.operators.catalogs import CATALOGS, catalog, set_list, symbology
 from quillon.operators.lookup import collection, set_of
-from quillon.operators.prepare import prepare, with_artist_spellings, with_unified_artworks, with_unique_tag
+from quillon.operators.prepare import prepare, with_card_facts
 from quillon.operators.search import search
 from quillon.operators.store import store
 from quillon.operators.transform import EXTRA_LAYOUTS, FUNNY_EXTRA_SETS, finalize, tag_aliases
 from quillon.pipeline_queries import _TAG_CTE, _WHOLE, rows
 from quillon.search_queries import _ALL, corpus
 from quillon.search_queries import _sql as printings_sql
+from quillon.runtime import drop, materialise
 from quillon.sinks.render import card_object
 from quillon.sources.tables import table
 
@@ -23,10 +24,15 @@ def rules_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The prepared rows of a folder's raw records, kept for all queries of the session."""
 
     def build() -> DataFrame:
-        final = prepare(finalize(rows(spark, d), table(spark, d, "tags")))
-        return with_unique_tag(with_unified_artworks(with_artist_spellings(final, "artist_ids")))
-
-    return store(spark, [f"{d.rstrip('/')}/{t}.parquet" for t in ("bulk_lines", "tags")], build)
+        prepared, path = materialise(prepare(finalize(rows(spark, d), table(spark, d, "tags"))), "prepared")
+        spare.append(path)
+        return with_card_facts(prepared, "artist_ids")
+
+    spare: list[str] = []
+    kept = store(spark, [f"{d.rstrip('/')}/{t}.parquet" for t in ("bulk_lines", "tags")], build)
+    for path in spare:
+        drop(spark, path)
+    return kept
 
 
 def _j(key: str, of: str = "line") -> str:

@@ -75,3 +75,22 @@ def test_rulings_of_a_hot_card(spark):
     got = numbered(df).where("oracle_id = 'hot'").orderBy("place").collect()
     assert [(r["place"], r["comment"]) for r in got] == [(i + 1, r[2]) for i, r in enumerate(sorted(rows[:-1], key=lambda r: (-int(r[1][-2:]), r[2])))]
     assert [r["comment"] for r in bucketed(df).where("oracle_id = 'hot'").first()["rulings"]] == [r["comment"] for r in got]
+
+
+def test_facts_of_the_whole_catalogue_join_the_rows_once(spark, monkeypatch):
+    import functools
+    import json
+
+    from quillon.operators import transform
+    from quillon.sources.jsonl import parse_records
+
+    base = dict(name="Bear", lang="en", released_at="2001-06-04", layout="normal", type_line="Creature", colors=["G"], color_identity=["G"], legalities={}, rarity="common")
+    records = [base | dict(id=f"s{i}", oracle_id=k or "", set=f"set{i % 4}", collector_number=str(i), name=f"n{i % 5}", illustration_id=f"i{i % 3}", edhrec_rank=i % 7) for i, k in enumerate(hot(120))]
+    rows = transform.transform(parse_records(spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "line_no int, line string")))
+    tags = spark.createDataFrame([(1, "t", "x", ["u"], [("hot", None), (None, "i1")], 1), (2, "u", "y", None, [("k3", None)], 1)], "row_no bigint, id string, slug string, parent_ids array<string>, taggings array<struct<oracle_id:string,illustration_id:string>>, updated_at int")
+    shown = lambda df: sorted(map(repr, df.select("scryfall_id", "card_oracle_tags", "card_art_tags", "illustration_count", "cubecobra_score", "prefer_score").collect()))
+    expected = shown(transform.finalize(rows, tags))
+    monkeypatch.setattr(transform, "left_join_unique", functools.partial(left_join_unique, heavy_rows=1))
+    final = transform.finalize(rows, tags)
+    assert plan(final).count("Scan parquet") <= 20  # two mentions a scan
+    assert shown(final) == expected and len(expected) == 120

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon import rules_queries as rules
 from quillon.functions.text import collate_text, fold_accents, fold_text
@@ -149,3 +150,21 @@ def test_labels_pin_their_slots(spark):
     assert [tuple(r) for r in pins.collect()] == [("o", "one", "3")]
     scores = {r["scryfall_id"]: r["prefer_score"] for r in finalize(rows, pinned=pins).collect()}
     assert max(scores, key=scores.get) == "r3" and scores["r3"] > scores["r0"] + 1000
+
+
+def test_the_store_is_built_from_kept_rows(spark, data, monkeypatch):
+    from tests.test_plans import plan
+
+    monkeypatch.setattr(rules, "store", lambda spark, sources, build: build())
+    text = plan(rules.rules_corpus(spark, data))
+    assert text.count("Scan parquet") <= 10  # two mentions a scan; a plan of the rows for every reader of them took the driver's memory
+
+
+def test_facts_of_cards_at_once_are_those_of_each(spark):
+    from quillon.operators.prepare import with_artist_spellings, with_card_facts, with_unified_artworks, with_unique_tag
+
+    rows = [("a", "o1", "s1", "Ann Lee", ["1"], ["x", None]), ("b", "o1", "s2", "A. Lee", ["1"], ["x", "y"]), ("c", "o2", "s1", "Bo", ["2"], [None]), ("d", None, "s1", None, None, ["z"])]
+    df = prepare(spark.createDataFrame(rows, "scryfall_id string, oracle_id string, card_set_code string, card_artist string, artist_ids array<string>, face_illustrations array<string>"))
+    each = with_unique_tag(with_unified_artworks(with_artist_spellings(df, "artist_ids")))
+    shown = lambda df: sorted(map(repr, df.select("scryfall_id", F.array_sort("artist_entities"), "artwork", "is_tags").collect()))
+    assert shown(with_card_facts(df, "artist_ids")) == shown(each) and sorted(with_card_facts(df, "artist_ids").columns) == sorted(each.columns)
