@@ -15,7 +15,7 @@ from quillon.operators.ranks import name_percent_ranks, slot_ranks
 from quillon.plans.fields import RARITIES
 from quillon.plans.rewrite import FLAG_TAGS, MEMBER_TAGS
 from quillon.plans.skew import join_unique, left_join_unique
-from quillon.runtime import materialise
+from quillon.runtime import drop, materialise
 
 _NONE = "array<string>"
 # Layouts and sets whose cards are extra.
@@ -151,13 +151,16 @@ def transform(parsed: DataFrame) -> DataFrame:
     return df.select(*kept, *(v.alias(k) for k, v in row.items()))
 
 
-def tag_reach(tags: DataFrame, version: tuple[str, ...] = ("updated_at", "row_no")) -> tuple[DataFrame, DataFrame]:
-    """(id, taggings) of the tags, and (id, slug) of each with its own and all broader slugs; both kept as tables."""
+def tag_reach(tags: DataFrame, version: tuple[str, ...] = ("updated_at", "row_no"), kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, taggings) of the tags, and (id, slug) of each with its own and all broader slugs; both kept as tables, whose
+    paths ``kept`` gets."""
     newest = latest(tags.select("id", F.struct("slug", "parent_ids", "taggings").alias("row"), *version), "id", "row", list(version))
-    named, _ = materialise(newest.select("id", slug(F.col("parents.slug")).alias("slug"), F.col("parents.taggings").alias("taggings")).where("slug <> ''"), "tags")
+    named, path = materialise(newest.select("id", slug(F.col("parents.slug")).alias("slug"), F.col("parents.taggings").alias("taggings")).where("slug <> ''"), "tags")
     up = ancestors(tags, "id", "parent_ids", list(version)).where("id <> ancestor_id").select("id", "ancestor_id")
     own = named.select("id", F.col("id").alias("ancestor_id"))
-    reach, _ = materialise(own.unionByName(up).join(named.select(F.col("id").alias("ancestor_id"), "slug"), "ancestor_id").select("id", "slug"), "reach")
+    reach, wider = materialise(own.unionByName(up).join(named.select(F.col("id").alias("ancestor_id"), "slug"), "ancestor_id").select("id", "slug"), "reach")
+    if kept is not None:
+        kept += [path, wider]
     return named.select("id", "taggings"), reach
 
 
@@ -219,29 +222,36 @@ def pinned_slots(rows: DataFrame, labels: DataFrame, key: str = "scryfall_id") -
     return rows.join(named, key, "left_semi").select("oracle_id", "card_set_code", "collector_number").distinct()
 
 
-def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame | None = None, version: tuple[str, ...] = ("line_no",)) -> DataFrame:
+def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame | None = None, version: tuple[str, ...] = ("line_no",), kept: list[str] | None = None) -> DataFrame:
     """Catalogue rows with what only the whole catalogue can tell: tags, counts of artworks, ranks and scores.
 
     Rows that repeat an id count as the one of greatest ``version`` columns.  ``pinned`` (oracle_id, card_set_code,
     collector_number) names the slots that go first.  A card or artwork that holds a third of all rows is spread over
-    all tasks in every join.
+    all tasks in every join.  ``kept`` gets the paths of the tables that the result reads.
     """
     empty = F.array().cast(_NONE)
-    once, _ = materialise(current(rows, list(version)).withColumn("_ills", illustrations(F.col("card_faces"), F.col("illustration_id"))), "once")
+    once, path = materialise(current(rows, list(version)).withColumn("_ills", illustrations(F.col("card_faces"), F.col("illustration_id"))), "once")
     size = once.count()
-    facts = []
+    facts, paths = [], [path]
+
+    def keep(fact: DataFrame) -> None:
+        fact, path = materialise(fact, "facts")
+        facts.append(fact)
+        paths.append(path)
 
     def add(right: DataFrame, keys: list[str]) -> None:
         """Keeps the columns of ``right`` by printing.  A skew-proof join reads its left side four times, so joins on top of
         each other would read the rows, and plan them, four times as often with each; only narrow rows take part."""
-        facts.append(materialise(left_join_unique(once.select("scryfall_id", *keys), right, keys, size).drop(*keys), "facts")[0])
+        keep(left_join_unique(once.select("scryfall_id", *keys), right, keys, size).drop(*keys))
 
     if tags is not None:
-        reached = tag_reach(tags)
+        reached = tag_reach(tags, kept=(spent := []))
         add(tag_lists(*reached, "oracle_id").withColumnRenamed("tags", "card_oracle_tags"), ["oracle_id"])
         art = tag_lists(*reached, "illustration_id")
         of_rows = join_unique(once.select("scryfall_id", F.explode("_ills").alias("illustration_id")), art, "illustration_id", size).groupBy("scryfall_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("card_art_tags"))
-        facts.append(materialise(of_rows, "facts")[0])
+        keep(of_rows)
+        for path in spent:
+            drop(once.sparkSession, path)
     regular = (F.col("card_lang") == "en") & (F.coalesce("card_set_type", F.lit("")) != "memorabilia") & ~F.coalesce("card_border", F.lit("")).isin("gold", "yellow") & F.col("illustration_id").isNotNull()
     add(once.where(regular).groupBy("illustration_id", "card_name").agg(F.count("*").alias("illustration_count")), ["illustration_id", "card_name"])
     add(name_percent_ranks(once, "card_name", "edhrec_rank", version[0]).withColumnRenamed("score", "_pr"), ["card_name"])
@@ -249,6 +259,8 @@ def finalize(rows: DataFrame, tags: DataFrame | None = None, pinned: DataFrame |
     pins = None if pinned is None else pinned.select("oracle_id", F.col("card_set_code").alias("set_code"), "collector_number")
     ranked = slot_ranks(slots, pins).select("oracle_id", F.col("set_code").alias("card_set_code"), "collector_number", "rank", *([] if pins is None else ["pinned"]))
     add(ranked, ["oracle_id", "card_set_code", "collector_number"])
+    if kept is not None:
+        kept += paths
     df = reduce(lambda rows, fact: rows.join(fact, "scryfall_id", "left"), facts, once)
     given = (lambda c: F.coalesce(c, empty)) if tags is not None else lambda c: empty
     df = df.withColumns({c: given(c) for c in ("card_oracle_tags", "card_art_tags")})

@@ -24,7 +24,9 @@ def rules_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The prepared rows of a folder's raw records, kept for all queries of the session."""
 
     def build() -> DataFrame:
-        prepared, path = materialise(prepare(finalize(rows(spark, d), table(spark, d, "tags"))), "prepared")
+        prepared, path = materialise(prepare(finalize(rows(spark, d), table(spark, d, "tags"), kept=(read := []))), "prepared")
+        for old in read:
+            drop(spark, old)
         spare.append(path)
         return with_card_facts(prepared, "artist_ids")
 
