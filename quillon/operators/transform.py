@@ -148,7 +148,9 @@ def transform(parsed: DataFrame) -> DataFrame:
         "residue": F.col("residue"), "is_canonical": F.lit(True),
     }
     kept = [c for c in df.columns if c not in ("record", "residue", "face_keys", *row)]
-    return df.select(*kept, *(v.alias(k) for k, v in row.items()))
+    # short expressions first: the planner rewrites what it knows of the columns so far by each that follows and is part of
+    # them, so a flag that came after the properties made of ten flags would leave a thousand forms of these
+    return df.select(*kept, *(v.alias(k) for k, v in sorted(row.items(), key=lambda x: len(str(x[1])))))
 
 
 def tag_reach(tags: DataFrame, version: tuple[str, ...] = ("updated_at", "row_no"), kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -94,3 +94,11 @@ def test_facts_of_the_whole_catalogue_join_the_rows_once(spark, monkeypatch):
     final = transform.finalize(rows, tags)
     assert plan(final).count("Scan parquet") <= 20  # two mentions a scan
     assert shown(final) == expected and len(expected) == 120
+
+
+def test_the_planner_keeps_few_forms_of_the_columns_of_rows(spark):
+    from quillon.operators.transform import transform
+    from quillon.sources.jsonl import parse_records
+
+    rows = transform(parse_records(spark.createDataFrame([(1, "{}")], "line_no int, line string")))
+    assert rows._jdf.queryExecution().optimizedPlan().validConstraints().size() < 500  # each is a whole expression
