@@ -15,7 +15,7 @@ from quillon.operators.transform import EXTRA_LAYOUTS, FUNNY_EXTRA_SETS, finaliz
 from quillon.pipeline_queries import _TAG_CTE, _WHOLE, rows
 from quillon.search_queries import _ALL, corpus
 from quillon.search_queries import _sql as printings_sql
-from quillon.runtime import drop, materialise
+from quillon.runtime import collect_garbage, drop, materialise, tidied
 from quillon.sinks.render import card_object
 from quillon.sources.tables import table
 
@@ -24,16 +24,19 @@ def rules_corpus(spark: SparkSession, d: str) -> DataFrame:
     """The prepared rows of a folder's raw records, kept for all queries of the session."""
 
     def build() -> DataFrame:
-        prepared, path = materialise(prepare(finalize(rows(spark, d), table(spark, d, "tags"), kept=(read := []))), "prepared")
-        for old in read:
-            drop(spark, old)
-        spare.append(path)
-        return with_card_facts(prepared, "artist_ids")
+        with tidied(spark):
+            prepared, path = materialise(prepare(finalize(rows(spark, d), table(spark, d, "tags"), kept=(read := []))), "prepared")
+            for old in read:
+                drop(spark, old)
+            spare.append(path)
+            return with_card_facts(prepared, "artist_ids")
 
     spare: list[str] = []
     kept = store(spark, [f"{d.rstrip('/')}/{t}.parquet" for t in ("bulk_lines", "tags")], build)
     for path in spare:
         drop(spark, path)
+    if spare:
+        collect_garbage(spark)
     return kept
 
 

@@ -8,18 +8,24 @@ such folder gets one of its own.
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import math
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _folders: dict[str, str] = {}
 _shipped: set[str] = set()
+#: Tables that ``materialise`` writes between two collections of a ``tidied`` block.
+TABLES_A_COLLECTION = 4
+_tables: dict[str, int] = {}
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -85,9 +91,38 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> tu
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     writer = df.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    app = spark.sparkContext.applicationId
+    if app in _tables:
+        _tables[app] += 1
+        if _tables[app] % TABLES_A_COLLECTION == 0:
+            collect_garbage(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets go of the plans, shuffle files and broadcasts that nothing refers to any more."""
+    gc.collect()  # Python's side holds on to the JVM's
+    spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """For work of many tables: collects garbage after every few that ``materialise`` writes, and at the end.
+
+    A written table cuts the plans before it off, but their shuffle files and broadcasts stay until the driver's JVM
+    happens to collect them, and its heap grows with what is planned meanwhile; a collection also gives the room back.
+    """
+    app = spark.sparkContext.applicationId
+    outer = app not in _tables
+    _tables.setdefault(app, 0)
+    try:
+        yield
+    finally:
+        if outer:
+            del _tables[app]
+            collect_garbage(spark)
+
+
 def ship_files(spark: SparkSession, path: str) -> list[str]:
     """Gives every executor the file ``path``, or the data files of the folder ``path``, once a session; returns the names
     by which ``SparkFiles.get`` finds them.  A path without a scheme that exists here is a file of this machine."""

@@ -152,6 +152,33 @@ def test_labels_pin_their_slots(spark):
     assert max(scores, key=scores.get) == "r3" and scores["r3"] > scores["r0"] + 1000
 
 
+def test_building_the_store_collects_garbage_between_its_tables(spark, tmp_path, monkeypatch):
+    import gc
+
+    from quillon.runtime import materialise
+
+    written, collected = [], []
+
+    def finalize(df, tags, kept):
+        for _ in range(12):
+            df, path = materialise(df, "several")
+            kept.append(path)
+            written.append(path)
+        return df
+
+    for t in ("bulk_lines", "tags"):
+        spark.range(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, stub in {"rows": lambda spark, d: spark.range(9), "finalize": finalize, "prepare": lambda df: df, "with_card_facts": lambda df, ids: df.where("id < 5")}.items():
+        monkeypatch.setattr(rules, name, stub)
+    monkeypatch.setattr(gc, "collect", lambda *_: collected.append(len(written)))
+    assert rules.rules_corpus(spark, str(tmp_path)).count() == 5
+    assert len({n for n in collected if 0 < n < 12}) >= 2 and collected[-1] == 12
+    done = len(collected)
+    rules.rules_corpus(spark, str(tmp_path))
+    materialise(spark.range(3), "single")
+    assert len(collected) == done  # only while it is built
+
+
 def test_the_store_is_built_from_kept_rows(spark, data, monkeypatch):
     from tests.test_plans import plan
 
