@@ -25,7 +25,9 @@ def rules_corpus(spark: SparkSession, d: str) -> DataFrame:
 
     def build() -> DataFrame:
         with tidied(spark):
-            prepared, path = materialise(prepare(finalize(rows(spark, d), table(spark, d, "tags"), kept=(read := []))), "prepared")
+            final = finalize(rows(spark, d), table(spark, d, "tags"), kept=(read := []))
+            collect_garbage(spark)  # the plan that follows is the largest
+            prepared, path = materialise(prepare(final), "prepared")
             for old in read:
                 drop(spark, old)
             spare.append(path)

@@ -18,6 +18,7 @@ import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -100,9 +101,30 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> tu
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Lets go of the plans, shuffle files and broadcasts that nothing refers to any more."""
+    """Lets go of the plans, shuffle files and broadcasts that nothing refers to any more, and of memory that was freed."""
     gc.collect()  # Python's side holds on to the JVM's
     spark.sparkContext._jvm.System.gc()
+    _trim(spark)
+
+
+def _trim(spark: SparkSession) -> None:
+    """Gives the system back what the driver's JVM has freed outside its heap.
+
+    Compiling code and planning in many threads leaves the C library's allocator with free memory that it keeps, some
+    hundred MB.  A JVM without this command (other systems, Java before 17.0.9) goes on as it is.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    try:
+        known = jvm.java.lang.Class.forName
+        # by the interface: the server's own class is not open to reflection
+        kinds, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = known(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        known("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JError:
+        pass
 
 
 @contextmanager
@@ -111,6 +133,7 @@ def tidied(spark: SparkSession) -> Iterator[None]:
 
     A written table cuts the plans before it off, but their shuffle files and broadcasts stay until the driver's JVM
     happens to collect them, and its heap grows with what is planned meanwhile; a collection also gives the room back.
+    Before a large plan, ``collect_garbage`` makes room once more.
     """
     app = spark.sparkContext.applicationId
     outer = app not in _tables

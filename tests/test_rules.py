@@ -1,6 +1,8 @@
 """The catalogue of raw records: its queries against SQL, and cases that the tables do not hold."""
 
 import json
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,6 +181,40 @@ def test_building_the_store_collects_garbage_between_its_tables(spark, tmp_path,
     assert len(collected) == done  # only while it is built
 
 
+def test_collecting_garbage_gives_back_freed_memory_outside_the_heap(spark):
+    from quillon.runtime import collect_garbage
+
+    jvm = spark.sparkContext._jvm
+    parts = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup")
+    if not parts.exists():
+        pytest.skip("memory can't be read here")
+    held = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", parts.read_text())[1]) / 1024
+    taken = [jvm.java.util.zip.Deflater() for _ in range(600)]  # about 0.25 MB each, outside the heap
+    for i, one in enumerate(taken):
+        if i % 50 != 49:  # what stays keeps the allocator from giving back the others by itself
+            one.end()
+    for _ in range(2):
+        jvm.System.gc()
+    before = held()
+    collect_garbage(spark)
+    assert before - held() > 40
+    for one in taken[49::50]:
+        one.end()
+
+
+def test_the_largest_plan_is_made_after_a_collection(spark, tmp_path, monkeypatch):
+    import gc
+
+    done = []
+    for t in ("bulk_lines", "tags"):
+        spark.range(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, stub in {"rows": lambda spark, d: spark.range(9), "finalize": lambda df, tags, kept: done.append("final") or df, "prepare": lambda df: done.append("prepare") or df, "with_card_facts": lambda df, ids: df}.items():
+        monkeypatch.setattr(rules, name, stub)
+    monkeypatch.setattr(gc, "collect", lambda *_: done.append("collected"))
+    assert rules.rules_corpus(spark, str(tmp_path)).count() == 9
+    assert done[:3] == ["final", "collected", "prepare"]
+
+
 def test_the_store_is_built_from_kept_rows(spark, data, monkeypatch):
     from tests.test_plans import plan
 
